@@ -36,3 +36,16 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256")
     )
+
+
+@query
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(table(spark, sf_dir, "documents"))
+
+
+def packed_documents(docs: DataFrame) -> DataFrame:
+    from tributary.llm import packing
+
+    cut = packing.pieces(docs, vocabulary("word_bpe_49k.json"), capacity=2048)
+    slim = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"))
+    return packing.pack(slim, capacity=2048).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
