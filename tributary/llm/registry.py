@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tributary.llm.common import written
+from tributary.llm.linededup import ORACLE as LINE_DEDUP_SQL
+from tributary.llm.topk import ORACLE as TOPK_SQL
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL, "op1_nra_topk": TOPK_SQL}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -27,6 +31,22 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tributary.llm import topk
+
+    vectors = written(topk.scaled(table(spark, sf_dir, "embeddings"), 256.0))
+    return topk.search(vectors, vectors.where("id % 50 = 0"), k=5)
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tributary.llm import linededup
+
+    out = linededup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_copies", "n_near", F.md5(F.col("kept_text").cast("binary")).alias("kept_md5"))
+
+
 @query
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tributary.llm import bpe
