@@ -47,6 +47,21 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_copies", "n_near", F.md5(F.col("kept_text").cast("binary")).alias("kept_md5"))
 
 
+@query
+def op4_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tributary.llm import ann
+
+    vectors = written(ann.usable(table(spark, sf_dir, "embeddings")))
+    return ann.search(vectors, vectors.where("id % 50 = 0"), k=5)
+
+
+@query
+def op5_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tributary.llm import neardup
+
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 @query
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tributary.llm import bpe
