@@ -1,15 +1,57 @@
-"""Corpus preparation in stages over `documents`."""
+"""Corpus preparation in stages over `documents`: toxicity, language, lines, near-duplicates, packing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
-ORACLE_SQL = None
+from tributary.llm import langid, linededup, neardup, toxicity
+from tributary.llm.common import written
+from tributary.llm.registry import packed_documents
+
+TOXIC = 0.7
+SURE = 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below TOXIC; learned from the labels of the documents at hand."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model, whole_rows=True).where(F.col("score") < TOXIC).select(*docs.columns)
+
+
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters and a language of at least SURE posterior; the source stands for the host."""
+    told = langid.identify(docs, langid.fit(docs), "doc_id", "text", host_col="source", declared_col="lang")
+    bad = told.where(~F.col("letters") | (F.coalesce("posterior", F.lit(0.0)) < SURE)).select("doc_id").distinct()
+    return docs.join(written(bad), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that stand earlier, n_chars counted anew; one that loses all its lines goes."""
+    out = linededup.dedup(docs)
+    lost_all = (F.col("n_lines") > 0) & (F.col("n_lines") == F.col("n_copies") + F.col("n_near"))
+    out = out.where(~lost_all).withColumn("n_chars", F.length("kept_text").cast("long")).withColumn("text", F.col("kept_text"))
+    return out.select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates: five-word shingles, similarity of 0.8 or more."""
+    classes = neardup.near_duplicates(docs, width=5, percent=80)
+    bad = classes.where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(written(bad), "doc_id", "left_anti").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token pieces, placed in sequences of at most 2048 tokens."""
+    return packed_documents(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("language", drop_unknown_language), ("lines", drop_lines), ("near_duplicates", drop_near_duplicates), ("packing", pack)]
+ORACLE_SQL = None  # classifiers and packing have no SQL form; tests compare the stages with plain versions
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = written(stage(spark, docs, sf_dir))
     return docs

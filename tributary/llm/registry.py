@@ -39,6 +39,17 @@ def op1_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.where("id % 50 = 0"), k=5)
 
 
+@query
+def op2_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tributary.llm import toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = toxicity.fold(F.col("doc_id"), 3) == 1
+    model = toxicity.fit(docs, labels.where(~held_out))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tributary.llm import linededup
@@ -62,6 +73,27 @@ def op5_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+@query
+def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tributary.llm import classlm
+    from tributary.llm.toxicity import fold
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 7) == 2
+    scored = classlm.score(docs, docs.where(~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op7_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tributary.llm import quality
+    from tributary.llm.toxicity import fold
+
+    held_out = fold(F.col("doc_id"), 5) == 0
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tributary.llm import bpe
@@ -84,3 +116,11 @@ def packed_documents(docs: DataFrame) -> DataFrame:
     cut = packing.pieces(docs, vocabulary("word_bpe_49k.json"), capacity=2048)
     slim = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"))
     return packing.pack(slim, capacity=2048).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op10_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tributary.llm import langid
+
+    model = langid.fit(table(spark, sf_dir, "documents"))
+    return langid.identify(table(spark, sf_dir, "pages"), model, "page_id", "html", url_col="url", is_html=True)
