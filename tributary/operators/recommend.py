@@ -65,6 +65,7 @@ def item_knn(train_rows: DataFrame) -> DataFrame:
 
 
 def knn_scores(train_rows: DataFrame, sims: DataFrame) -> DataFrame:
+    """Summed similarity to what the user liked, in whole millionths, so that no order of summing shows."""
     liked = train_rows.where(F.col("event_type").isin("click", "save")).select("user_id", F.col("item_id").alias("a")).distinct()
     both = sims.select("a", "b", "sim").unionByName(sims.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-    return liked.join(both, "a").groupBy("user_id", F.col("b").alias("item_id")).agg(F.round(F.sum("sim"), 4).alias("score"))
+    return liked.join(both, "a").groupBy("user_id", F.col("b").alias("item_id")).agg(F.sum(F.round(F.col("sim") * 1000000).cast("long")).alias("score"))

@@ -1 +1,371 @@
-QUERIES, ORACLES = {}, {}
+"""Queries of the designed parts of the funnel: neighbours, constraints, reranking, profiles, blending, experiments, generation.
+
+Substitutes where a model can't be had offline: matrix factors for two towers, logistic regression for learned ranking,
+keyword rules for intent parsing. Model outputs have no SQL and are checked by tests.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tributary.functions.hashing import hash_int, hash_key, uniform
+from tributary.functions.vectors import centered, cosine, dot
+from tributary.operators import generate, metrics, recommend, rerank, split
+from tributary.plans.funnel import Funnel
+from tributary.plans.queries import _CAT, _FULL, _INTER, _MEANS, _POP, _SPLIT, _USERS, Fixture, _metrics_sql
+from tributary.sources import tables as T
+from tributary.streaming import events as stream
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+_KNN = f"""WITH {_POP}, lk AS (SELECT DISTINCT user_id, item_id FROM sp WHERE NOT is_test AND event_type IN ('click', 'save')), n AS (SELECT item_id, count(*) AS n FROM lk GROUP BY 1),
+co AS (SELECT x.item_id AS a, y.item_id AS b, count(*) AS co FROM lk x JOIN lk y ON x.user_id = y.user_id AND x.item_id < y.item_id GROUP BY ALL),
+sims AS (SELECT a, b, co, round(co / sqrt(na.n * nb.n), 6) AS sim FROM co JOIN n na ON na.item_id = a JOIN n nb ON nb.item_id = b)"""
+
+
+@query(_KNN + " SELECT * FROM sims")
+def item_knn(spark, sf):
+    return recommend.item_knn(Fixture(spark, sf).train)
+
+
+@query(_KNN + """, bo AS (SELECT a, b, sim FROM sims UNION ALL SELECT b, a, sim FROM sims), sc AS (SELECT user_id, b AS item_id, sum(CAST(round(sim * 1000000) AS BIGINT))::BIGINT AS score FROM lk JOIN bo ON lk.item_id = a GROUP BY ALL),
+r AS (SELECT s.*, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS INT) AS rank FROM sc s ANTI JOIN seen USING (user_id, item_id)) SELECT user_id, rank, item_id, score FROM r WHERE rank <= 10""")
+def item_knn_recs(spark, sf):
+    f = Fixture(spark, sf)
+    scored = recommend.unseen(recommend.knn_scores(f.train, recommend.item_knn(f.train)), f.seen)
+    return recommend.top_k(scored, 10, F.col("score").desc(), F.col("item_id")).select("user_id", "rank", "item_id", "score")
+
+
+@query(f"WITH {_FULL}, q AS (SELECT user_id, rank() OVER (PARTITION BY user_id ORDER BY score DESC) AS a, rank() OVER (PARTITION BY user_id ORDER BY cnt DESC) AS b FROM osc JOIN pop USING (item_id)) SELECT user_id, round(corr(a, b), 6) AS spearman FROM q GROUP BY 1")
+def pop_spearman(spark, sf):
+    f = Fixture(spark, sf)
+    both = recommend.persona_scores(f.users, f.personas, f.catalog).join(F.broadcast(split.popularity(f.train, f.catalog)), "item_id")
+    w = Window.partitionBy("user_id")
+    ranks = both.select("user_id", F.rank().over(w.orderBy(F.col("score").desc())).cast("double").alias("a"), F.rank().over(w.orderBy(F.col("cnt").desc())).cast("double").alias("b"))
+    return ranks.groupBy("user_id").agg(F.round(F.corr("a", "b"), 6).alias("spearman"))
+
+
+_BROKEN = "(CASE WHEN budget_level <> 'Budget' THEN 1 ELSE 0 END + CASE WHEN tags[3] < 3 THEN 1 ELSE 0 END + CASE WHEN tags[5] > 3 THEN 1 ELSE 0 END)"
+_CON = f"WITH {_FULL}, v AS (SELECT user_id, item_id, score, {_BROKEN}::INT AS broken FROM osc JOIN cat USING (item_id)), top AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM v), "
+
+
+def _constrained(f: Fixture) -> DataFrame:
+    one = lambda c: F.when(c, 1).otherwise(0)
+    broken = one(F.col("budget_level") != "Budget") + one(F.col("tags")[2] < 3) + one(F.col("tags")[4] > 3)
+    rules = f.catalog.select("item_id", broken.alias("broken"))
+    return recommend.persona_scores(f.users, f.personas, f.catalog).join(F.broadcast(rules), "item_id")
+
+
+@query(_CON + "h AS (SELECT user_id, item_id, score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS INT) AS rank FROM v WHERE broken = 0) SELECT * FROM h WHERE rank <= 10")
+def hard_filter(spark, sf):
+    rows = _constrained(Fixture(spark, sf)).where("broken = 0")
+    return recommend.top_k(rows, 10, F.col("score").desc(), F.col("item_id")).select("user_id", "item_id", "score", "rank")
+
+
+@query(_CON + "h AS (SELECT user_id, item_id, round(score - 0.5 * broken, 6) AS soft FROM v), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY soft DESC, item_id) AS INT) AS rank FROM h) SELECT * FROM r WHERE rank <= 10")
+def soft_penalty(spark, sf):
+    rows = _constrained(Fixture(spark, sf)).select("user_id", "item_id", F.round(F.col("score") - 0.5 * F.col("broken"), 6).alias("soft"))
+    return recommend.top_k(rows, 10, F.col("soft").desc(), F.col("item_id")).select("user_id", "item_id", "soft", "rank")
+
+
+@query(_CON + "z AS (SELECT 1) SELECT round(avg(CASE WHEN broken > 0 THEN 1.0 ELSE 0.0 END), 6) AS violation_rate, count(*) AS rows FROM top WHERE rank <= 10")
+def violation_rate(spark, sf):
+    rows = recommend.top_k(_constrained(Fixture(spark, sf)), 10, F.col("score").desc(), F.col("item_id"))
+    return rows.agg(F.round(F.avg(F.when(F.col("broken") > 0, 1.0).otherwise(0.0)), 6).alias("violation_rate"), F.count("*").alias("rows"))
+
+
+_COARSE = f"WITH {_FULL}, c AS (SELECT user_id, item_id, score, cnt, row_number() OVER (PARTITION BY user_id ORDER BY cnt DESC, item_id) AS coarse, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS fine FROM osc JOIN pop USING (item_id)), s AS (SELECT n, avg(CASE WHEN coarse <= n THEN 1.0 ELSE 0.0 END) AS survival FROM c CROSS JOIN (VALUES (20), (50), (100)) t(n) WHERE fine <= 10 GROUP BY 1)"
+
+
+def _coarse(f: Fixture) -> DataFrame:
+    both = recommend.persona_scores(f.users, f.personas, f.catalog).join(F.broadcast(split.popularity(f.train, f.catalog)), "item_id")
+    w = Window.partitionBy("user_id")
+    both = both.withColumn("coarse", F.row_number().over(w.orderBy(F.col("cnt").desc(), "item_id"))).withColumn("fine", F.row_number().over(w.orderBy(F.col("score").desc(), "item_id")))
+    cuts = F.explode(F.array(F.lit(20), F.lit(50), F.lit(100))).alias("n")
+    return both.where("fine <= 10").select("*", cuts).groupBy("n").agg(F.avg(F.when(F.col("coarse") <= F.col("n"), 1.0).otherwise(0.0)).alias("survival"))
+
+
+@query(_COARSE + " SELECT n, round(survival, 6) AS survival FROM s")
+def survival_rate(spark, sf):
+    return _coarse(Fixture(spark, sf)).select("n", F.round("survival", 6).alias("survival"))
+
+
+@query(_COARSE + " SELECT min(n) FILTER (WHERE survival >= 0.95) AS smallest FROM s")
+def smallest_cut(spark, sf):
+    return _coarse(Fixture(spark, sf)).agg(F.min(F.when(F.col("survival") >= 0.95, F.col("n"))).alias("smallest"))
+
+
+@query(f"WITH {_SPLIT}, p AS (SELECT user_id, count(*) AS positives FROM rel GROUP BY 1) SELECT positives, count(*) AS users FROM p GROUP BY 1")
+def positives_per_user(spark, sf):
+    return Fixture(spark, sf).rel.groupBy("user_id").agg(F.count("*").alias("positives")).groupBy("positives").agg(F.count("*").alias("users"))
+
+
+@query(f"""WITH {_FULL}, l AS (SELECT user_id, item_id, max(ts) AS last FROM sp WHERE NOT is_test GROUP BY ALL) SELECT r.user_id, r.item_id, r.grade::INT AS grade, p.cnt, o.score, date_diff('day', last, TIMESTAMP '2024-02-01')::INT AS days FROM rel r JOIN pop p USING (item_id) JOIN osc o USING (user_id, item_id) LEFT JOIN l USING (user_id, item_id)""")
+def ltr_features(spark, sf):
+    f = Fixture(spark, sf)
+    last = f.train.groupBy("user_id", "item_id").agg(F.max("ts").alias("last"))
+    rows = f.rel.join(F.broadcast(split.popularity(f.train, f.catalog)), "item_id").join(recommend.persona_scores(f.users, f.personas, f.catalog), ["user_id", "item_id"]).join(last, ["user_id", "item_id"], "left")
+    return rows.select("user_id", "item_id", "grade", "cnt", "score", F.datediff(F.lit("2024-02-01").cast("date"), F.to_date("last")).alias("days"))
+
+
+@query(f"WITH {_CAT}, x AS (SELECT item_id, round(v[1], 6) AS relevance, round(v[2], 6) AS diversity FROM cat) SELECT a.* FROM x a WHERE NOT EXISTS (SELECT 1 FROM x b WHERE b.relevance >= a.relevance AND b.diversity >= a.diversity AND (b.relevance > a.relevance OR b.diversity > a.diversity))")
+def pareto_frontier(spark, sf):
+    x = Fixture(spark, sf).catalog.select("item_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("relevance"), F.round(F.col("embedding")[1].cast("double"), 6).alias("diversity"))
+    y = F.broadcast(x.select(F.col("relevance").alias("r"), F.col("diversity").alias("d")))  # a table of settings, about a hundred rows
+    return x.join(y, (F.col("r") >= F.col("relevance")) & (F.col("d") >= F.col("diversity")) & ((F.col("r") > F.col("relevance")) | (F.col("d") > F.col("diversity"))), "left_anti")
+
+
+@query(f"WITH {_CAT} SELECT item_id, count(*) OVER (PARTITION BY country) AS density, round(1.0 / count(*) OVER (PARTITION BY region), 6) AS rarity FROM cat")
+def catalog_priors(spark, sf):
+    n = lambda c: F.count("*").over(Window.partitionBy(c))
+    return Fixture(spark, sf).catalog.select("item_id", n("country").alias("density"), F.round(1.0 / n("region"), 6).alias("rarity"))
+
+
+@query(f"WITH {_POP}, c AS (SELECT r.user_id, r.item_id, c.item_id AS negative, row_number() OVER (PARTITION BY r.user_id, r.item_id ORDER BY md5(concat_ws(':', r.user_id, r.item_id, c.item_id, 3)), c.item_id) AS rn FROM rel r CROSS JOIN cat c ANTI JOIN (SELECT user_id, item_id FROM rel UNION SELECT * FROM seen) s ON s.user_id = r.user_id AND s.item_id = c.item_id) SELECT user_id, item_id, negative FROM c WHERE rn <= 4")
+def negative_samples(spark, sf):
+    f = Fixture(spark, sf)
+    known = f.rel.select("user_id", "item_id").union(f.seen).distinct().select("user_id", F.col("item_id").alias("negative"))
+    rows = f.rel.select("user_id", "item_id").crossJoin(f.catalog.select(F.col("item_id").alias("negative"))).join(known, ["user_id", "negative"], "left_anti")
+    w = Window.partitionBy("user_id", "item_id").orderBy(hash_key("user_id", "item_id", "negative", F.lit(3)), "negative")
+    return rows.withColumn("rn", F.row_number().over(w)).where("rn <= 4").select("user_id", "item_id", "negative")
+
+
+@query(f"WITH {_POP} SELECT user_id, item_id, concat_ws(' [SEP] ', 'user ' || user_id, city) AS pair FROM r_pop JOIN cat USING (item_id)")
+def cross_pairs(spark, sf):
+    f = Fixture(spark, sf)
+    return f.popular().join(F.broadcast(f.catalog.select("item_id", "city")), "item_id").select("user_id", "item_id", F.concat_ws(" [SEP] ", F.concat(F.lit("user "), F.col("user_id").cast("string")), "city").alias("pair"))
+
+
+def _lists(f: Fixture, k: int = 50) -> DataFrame:
+    top = recommend.top_k(recommend.persona_scores(f.users.join(f.judged, "user_id", "left_semi"), f.personas, f.catalog), k, F.col("score").desc(), F.col("item_id"))
+    return top.join(F.broadcast(f.catalog.select("item_id", "country", F.col("embedding").cast("array<double>").alias("vector"))), "item_id").withColumnRenamed("user_id", "list_id")
+
+
+@query()
+def mmr(spark, sf):
+    return rerank.mmr(_lists(Fixture(spark, sf)))
+
+
+@query()
+def dpp(spark, sf):
+    return rerank.dpp(_lists(Fixture(spark, sf)))
+
+
+_LISTS = f"WITH {_FULL}, li AS (SELECT * FROM (SELECT user_id AS list_id, item_id, score, country, v, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank0 FROM osc SEMI JOIN ru USING (user_id) JOIN cat USING (item_id)) WHERE rank0 <= 50)"
+
+
+@query(_LISTS + ", t AS (SELECT *, row_number() OVER (PARTITION BY list_id, country ORDER BY score DESC, item_id) AS turn FROM li), r AS (SELECT list_id, item_id, CAST(row_number() OVER (PARTITION BY list_id ORDER BY turn, score DESC, item_id) AS INT) AS rank FROM t WHERE turn <= 3) SELECT * FROM r WHERE rank <= 10")
+def bucket_round_robin(spark, sf):
+    return rerank.round_robin(_lists(Fixture(spark, sf)), "country", 10, 3).select("list_id", "item_id", "rank")
+
+
+@query(_LISTS + ", b AS (SELECT * FROM li WHERE rank0 <= 10) SELECT list_id, buckets, mean_distance FROM (SELECT list_id, count(DISTINCT country) AS buckets FROM b GROUP BY 1) LEFT JOIN (SELECT x.list_id, round(avg(1.0 - list_dot_product(x.v, y.v)), 6) AS mean_distance FROM b x JOIN b y ON x.list_id = y.list_id AND x.item_id < y.item_id GROUP BY 1) USING (list_id)")
+def diversity_metrics(spark, sf):
+    return rerank.diversity(_lists(Fixture(spark, sf), 10), "country")
+
+
+@query(f"WITH {_POP} SELECT user_id, rank, CASE WHEN (('0x' || substr(md5(concat_ws(':', user_id, rank, 11)), 1, 8))::BIGINT + 0.5) / 4294967296.0 < 0.1 THEN 'explore' ELSE 'exploit' END AS slot FROM r_pop WHERE rank <= 10")
+def explore_epsilon(spark, sf):
+    return Fixture(spark, sf).popular(10).select("user_id", "rank", F.when(uniform("user_id", "rank", F.lit(11)) < 0.1, "explore").otherwise("exploit").alias("slot"))
+
+
+@query(f"WITH {_FULL} SELECT user_id, item_id, round(score + CASE WHEN budget_level = 'Luxury' THEN 0.2 ELSE 0 END - CASE WHEN item_id % 12 = 1 THEN 1.0 ELSE 0 END, 6) AS score FROM r_orac JOIN cat USING (item_id)")
+def business_rules(spark, sf):
+    f = Fixture(spark, sf)
+    change = F.when(F.col("budget_level") == "Luxury", 0.2).otherwise(0.0) - F.when(F.col("item_id") % 12 == 1, 1.0).otherwise(0.0)
+    return f.oracle().join(F.broadcast(f.catalog.select("item_id", "budget_level")), "item_id").select("user_id", "item_id", F.round(F.col("score") + change, 6).alias("score"))
+
+
+_PROF = f"WITH {_POP}, lk AS (SELECT user_id, item_id, ts FROM sp WHERE NOT is_test AND event_type IN ('click', 'save')), pr AS (SELECT user_id, i::INT AS dim, avg(v[i]) AS mean, sum(v[i] * w) / sum(w) AS decayed FROM (SELECT l.user_id, v, pow(0.5, date_diff('day', ts, TIMESTAMP '2024-02-01') / 30.0) AS w FROM lk l JOIN cat USING (item_id)), unnest(range(1, 65)) r(i) GROUP BY ALL)"
+
+
+def _profile(f: Fixture, half_life: float = 30.0) -> DataFrame:
+    liked = f.train.where(F.col("event_type").isin("click", "save")).join(F.broadcast(f.catalog.select("item_id", "embedding")), "item_id")
+    w = F.pow(F.lit(0.5), F.datediff(F.lit("2024-02-01").cast("date"), F.to_date("ts")) / half_life)
+    rows = liked.select("user_id", w.alias("w"), F.posexplode("embedding").alias("i", "x"))
+    return rows.groupBy("user_id", (F.col("i") + 1).alias("dim")).agg(F.avg(F.col("x").cast("double")).alias("mean"), (F.sum(F.col("x").cast("double") * F.col("w")) / F.sum("w")).alias("decayed"))
+
+
+@query(_PROF + " SELECT user_id, dim, round(mean, 6) AS mean FROM pr")
+def profile_mean(spark, sf):
+    return _profile(Fixture(spark, sf)).select("user_id", "dim", F.round("mean", 6).alias("mean"))
+
+
+@query(_PROF + " SELECT user_id, dim, round(decayed, 6) AS decayed FROM pr")
+def profile_decay(spark, sf):
+    return _profile(Fixture(spark, sf)).select("user_id", "dim", F.round("decayed", 6).alias("decayed"))
+
+
+@query(_PROF + ", pv AS (SELECT user_id, list(mean ORDER BY dim) AS p FROM pr GROUP BY 1), sc AS (SELECT pv.user_id, c.item_id, round(list_dot_product(p, c.v), 6) AS score FROM pv SEMI JOIN ru USING (user_id) CROSS JOIN cat c), recs AS (SELECT 'profile' AS model, user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM sc ANTI JOIN seen USING (user_id, item_id) QUALIFY rank <= 20), " + _metrics_sql("recs") + _MEANS)
+def profile_eval(spark, sf):
+    f = Fixture(spark, sf)
+    p = _profile(f).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("dim", "mean"))).alias("z")).select("user_id", F.col("z.mean").alias("p"))
+    scored = p.join(f.judged, "user_id", "left_semi").crossJoin(f.catalog.select("item_id", "embedding")).select("user_id", "item_id", F.round(dot("p", "embedding"), 6).alias("score"))
+    recs = recommend.top_k(recommend.unseen(scored, f.seen), 20, F.col("score").desc(), F.col("item_id"))
+    return metrics.evaluate({"profile": recs}, f.rel, [5, 10, 20])
+
+
+@query(f"WITH {_FULL}, m AS (SELECT user_id, item_id, min(rank) AS best, count(*) AS sources FROM (SELECT user_id, item_id, rank FROM r_pop UNION ALL SELECT user_id, item_id, rank FROM r_orac) GROUP BY ALL) SELECT user_id, item_id, best, sources FROM m")
+def candidate_merge(spark, sf):
+    f = Fixture(spark, sf)
+    cols = ["user_id", "item_id", "rank"]
+    return f.popular().select(*cols).unionByName(f.oracle().select(*cols)).groupBy("user_id", "item_id").agg(F.min("rank").alias("best"), F.count("*").alias("sources"))
+
+
+@query(f"WITH {_FULL}, n AS (SELECT user_id, count(*) AS n FROM sp WHERE NOT is_test AND event_type IN ('click', 'save') GROUP BY 1), t AS (SELECT max(cnt) AS top FROM pop) SELECT o.user_id, o.item_id, round(coalesce(n, 0) / (coalesce(n, 0) + 10.0) * score + 10.0 / (coalesce(n, 0) + 10.0) * cnt / top, 6) AS score FROM r_orac o JOIN pop USING (item_id) LEFT JOIN n USING (user_id) CROSS JOIN t")
+def blend_scores(spark, sf):
+    f = Fixture(spark, sf)
+    n = f.train.where(F.col("event_type").isin("click", "save")).groupBy("user_id").agg(F.count("*").alias("n"))
+    pop = split.popularity(f.train, f.catalog)
+    pop = pop.crossJoin(F.broadcast(pop.agg(F.max("cnt").alias("top"))))
+    seen = F.coalesce("n", F.lit(0))
+    return f.oracle().join(F.broadcast(pop), "item_id").join(n, "user_id", "left").select("user_id", "item_id", F.round(seen / (seen + 10.0) * F.col("score") + F.lit(10.0) / (seen + 10.0) * F.col("cnt") / F.col("top"), 6).alias("score"))
+
+
+@query(f"WITH {_CAT} SELECT item_id, round(list_dot_product(list_transform(tags, lambda x: (x - 3.0)::DOUBLE / 2.0), [1.0, -0.5, 0.5, 0.0, -1.0, 1.0, 0.0, 0.5, 0.0]::DOUBLE[]), 6) AS score FROM cat")
+def quiz_scores(spark, sf):
+    quiz = F.array(*[F.lit(x) for x in (1.0, -0.5, 0.5, 0.0, -1.0, 1.0, 0.0, 0.5, 0.0)])
+    return Fixture(spark, sf).catalog.select("item_id", F.round(dot(centered("tags"), quiz), 6).alias("score"))
+
+
+@query(f"""WITH {_FULL}, u AS (SELECT user_id, item_id, 2 * rank - 1 AS turn, 'a' AS team FROM r_pop WHERE rank <= 10 UNION ALL SELECT user_id, item_id, 2 * rank, 'b' FROM r_orac WHERE rank <= 10), f AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY turn) AS rn FROM u)
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY turn) AS INT) AS rank, item_id, team FROM f WHERE rn = 1""")
+def interleave(spark, sf):
+    f = Fixture(spark, sf)
+    side = lambda recs, team, late: recs.where("rank <= 10").select("user_id", "item_id", (2 * F.col("rank") - 1 + late).alias("turn"), F.lit(team).alias("team"))
+    both = side(f.popular(), "a", 0).unionByName(side(f.oracle(), "b", 1))
+    first = both.withColumn("rn", F.row_number().over(Window.partitionBy("user_id", "item_id").orderBy("turn"))).where("rn = 1")
+    return first.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("turn")).alias("rank"), "item_id", "team")
+
+
+@query(f"WITH {_USERS} SELECT user_id, (('0x' || substr(md5(concat_ws(':', user_id, 'exp1')), 1, 8))::BIGINT % 3)::INT AS arm FROM users")
+def variant_assign(spark, sf):
+    return Fixture(spark, sf).users.select("user_id", (hash_int("user_id", F.lit("exp1")) % 3).cast("int").alias("arm"))
+
+
+@query(f"WITH {_CAT}, m AS (SELECT item_id, i::INT AS month, 15 + (item_id * 7 + i * 5) % 23 AS temp FROM cat, unnest(range(1, 13)) r(i)), r AS (SELECT item_id, month, abs(temp - 24)::INT AS miss, CAST(row_number() OVER (PARTITION BY item_id ORDER BY abs(temp - 24), month) AS INT) AS rank FROM m) SELECT * FROM r WHERE rank <= 3")
+def when_to_go(spark, sf):
+    rows = Fixture(spark, sf).catalog.select("item_id", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"))
+    rows = rows.withColumn("miss", F.abs(15 + (F.col("item_id") * 7 + F.col("month") * 5) % 23 - 24).cast("int"))
+    return recommend.top_k(rows, 3, F.col("miss"), F.col("month"), by="item_id").select("item_id", "month", "miss", "rank")
+
+
+@query(r"SELECT conv_id, turn, regexp_matches(lower(text), '\b(not|no|without)\b') AS negated, try_cast(nullif(regexp_extract(text, '([0-9]{1,6})', 1), '') AS INT) AS number, CASE WHEN regexp_matches(lower(text), '\b(cheap|budget)') THEN 'Budget' WHEN regexp_matches(lower(text), '\bluxur') THEN 'Luxury' END AS budget FROM conversations")
+def intent_rules(spark, sf):
+    low = F.lower("text")
+    return T.table(spark, sf, "conversations").select(
+        "conv_id", "turn", low.rlike(r"\b(not|no|without)\b").alias("negated"), F.nullif(F.regexp_extract("text", "([0-9]{1,6})", 1), F.lit("")).try_cast("int").alias("number"),
+        F.when(low.rlike(r"\b(cheap|budget)"), "Budget").when(low.rlike(r"\bluxur"), "Luxury").alias("budget"),
+    )
+
+
+@query(f"WITH {_POP}, a AS (SELECT user_id, 'Try ' || city || ' in ' || country AS answer, city FROM r_pop JOIN cat USING (item_id) WHERE rank <= 3), g AS (SELECT user_id, CASE WHEN contains(answer, city) AND city IN (SELECT city FROM cat) THEN 1.0 ELSE 0.0 END AS ok FROM a) SELECT user_id, round(avg(ok), 6) AS grounded FROM g GROUP BY 1")
+def grounding_rate(spark, sf):
+    f = Fixture(spark, sf)
+    names = f.catalog.select("item_id", "city", "country")
+    said = f.popular(3).join(F.broadcast(names), "item_id").select("user_id", F.concat_ws(" ", F.lit("Try"), "city", F.lit("in"), "country").alias("answer"))
+    found = said.withColumn("city", F.regexp_extract("answer", "^Try (.*) in ", 1)).join(F.broadcast(names.select("city").distinct().withColumn("ok", F.lit(1.0))), "city", "left")
+    return found.groupBy("user_id").agg(F.round(F.avg(F.coalesce("ok", F.lit(0.0))), 6).alias("grounded"))
+
+
+@query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) SELECT conv_id, turn, role FROM r WHERE rn <= 4")
+def session_memory(spark, sf):
+    w = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
+    return T.table(spark, sf, "conversations").withColumn("rn", F.row_number().over(w)).where("rn <= 4").select("conv_id", "turn", "role")
+
+
+@query(f"WITH {_INTER} SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n FROM inter GROUP BY ALL")
+def daily_counts(spark, sf):
+    return stream.daily_counts(Fixture(spark, sf).inter)
+
+
+_FUN = f"""WITH {_FULL}, s0 AS (SELECT o.user_id, o.item_id, round(o.score + 0.1 * ln(cnt + 1.0), 6) AS score FROM osc o JOIN pop USING (item_id) ANTI JOIN seen s ON s.user_id = o.user_id AND s.item_id = o.item_id),
+s1 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS r0 FROM s0), s2 AS (SELECT s1.*, row_number() OVER (PARTITION BY user_id, country ORDER BY score DESC, item_id) AS turn FROM s1 JOIN cat USING (item_id) WHERE r0 <= 50),
+s3 AS (SELECT user_id, item_id, score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY turn, score DESC, item_id) AS INT) AS rank FROM s2 WHERE turn <= 3) SELECT * FROM s3 WHERE rank <= 10"""
+
+
+@query(_FUN)
+def funnel_end_to_end(spark, sf):
+    f = Fixture(spark, sf)
+    return Funnel().run(f.users, f.personas, f.catalog, f.train)
+
+
+@query()
+def als_recs(spark, sf):
+    """Implicit matrix factors, grades as confidence; also what stands in for two-tower retrieval."""
+    from pyspark.ml.recommendation import ALS
+
+    f = Fixture(spark, sf)
+    rows = split.relevance(f.train).select(F.col("user_id").cast("int").alias("user_id"), "item_id", F.col("grade").cast("float").alias("grade"))
+    model = ALS(userCol="user_id", itemCol="item_id", ratingCol="grade", implicitPrefs=True, rank=16, maxIter=5, seed=1).fit(rows)
+    out = model.recommendForUserSubset(f.judged.select(F.col("user_id").cast("int").alias("user_id")), 10)
+    return out.select("user_id", F.posexplode("recommendations").alias("p", "r")).select("user_id", (F.col("p") + 1).alias("rank"), F.col("r.item_id").alias("item_id"))
+
+
+@query()
+def coarse_logistic(spark, sf):
+    """Logistic regression of test relevance on cheap features: popularity and taste."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    f = Fixture(spark, sf)
+    rows = recommend.persona_scores(f.users.join(f.judged, "user_id", "left_semi"), f.personas, f.catalog).join(F.broadcast(split.popularity(f.train, f.catalog)), "item_id")
+    rows = rows.join(f.rel, ["user_id", "item_id"], "left").withColumn("label", F.col("grade").isNotNull().cast("int"))
+    ready = VectorAssembler(inputCols=["score", "cnt"], outputCol="features").transform(rows)
+    scored = LogisticRegression(maxIter=20).fit(ready).transform(ready)
+    return recommend.top_k(scored.select("user_id", "item_id", vector_to_array("probability")[1].alias("p")), 20, F.col("p").desc(), F.col("item_id"))
+
+
+@query()
+def ann_ivf(spark, sf):
+    """k-means cells; a probe visits the eight nearest cells."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    e = T.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")).withColumn("features", array_to_vector("v"))
+    model = KMeans(k=16, seed=1, maxIter=10).fit(e)
+    cells = F.broadcast(spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "cell int, c array<double>"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).crossJoin(cells)
+    near = recommend.top_k(q.withColumn("s", cosine("q", "c")), 8, F.col("s").desc(), F.col("cell"), by="query_id")
+    held = model.transform(e).select("vec_id", "v", F.col("prediction").alias("cell"))
+    found = near.select("query_id", "q", "cell").join(held, "cell").where("vec_id <> query_id").withColumn("score", F.round(cosine("q", "v"), 6))
+    return recommend.top_k(found, 10, F.col("score").desc(), F.col("vec_id"), by="query_id").select("query_id", "rank", "vec_id", "score")
+
+
+def _generated(f: Fixture, n: int = 300) -> tuple[DataFrame, DataFrame]:
+    some = generate.sessions(generate.users(f.spark, n))
+    return some, generate.interactions(some, f.personas, f.catalog)
+
+
+@query()
+def gen_users(spark, sf):
+    return generate.users(spark, 5000)
+
+
+@query()
+def gen_sessions(spark, sf):
+    return generate.sessions(generate.users(spark, 2000)).select("session_id", "user_id", "start", "f_budget", "f_tag")
+
+
+@query()
+def gen_interactions(spark, sf):
+    return _generated(Fixture(spark, sf))[1]
+
+
+@query()
+def gen_report(spark, sf):
+    return _generated(Fixture(spark, sf))[1].groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("dwell"), 3).alias("mean_dwell"))
