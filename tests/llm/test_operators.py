@@ -187,14 +187,24 @@ def test_class_lm_base_score_and_sums(spark):
     assert classlm.score(docs_of(spark, rows), docs_of(spark, [])).count() == 5
 
 
-def test_exchange_raises_mutual_information():
-    rng = np.random.default_rng(0)
-    pairs = np.zeros((20, 20))
-    for a in range(20):
-        for b in range(20):
-            pairs[a, b] = rng.poisson(50 if a % 2 != b % 2 else 1)
-    of = classlm.exchange(pairs, classes=2, rounds=10)
-    assert len({of[i] for i in range(0, 20, 2)}) == 1 and of[0] != of[1]
+def test_exchange_ends_where_no_single_move_helps():
+    pairs = np.random.default_rng(0).poisson(3, (30, 30)) * np.random.default_rng(1).integers(0, 9, (30, 30)).astype(float)
+    f = lambda x: x * np.log(np.maximum(x, 1))
+
+    def value(of):
+        m = np.eye(4)[of].T @ pairs @ np.eye(4)[of]
+        return f(m).sum() - f(m.sum(axis=0)).sum() - f(m.sum(axis=1)).sum()
+
+    of = classlm.exchange(pairs, classes=4, rounds=100)
+    often = np.argsort(-(pairs.sum(axis=0) + pairs.sum(axis=1)), kind="stable")
+    start = np.empty(30, np.int64)
+    start[often] = np.arange(30) % 4
+    assert value(of) > value(start)
+    for w in range(30):
+        for c in range(4):
+            moved = of.copy()
+            moved[w] = c
+            assert value(moved) <= value(of) + 1e-6
 
 
 def test_language_fusion(spark):
