@@ -6,8 +6,12 @@ each variant with one character deleted. Two lines within one edit either share
 place (a replacement), or the key of one is a variant of the other (an insertion). So each group of equal (variant,
 place) needs links to its earliest member only, and no pairs within a group; links are verified by edit distance.
 
-Before variants are made, halves are compared: lines within one edit share their first or their last half, cut at half
-the shorter one's length. Only lines that share a half with a different line emit variants, which loses no pair.
+Before variants are made, parts are compared: lines within one edit share their first or their last half, cut at half the
+shorter one's length, and likewise all but one of BLOCKS equal blocks. Only lines that share such parts with a different
+line emit variants, which loses no pair.
+
+Where a large table meets few keys, a bitmap of the keys' hashes, of a fixed size, goes to the tasks and spares the shuffle
+of most rows that can't match; the join that follows is exact.
 
 Keys of variants are sums of hashes of (character, place), so all variants of a line take one pass over it.
 """
@@ -21,12 +25,15 @@ from tributary.llm.common import pick, written
 
 #: Bits dropped from each character's hash, so that sums over a line of 2**22 characters can't overflow.
 _SHIFT = 24
+BLOCKS = 16
+#: Bits of a key bitmap: 8 MB, in rows of 32,768 bits.
+BITMAP_BITS = 1 << 26
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, line_no, line): lines that aren't blank, numbered from 0 with blank ones counted."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return rows.where(F.trim(F.regexp_replace("line", r"\s+", " ")) != "")
+    return rows.where(F.col("line").rlike(r"\S"))
 
 
 def _copy_key(line: Column) -> list[Column]:
@@ -54,38 +61,71 @@ def line_table(docs: DataFrame) -> DataFrame:
     return written(_lines(docs).select("doc_id", "text_key", "line_no", *_copy_key(F.col("line")), _halves().alias("halves")))
 
 
+def maybe_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """rows without most of those whose long `key` isn't among keys' (one column, no nulls); none that is gets lost."""
+
+    def slot(name: str) -> list[Column]:
+        at = F.pmod(F.col(name), F.lit(BITMAP_BITS))
+        return [F.shiftright(at, 15).cast("int").alias("_row"), at.bitwiseAND(32767).cast("int").alias("_bit")]
+
+    bits = keys.select(*slot(keys.columns[0])).groupBy("_row").agg(F.bitmap_construct_agg(F.col("_bit")).alias("_bitmap"))
+    met = rows.select("*", *slot(key)).join(F.broadcast(bits), "_row")  # at most BITMAP_BITS / 8 bytes
+    byte = F.conv(F.hex(F.substring("_bitmap", F.shiftright("_bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return met.where(F.getbit(byte, F.col("_bit").bitwiseAND(7)) == 1).select(*rows.columns)
+
+
+def _but_one_block() -> Column:
+    """Keys of the line without one of its blocks, for this length and for one less; blocks may be empty."""
+    n = F.length("line")
+
+    def keys(size: Column) -> Column:
+        def key(i: Column) -> Column:
+            before, after = F.floor(size * i / BLOCKS).cast("int"), (size - F.floor(size * (i + 1) / BLOCKS)).cast("int")
+            return F.xxhash64(i, size, F.substr("line", F.lit(1), before), F.substr("line", n - after + F.lit(1), after))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), key)
+
+    return F.array_distinct(F.concat(keys(n), keys(n - 1)))
+
+
+def _sharing(parts: DataFrame, part: str) -> DataFrame:
+    """The part keys that different lines have; parts holds h1, h2 and the part."""
+    same = F.struct("h1", "h2")
+    return parts.groupBy(part).agg(F.min(same).alias("a"), F.max(same).alias("b")).where(F.col("a") != F.col("b")).select(part)
+
+
 def near_links(docs: DataFrame, occurrences: DataFrame) -> DataFrame:
     """(h1, h2): keys of lines that have an earlier different line within one edit."""
     key = ["h1", "h2"]
     halves = occurrences.select(*key, F.explode("halves").alias("half"))
-    same = F.struct(*key)
-    shared = halves.groupBy("half").agg(F.min(same).alias("a"), F.max(same).alias("b")).where(F.col("a") != F.col("b")).select("half")
-    possible = halves.join(shared, "half", "left_semi").select(*key).distinct()
-    firsts = occurrences.join(possible, key, "left_semi").groupBy(*key).agg(F.min(_order("doc_id", "text_key", "line_no")).alias("first"))
-    texts = _lines(docs).select(*_copy_key(F.col("line")), "line").join(possible, key, "left_semi").groupBy(*key).agg(F.first("line").alias("line"))
-    lines = written(firsts.join(texts, key))
-
-    chars = lines.select(*key, "first", F.length("line").alias("n"), F.posexplode(F.regexp_extract_all("line", F.lit("(?s)."), F.lit(0))).alias("place", "char"))
-    upto = Window.partitionBy(*key).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*key).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    shared = written(_sharing(halves, "half"))
+    possible = written(maybe_in(halves, "half", shared).join(shared, "half", "left_semi").select(*key).distinct())
+    texts = maybe_in(_lines(docs).select(*_copy_key(F.col("line")), "doc_id", "text_key", "line_no", "line"), "h1", possible.select("h1"))
+    found = written(texts.join(possible, key, "left_semi").groupBy(*key).agg(F.min(_order("doc_id", "text_key", "line_no")).alias("first"), F.first("line").alias("line")))
+    blocks = written(found.select(*key, F.explode(_but_one_block()).alias("block")))
+    close = blocks.join(_sharing(blocks, "block"), "block", "left_semi").select(*key).distinct()
+    # numbered in their order: ids grow from one sorted partition to the next
+    lines = written(found.join(close, key, "left_semi").orderBy("first").withColumn("id", F.monotonically_increasing_id()).select("id", *key, "line"))
+
+    chars = lines.select("id", F.length("line").alias("n"), F.posexplode(F.regexp_extract_all("line", F.lit("(?s)."), F.lit(0))).alias("place", "char"))
+    upto = Window.partitionBy("id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("id").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     here, moved = F.shiftrightunsigned(F.xxhash64("char", F.col("place")), _SHIFT), F.shiftrightunsigned(F.xxhash64("char", F.col("place") - 1), _SHIFT)
-    sums = chars.withColumn("here", here).withColumn("moved", moved)
-    sums = sums.select(*key, "first", "n", "place", "here", F.sum("here").over(upto).alias("before"), F.sum("moved").over(upto).alias("gone"), F.sum("moved").over(whole).alias("all_moved"), F.sum("here").over(whole).alias("all_here"))
-    member = F.struct("first", "h1", "h2").alias("member")
-    variants = sums.select((F.col("n") - 1).alias("size"), (F.col("before") - F.col("here") + F.col("all_moved") - F.col("gone")).alias("variant"), "place", member)
-    own = sums.where("place = 0").select(F.col("n").alias("size"), F.col("all_here").alias("variant"), member)
+    sums = chars.select("id", "n", "place", here.alias("here"), moved.alias("moved"))
+    sums = sums.select("id", "n", "place", "here", F.sum("here").over(upto).alias("before"), F.sum("moved").over(upto).alias("gone"), F.sum("moved").over(whole).alias("all_moved"), F.sum("here").over(whole).alias("all_here"))
+    variants = sums.select((F.col("n") - 1).alias("size"), (F.col("before") - F.col("here") + F.col("all_moved") - F.col("gone")).alias("variant"), "place", "id", "all_here")
+    variants = written(variants)
+    own = variants.where("place = 0").select((F.col("size") + 1).alias("size"), F.col("all_here").alias("variant"), F.col("id").alias("shorter"))
 
     # replacements: the members of a (variant, place) differ in one character, so a group is no larger than the alphabet
     group = Window.partitionBy("size", "variant", "place")
-    replaced = variants.withColumn("earliest", F.min("member").over(group)).where(F.col("earliest") != F.col("member")).select(F.col("member").alias("later"), F.col("earliest").alias("earlier"))
+    replaced = variants.withColumn("earlier", F.min("id").over(group)).where(F.col("earlier") != F.col("id")).select(F.col("id").alias("later"), "earlier")
     # insertions: a variant equals another line
-    inserted = variants.select("size", "variant", F.col("member").alias("longer")).join(own.withColumnRenamed("member", "shorter"), ["size", "variant"])
+    inserted = variants.select("size", "variant", F.col("id").alias("longer")).join(own, ["size", "variant"])
     inserted = inserted.select(F.greatest("longer", "shorter").alias("later"), F.least("longer", "shorter").alias("earlier"))
     links = replaced.unionByName(inserted).distinct()
-
-    text = lines.select("h1", "h2", "line")
-    links = links.select(F.col("later.h1").alias("h1"), F.col("later.h2").alias("h2"), F.col("earlier.h1").alias("e1"), F.col("earlier.h2").alias("e2"))
-    checked = links.join(text, key).join(text.toDF("e1", "e2", "earlier_line"), ["e1", "e2"]).where(F.levenshtein("line", "earlier_line", 1).between(0, 1))
+    text = lines.select("id", "line")
+    checked = links.join(lines.withColumnRenamed("id", "later"), "later").join(text.toDF("earlier", "earlier_line"), "earlier").where(F.levenshtein("line", "earlier_line", 1).between(0, 1))
     return checked.select(*key).distinct()
 
 
@@ -105,19 +145,21 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     occurrences = line_table(slim)
     key = ["h1", "h2"]
     order = _order("doc_id", "text_key", "line_no")
-    near = near_links(slim, occurrences).withColumn("near", F.lit(True))
-    counted = occurrences.groupBy(*key).agg(F.min(order).alias("first"), F.max(order).alias("last"))
-    repeated = counted.join(near, key, "left").where(F.col("near") | (F.col("first") != F.col("last"))).select(*key, "first", F.coalesce("near", F.lit(False)).alias("near"))
-    marked = occurrences.withColumn("order", order).select("doc_id", "text_key", "line_no", *key, "order").join(repeated, key)
+    near = written(near_links(slim, occurrences)).withColumn("near", F.lit(True))
+    counted = occurrences.groupBy(*key).agg(F.min(order).alias("first"), F.count("*").alias("times"))
+    repeated = counted.join(near, key, "left").where(F.col("near") | (F.col("times") > 1)).select(*key, "first", F.coalesce("near", F.lit(False)).alias("near"))
+    repeated = written(repeated)
+    marked = maybe_in(occurrences.select("doc_id", "text_key", "line_no", *key), "h1", repeated.select("h1")).withColumn("order", order).join(repeated, key)
     gone = marked.select("doc_id", "text_key", "line_no", (F.col("order") != F.col("first")).alias("copy"), "near").where("copy or near").distinct()
     by_doc = gone.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("gone"), F.count_if("copy").alias("n_copies"), F.count_if(~F.col("copy")).alias("n_near"))
 
     lines = F.split(F.col("_text"), "\n", -1)
     body = named.withColumn("_text", F.col(i_text).cast("string")).withColumn("_key", F.xxhash64("_text"))
-    joined = body.join(by_doc, body[i_id].eqNullSafe(by_doc["doc_id"]) & (body["_key"] == by_doc["text_key"]), "left")
+    # both sides are sorted by key at every size; the losses of all documents have no bound that a broadcast needs
+    joined = body.join(by_doc.hint("merge"), body[i_id].eqNullSafe(by_doc["doc_id"]) & (body["_key"] == by_doc["text_key"]), "left")
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     kept = F.when(F.col("gone").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(places, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    some = F.coalesce(F.size(F.filter("_lines", lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")) != "")), F.lit(0)).cast("long")
+    some = F.coalesce(F.size(F.filter("_lines", lambda x: x.rlike(r"\S"))), F.lit(0)).cast("long")
     zero = F.lit(0).cast("long")
     out = joined.withColumn("_lines", lines).select(
         *[F.col(f"_c{i}") for i in range(len(columns))],
