@@ -13,6 +13,7 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 
 from tributary.llm.common import pick, written
 
-MEMO_CHUNKS = 1 << 19
+MEMO_CHUNKS = 1 << 20
+LONG_CHUNK = 64
+WORDS_AT_ONCE = 4096
 ROWS_OUT = 1000
 SALTS = 256
 _PLAIN = regex.compile(r"[\x21-\x7EÀ-ÖØ-öø-ÿ]+")
@@ -32,7 +35,8 @@ class ChunkIds(dict):
     """Chunk between spaces -> packed ids, by the tokenizers library. Emptied when full, so its memory is bounded.
 
     The vocabulary drops white space and never merges across it, so a text's ids are those of its chunks in order.
-    A chunk of ASCII and Latin-1 letters is put together from its words, which repeat more often than chunks.
+    A chunk of ASCII and Latin-1 letters is put together from its words, which repeat more often than chunks; new words
+    are encoded many at a time, as a call costs more than a word.
     """
 
     def __init__(self, path: str):
@@ -46,36 +50,59 @@ class ChunkIds(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.words: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
 
     def ids(self, text: str) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def __missing__(self, chunk: str) -> bytes:
+    def learn_words(self, words: list[str]) -> None:
+        """Ids of new words, cut where one ends; a word at a time where the ends don't tell them apart."""
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            some = words[at : at + WORDS_AT_ONCE]
+            got = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(self.ends[got]) + 1
+            if len(cuts) == len(some):
+                packed = got.tobytes()
+                bounds = [0, *(4 * cuts).tolist()]
+                self.words.update(zip(some, (packed[i:j] for i, j in zip(bounds, bounds[1:]))))
+            else:
+                self.words.update((w, self.ids(w)) for w in some)
+
+    def learn(self, chunks: set[str]) -> None:
+        """Holds all of these chunks but the long ones afterwards."""
         if len(self) >= MEMO_CHUNKS:
             self.clear()
         if len(self.words) >= MEMO_CHUNKS:
             self.words.clear()
-        if not _PLAIN.fullmatch(chunk) or "<|" in chunk:
-            out = self.ids(chunk)
-        else:
-            words = _WORDS.findall(chunk.lower())
-            for w in words:
-                if w not in self.words:
-                    self.words[w] = self.ids(w)
-            out = b"".join(map(self.words.__getitem__, words))
-        if len(chunk) <= 64:
-            self[chunk] = out
-        return out
+        plain = {}
+        for chunk in chunks:
+            if chunk in self or len(chunk) > LONG_CHUNK:
+                continue
+            if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
+                plain[chunk] = _WORDS.findall(chunk.lower())
+            else:
+                self[chunk] = self.ids(chunk)
+        self.learn_words(list({w for words in plain.values() for w in words if w not in self.words}))
+        for chunk, words in plain.items():
+            self[chunk] = b"".join(map(self.words.__getitem__, words))
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.ids(chunk)
 
 
 _LOADED: dict[str, ChunkIds] = {}
 
 
-def text_ids(path: str, text: str) -> bytes:
-    """The packed ids of a whole text."""
+def texts_ids(path: str, texts: list[str]) -> Iterator[bytes]:
+    """The packed ids of whole texts."""
     if path not in _LOADED:
         _LOADED[path] = ChunkIds(path)
-    return b"".join(map(_LOADED[path].__getitem__, text.replace("\n", " ").split(" ")))
+    memo = _LOADED[path]
+    lists = [text.replace("\n", " ").split(" ") for text in texts]
+    memo.learn(set().union(*lists))
+    for chunks in lists:
+        yield b"".join(map(memo.__getitem__, chunks))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,8 +118,8 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, id_col: s
             for at in range(0, batch.num_rows, ROWS_OUT):
                 part = batch.slice(at, ROWS_OUT)
                 rows, numbers, starts, cut = [], [], [], []
-                for row, text in enumerate(part.column(1).to_pylist()):
-                    packed = text_ids(path, text or "") + end
+                for row, packed in enumerate(texts_ids(path, [t or "" for t in part.column(1).to_pylist()])):
+                    packed += end
                     for k, start in enumerate(range(0, len(packed), 4 * capacity)):
                         rows.append(row)
                         numbers.append(k)
