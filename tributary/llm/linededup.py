@@ -21,13 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.common import pick, written
+from tributary.llm.common import maybe_in, pick, written
 
 #: Bits dropped from each character's hash, so that sums over a line of 2**22 characters can't overflow.
 _SHIFT = 24
 BLOCKS = 16
-#: Bits of a key bitmap: 8 MB, in rows of 32,768 bits.
-BITMAP_BITS = 1 << 26
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -61,19 +59,6 @@ def line_table(docs: DataFrame) -> DataFrame:
     return written(_lines(docs).select("doc_id", "text_key", "line_no", *_copy_key(F.col("line")), _halves().alias("halves")))
 
 
-def maybe_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """rows without most of those whose long `key` isn't among keys' (one column, no nulls); none that is gets lost."""
-
-    def slot(name: str) -> list[Column]:
-        at = F.pmod(F.col(name), F.lit(BITMAP_BITS))
-        return [F.shiftright(at, 15).cast("int").alias("_row"), at.bitwiseAND(32767).cast("int").alias("_bit")]
-
-    bits = keys.select(*slot(keys.columns[0])).groupBy("_row").agg(F.bitmap_construct_agg(F.col("_bit")).alias("_bitmap"))
-    met = rows.select("*", *slot(key)).join(F.broadcast(bits), "_row")  # at most BITMAP_BITS / 8 bytes
-    byte = F.conv(F.hex(F.substring("_bitmap", F.shiftright("_bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
-    return met.where(F.getbit(byte, F.col("_bit").bitwiseAND(7)) == 1).select(*rows.columns)
-
-
 def _but_one_block() -> Column:
     """Keys of the line without one of its blocks, for this length and for one less; blocks may be empty."""
     n = F.length("line")

@@ -1,9 +1,13 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 Documents of equal shingle sets are one class, told by a digest of the set. Bands of the representatives' MinHash
-signatures give candidates. In a band's group only links to the group's least member are tried first; connected
-components of the links that hold then leave few groups with more than one component, and only pairs across components
-are tried there, so no link between different texts is lost and a large group of copies never makes all its pairs.
+signatures give candidates, tried in rounds. In each round connected components of the links found so far leave the groups
+that still hold more than one component. The first two rounds try one pair for each document, with the least member of one
+of its groups; the third tries every such pair across components; the last tries all pairs across components that are
+left, so no link between different texts is lost and a large group of copies never makes all its pairs.
+
+Most bands occur once. They are counted by key alone, and a bitmap of the repeated ones spares the others the shuffle.
+Signatures hold 16 bits a value; chance equality (2**-16) only makes pruning a little milder.
 
 A candidate pair's signatures are compared batch by batch; it goes as soon as the posterior probability that its
 similarity reaches the threshold, under a uniform prior, falls below the chosen miss probability. What is left is confirmed
@@ -21,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import components, pick, written
+from tributary.llm.common import components, maybe_in, pick, written
 
 BANDS, ROWS = 45, 7
 BATCH = 45
@@ -87,34 +91,28 @@ def signer(size: int, seed: int = 1):
 
 
 def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, text_key, n_shingles, d1, d2, bands array<long>, signature binary)."""
+    """Rows (doc_id, text_key, n_shingles, d1, d2, signature binary: 16-bit values, little-endian)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = signer(BANDS * ROWS)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_OUT):
                 part = batch.slice(at, ROWS_OUT)
-                counts, d1, d2, bands, signs = [], [], [], [], []
+                counts, d1, d2, signs = [], [], [], []
                 for text in part.column(2).to_pylist():
                     found = shingles(text, width)
                     counts.append(len(found))
                     digest = xxhash.xxh3_128_digest(found.tobytes()) if len(found) else bytes(16)
                     d1.append(int.from_bytes(digest[:8], "little", signed=True))
                     d2.append(int.from_bytes(digest[8:], "little", signed=True))
-                    if len(found):
-                        s = sign(found)
-                        signs.append(s.tobytes())
-                        bands.append([xxhash.xxh3_64_intdigest(s[b * ROWS : (b + 1) * ROWS].tobytes(), seed=b) - 2**63 for b in range(BANDS)])
-                    else:
-                        signs.append(None)
-                        bands.append(None)
+                    signs.append(sign(found).astype("<u2").tobytes() if len(found) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(counts, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(signs, pa.binary())],
-                    names=["doc_id", "text_key", "n_shingles", "d1", "d2", "bands", "signature"],
+                    [part.column(0), part.column(1), pa.array(counts, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(signs, pa.binary())],
+                    names=["doc_id", "text_key", "n_shingles", "d1", "d2", "signature"],
                 )
 
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, d1 long, d2 long, bands array<long>, signature binary")
+    return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, d1 long, d2 long, signature binary")
 
 
 def least_matches(percent: int, miss: float) -> list[int]:
@@ -140,7 +138,7 @@ def plausible(pairs: DataFrame, percent: int, miss: float) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in ("sa", "sb"))
             alive, equal = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             for i, least in enumerate(need):
                 cut = slice(i * BATCH, (i + 1) * BATCH)
@@ -156,7 +154,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_co
     """Those of the pairs (a, ka, b, kb) whose full shingle sets reach the similarity: rows (a, b)."""
     ends = pairs.select(F.col("a").alias("id"), F.col("ka").alias("key")).unionByName(pairs.select(F.col("b").alias("id"), F.col("kb").alias("key"))).distinct()
     texts = pick(docs, id_col, text_col).toDF("id", "text").select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
-    texts = written(texts.join(ends, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]))
+    texts = maybe_in(texts, "id", ends.select("id"))
+    texts = written(texts.join(ends.hint("merge"), ["id", "key"], "left_semi").dropDuplicates(["id", "key"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, np.empty(0, _U)
@@ -175,7 +174,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_co
                 yield pa.RecordBatch.from_arrays([keep.column("a"), keep.column("b")], names=["a", "b"])
 
     texts = texts.select("id", "key", "text")
-    joined = pairs.join(texts.toDF("a", "ka", "ta"), ["a", "ka"]).join(texts.toDF("b", "kb", "tb"), ["b", "kb"])
+    joined = pairs.join(texts.toDF("a", "ka", "ta").hint("merge"), ["a", "ka"]).join(texts.toDF("b", "kb", "tb").hint("merge"), ["b", "kb"])
     return joined.select("a", "b", "kb", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
@@ -189,39 +188,63 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
     signed = written(signatures(docs, width, id_col, text_col))
     alike = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = written(
-        alike.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "text_key", "bands", "signature")).alias("r"), F.first("n_shingles").alias("n"))
-        .select("d1", "d2", F.col("r.doc_id").alias("node"), F.col("r.text_key").alias("key"), "n", F.col("r.bands").alias("bands"), F.col("r.signature").alias("signature"))
+        alike.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "text_key", "signature")).alias("r"), F.first("n_shingles").alias("n"))
+        .select("d1", "d2", F.col("r.doc_id").alias("node"), F.col("r.text_key").alias("key"), "n", F.col("r.signature").alias("signature"))
     )
-    member = F.struct(F.col("node"), F.col("key"), F.col("n"))
-    banded = reps.select(F.explode("bands").alias("band"), member.alias("m"))
-    groups = banded.groupBy("band").agg(F.min("m").alias("c"), F.count("*").alias("rows")).where("rows > 1").select("band", "c")
-    grouped = written(banded.join(groups, "band"))
-    close = F.expr(f"least(m.n, c.n) * 100 >= {percent} * greatest(m.n, c.n)")
-    star = grouped.where(F.col("m") != F.col("c")).where(close).select("m", "c").distinct()
-    links = written(_links(star, reps, docs, width, percent, miss, id_col, text_col))
-
-    of = components(links).withColumnRenamed("node", "id")
-    placed = grouped.join(of, F.col("m.node") == F.col("id"), "left").select("band", "m", F.coalesce("component", "m.node").alias("g"))
-    mixed_groups = placed.groupBy("band").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("band")
-    open_rows = written(placed.join(mixed_groups, "band"))
-    across = open_rows.join(open_rows.select("band", F.col("m").alias("c"), F.col("g").alias("h")), "band").where("g > h").where(close)
-    across = across.select("m", "c").distinct().join(star, ["m", "c"], "left_anti").join(star.toDF("c", "m"), ["m", "c"], "left_anti")
-    more = written(_links(across, reps, docs, width, percent, miss, id_col, text_col))
-    if more.isEmpty():
-        final = of
-    else:
-        final = components(links.unionByName(more)).withColumnRenamed("node", "id")
-
-    classes = reps.join(final, reps["node"] == final["id"], "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id"))
+    of = _components_by_rounds(reps, docs, width, percent, miss, id_col, text_col)
+    classes = reps.select("d1", "d2", "node").join(of, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id"))
     linked = alike.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id")
     rest = signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _banded(reps: DataFrame) -> DataFrame:
+    """Rows (band, m): each band's hash with its member (node, key, n)."""
+    size = 2 * ROWS
+    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substr("signature", i * size + 1, F.lit(size))))
+    return reps.select(F.explode(band).alias("band"), F.struct("node", "key", "n").alias("m"))
+
+
+def _components_by_rounds(reps: DataFrame, docs: DataFrame, width: int, percent: int, miss: float, id_col: str, text_col: str) -> DataFrame:
+    """Rows (node, component) of all representatives that have a link."""
+    banded = _banded(reps)
+    repeated = written(banded.groupBy("band").count().where("count > 1").select("band"))
+    group_rows = written(maybe_in(banded, "band", repeated).join(repeated, "band", "left_semi"))
+    close = F.expr(f"least(m.n, c.n) * 100 >= {percent} * greatest(m.n, c.n)")
+    of = reps.sparkSession.createDataFrame([], "node long, component long")
+    tested = links = None
+    for tries in ("one", "one", "least", "all"):
+        known = of.select(F.col("node").alias("id"), "component")
+        placed = group_rows.join(known, F.col("m.node") == F.col("id"), "left").select("band", "m", F.coalesce("component", "m.node").alias("g"))
+        least = placed.groupBy("band").agg(F.min(F.struct("m", "g")).alias("c"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi")
+        left = written(placed.join(least, "band").select("band", "m", "g", F.col("c.m").alias("c"), F.col("c.g").alias("h")))
+        if left.isEmpty():
+            break
+        group_rows = left.select("band", "m")
+        if tries == "all":
+            pairs = left.select("band", "m", "g").join(left.select("band", F.col("m").alias("c"), F.col("g").alias("h")), "band").where("g > h")
+        else:
+            pairs = left.where("g <> h")
+        pairs = pairs.where(close).select("m", "c").distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["m", "c"], "left_anti").join(tested.toDF("c", "m"), ["m", "c"], "left_anti")
+        if tries == "one":
+            pairs = pairs.groupBy("m").agg(F.min("c").alias("c"))
+        pairs = written(pairs)
+        if pairs.isEmpty():
+            continue
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        found = written(_links(pairs, reps, docs, width, percent, miss, id_col, text_col))
+        links = found if links is None else links.unionByName(found)
+        of = written(components(links))
+    return of
+
+
 def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int, miss: float, id_col: str, text_col: str) -> DataFrame:
     """Rows (a, b): those of the pairs (m, c) that hold."""
     flat = pairs.select(F.col("m.node").alias("a"), F.col("m.key").alias("ka"), F.col("c.node").alias("b"), F.col("c.key").alias("kb"))
-    signs = reps.select("node", "key", "signature")
-    signed = flat.join(signs.toDF("a", "ka", "sa"), ["a", "ka"]).join(signs.toDF("b", "kb", "sb"), ["b", "kb"])
+    ends = flat.select("a").union(flat.select("b")).distinct()
+    signs = written(maybe_in(reps.select("node", "key", "signature"), "node", ends))
+    signed = flat.join(signs.toDF("a", "ka", "sa").hint("merge"), ["a", "ka"]).join(signs.toDF("b", "kb", "sb").hint("merge"), ["b", "kb"])
     left = written(plausible(signed, percent, miss))
     return confirmed(left, docs, width, percent, id_col, text_col)
