@@ -1,10 +1,12 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 Documents of equal shingle sets are one class, told by a digest of the set. Bands of the representatives' MinHash
-signatures give candidates, tried in rounds. In each round connected components of the links found so far leave the groups
-that still hold more than one component. The first two rounds try one pair for each document, with the least member of one
-of its groups; the third tries every such pair across components; the last tries all pairs across components that are
-left, so no link between different texts is lost and a large group of copies never makes all its pairs.
+signatures give candidates, tried in two rounds. The first tries one pair for each document, with the least member of one
+of its groups, and joins what is linked into components. The second takes the documents of groups that still hold more than
+one component. Among these, two documents of different components can only reach the similarity if they share a shingle
+that stands early enough in both when shingles are put in one common order, those of a single component and rare ones
+first. Pairs that share such a shingle are the candidates: none that links components is lost, and a large group of copies
+doesn't make all its pairs.
 
 Most bands occur once. They are counted by key alone, and a bitmap of the repeated ones spares the others the shuffle.
 Signatures hold 16 bits a value; chance equality (2**-16) only makes pruning a little milder.
@@ -22,7 +24,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.llm.common import components, maybe_in, pick, written
@@ -30,6 +32,7 @@ from tributary.llm.common import components, maybe_in, pick, written
 BANDS, ROWS = 45, 7
 BATCH = 45
 ROWS_OUT = 500
+SHINGLES_OUT = 1 << 18
 MEMO_WORDS = 1 << 19
 _U = np.uint64
 
@@ -150,12 +153,17 @@ def plausible(pairs: DataFrame, percent: int, miss: float) -> DataFrame:
     return pairs.select("a", "ka", "b", "kb", "sa", "sb").mapInArrow(run, "a long, ka long, b long, kb long")
 
 
+def _texts(docs: DataFrame, ends: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (id, key, text) of the documents named by ends (id, key); repeated rows once."""
+    texts = pick(docs, id_col, text_col).toDF("id", "text").select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
+    texts = maybe_in(texts, "id", ends.select("id"))
+    return texts.join(ends.hint("merge"), ["id", "key"], "left_semi").dropDuplicates(["id", "key"]).select("id", "key", "text")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Those of the pairs (a, ka, b, kb) whose full shingle sets reach the similarity: rows (a, b)."""
     ends = pairs.select(F.col("a").alias("id"), F.col("ka").alias("key")).unionByName(pairs.select(F.col("b").alias("id"), F.col("kb").alias("key"))).distinct()
-    texts = pick(docs, id_col, text_col).toDF("id", "text").select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
-    texts = maybe_in(texts, "id", ends.select("id"))
-    texts = written(texts.join(ends.hint("merge"), ["id", "key"], "left_semi").dropDuplicates(["id", "key"]))
+    texts = written(_texts(docs, ends, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, np.empty(0, _U)
@@ -173,7 +181,6 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_co
                 keep = part.take(pa.array(good, pa.int64()))
                 yield pa.RecordBatch.from_arrays([keep.column("a"), keep.column("b")], names=["a", "b"])
 
-    texts = texts.select("id", "key", "text")
     joined = pairs.join(texts.toDF("a", "ka", "ta").hint("merge"), ["a", "ka"]).join(texts.toDF("b", "kb", "tb").hint("merge"), ["b", "kb"])
     return joined.select("a", "b", "kb", "ta", "tb").mapInArrow(run, "a long, b long")
 
@@ -211,33 +218,63 @@ def _components_by_rounds(reps: DataFrame, docs: DataFrame, width: int, percent:
     repeated = written(banded.groupBy("band").count().where("count > 1").select("band"))
     group_rows = written(maybe_in(banded, "band", repeated).join(repeated, "band", "left_semi"))
     close = F.expr(f"least(m.n, c.n) * 100 >= {percent} * greatest(m.n, c.n)")
-    of = reps.sparkSession.createDataFrame([], "node long, component long")
-    tested = links = None
-    for tries in ("one", "one", "least", "all"):
-        known = of.select(F.col("node").alias("id"), "component")
-        placed = group_rows.join(known, F.col("m.node") == F.col("id"), "left").select("band", "m", F.coalesce("component", "m.node").alias("g"))
-        least = placed.groupBy("band").agg(F.min(F.struct("m", "g")).alias("c"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi")
-        left = written(placed.join(least, "band").select("band", "m", "g", F.col("c.m").alias("c"), F.col("c.g").alias("h")))
-        if left.isEmpty():
-            break
-        group_rows = left.select("band", "m")
-        if tries == "all":
-            pairs = left.select("band", "m", "g").join(left.select("band", F.col("m").alias("c"), F.col("g").alias("h")), "band").where("g > h")
-        else:
-            pairs = left.where("g <> h")
-        pairs = pairs.where(close).select("m", "c").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["m", "c"], "left_anti").join(tested.toDF("c", "m"), ["m", "c"], "left_anti")
-        if tries == "one":
-            pairs = pairs.groupBy("m").agg(F.min("c").alias("c"))
-        pairs = written(pairs)
-        if pairs.isEmpty():
-            continue
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = written(_links(pairs, reps, docs, width, percent, miss, id_col, text_col))
-        links = found if links is None else links.unionByName(found)
-        of = written(components(links))
-    return of
+    first = group_rows.groupBy("band").agg(F.min("m").alias("c"))
+    pairs = group_rows.join(first, "band").where((F.col("m.node") != F.col("c.node")) & close).groupBy("m").agg(F.min("c").alias("c"))
+    links = written(_links(written(pairs), reps, docs, width, percent, miss, id_col, text_col))
+    of = written(components(links))
+    known = of.select(F.col("node").alias("id"), "component")
+    placed = group_rows.join(known, F.col("m.node") == F.col("id"), "left").select("band", "m", F.coalesce("component", "m.node").alias("g"))
+    mixed = placed.groupBy("band").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("band")
+    open_nodes = written(placed.join(mixed, "band", "left_semi").select("m.node", "m.key", "m.n", "g").distinct())
+    pairs = written(_prefix_pairs(open_nodes, docs, width, percent, id_col, text_col))
+    more = written(_links(pairs, reps, docs, width, percent, miss, id_col, text_col))
+    return components(links.unionByName(more))
+
+
+def _shingle_rows(texts: DataFrame, width: int) -> DataFrame:
+    """Rows (node, key, n, g, t): each shingle t of texts (node, key, n, g, text)."""
+    names = ["node", "key", "n", "g"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[np.ndarray] = []
+            rows: list[int] = []
+            for row in range(batch.num_rows):
+                held.append(shingles(batch.column(4)[row].as_py(), width))
+                rows.append(row)
+                if row + 1 == batch.num_rows or sum(map(len, held)) >= SHINGLES_OUT:
+                    at = pa.array(np.repeat(rows, [len(h) for h in held]), pa.int64())
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in names), pa.array(np.concatenate(held).view(np.int64))], names=[*names, "t"])
+                    held, rows = [], []
+
+    return texts.select(*names, "text").mapInArrow(run, "node long, key long, n long, g long, t long")
+
+
+def _prefix_pairs(nodes: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Pairs (m, c) of nodes (node, key, n, g) of different g that may reach the similarity; no pair that does is missing.
+
+    Sets of sizes x and y reach it with an overlap of percent * (x + y) / (100 + percent) or more. With shingles in one
+    order, the first that both hold, at places i and j, leaves an overlap of at most x - i and y - j. Any order will do:
+    shingles of a single g come first, as they can't be in both, then rarer ones.
+    """
+    texts = _texts(docs, nodes.select(F.col("node").alias("id"), "key"), id_col, text_col).withColumnRenamed("id", "node")
+    rows = written(_shingle_rows(nodes.join(texts.hint("merge"), ["node", "key"]), width))
+    mixed = rows.groupBy("t").agg(F.count("*").alias("times"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi")
+    mixed = written(mixed.select("t", "times"))
+    of_node = Window.partitionBy("node", "key")
+    met = maybe_in(rows, "t", mixed.select("t")).join(mixed, "t")
+    met = met.withColumn("shared", F.count("*").over(of_node)).where(100 * F.col("shared") >= percent * F.col("n"))
+    met = met.withColumn("i", F.col("n") - F.col("shared") + F.row_number().over(of_node.orderBy("times", "t")) - 1)
+    early = written(met.where(100 * (F.col("n") - F.col("i")) >= percent * F.col("n")).select("t", "node", "key", "n", "g", "i"))
+    # most holders of a shingle are of one component by now: only the others look for partners
+    main = early.groupBy("t", "g").count().groupBy("t").agg(F.max_by("g", F.struct("count", "g")).alias("main"), F.count("*").alias("of")).where("of > 1").select("t", "main")
+    early = written(early.join(main, "t"))
+    ours = early.where("g <> main").select("t", F.col("g").alias("h"), F.col("i").alias("j"), F.struct("node", "key", "n").alias("c"))
+    theirs = early.select("t", "g", "main", "i", F.struct("node", "key", "n").alias("m"))
+    least = percent * (F.col("m.n") + F.col("c.n"))
+    reach = ((100 + percent) * (F.col("m.n") - F.col("i")) >= least) & ((100 + percent) * (F.col("c.n") - F.col("j")) >= least)
+    across = (F.col("g") != F.col("h")) & ((F.col("g") == F.col("main")) | (F.col("g") > F.col("h")))
+    return ours.join(theirs, "t").where(reach & across).select("m", "c").distinct()
 
 
 def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int, miss: float, id_col: str, text_col: str) -> DataFrame:
