@@ -207,6 +207,46 @@ def test_exchange_ends_where_no_single_move_helps():
             assert value(moved) <= value(of) + 1e-6
 
 
+def test_every_training_word_has_the_class_of_its_contexts(spark, monkeypatch):
+    rng = random.Random(4)
+    a, b, c, d = ([f"{g}{i}" for i in range(classlm.HEAD // 4)] for g in "abcd")
+    filler = [*a, *b, *c, *d]
+    rows = [" ".join(w for _ in range(60) for w in (rng.choice(one), rng.choice(two))) for one, two in ((a, b), (c, d)) for _ in range(50)] + [" ".join(filler)] * 3
+    xs, ys = [f"x{i}end" for i in range(12)], [f"y{i}end" for i in range(12)]  # behind the head, and equal in their last bytes
+    rows += [f"{a[k]} {x} {a[-1 - k]}" for k, x in enumerate(xs)] * 2 + [f"{c[k]} {y} {c[-1 - k]}" for k, y in enumerate(ys)] * 2
+    monkeypatch.setattr(classlm, "COUNTED", classlm.HEAD + 10)  # some words beyond the head are counted, some are joined
+    ends = []
+    whole = classlm.cluster
+    monkeypatch.setattr(classlm, "cluster", lambda texts, keys, *start: ends.append((keys, *whole(texts, keys, *start))) or ends[0][1:])
+    train = docs_of(spark, list(enumerate(rows)))
+    asked = docs_of(spark, [(0, f"{a[0]} {xs[0]} {a[-1]}"), (1, f"{a[0]} {ys[0]} {a[-1]}"), (2, f"{c[5]} {ys[5]} {c[9]}"), (3, f"{c[5]} {xs[5]} {c[9]}")])
+    got = {r.doc_id: r.score for r in classlm.score(asked, train).collect()}
+    assert got[0] > got[1] + 0.1 and got[2] > got[3] + 0.1
+
+    keys, of, others, m = ends[0]
+    class_of = dict(zip(keys.tolist(), of.tolist())) | {r.key: r["class"] for r in others.collect()}
+    key = {w: classlm.key_of(w.encode()) for t in rows for w in t.split()} | {"": classlm.END_KEY}
+    assert set(class_of) == set(key.values())
+    around = {w: {} for w in key}
+    real = np.zeros((classlm.CLASSES, classlm.CLASSES))
+    for t in rows:
+        ws = ["", *t.split(), ""]
+        for pair in zip(ws, ws[1:]):
+            real[class_of[key[pair[0]]], class_of[key[pair[1]]]] += 1
+            for w in set(pair):
+                around[w][pair] = around[w].get(pair, 0) + 1
+    assert (real == m).all()
+    best = classlm.information(m)
+    for w in [*xs, *ys, *rng.sample(filler, 60), ""]:
+        for other in range(classlm.CLASSES):
+            to = class_of | {key[w]: other}
+            moved = m.copy()
+            for (u, v), n in around[w].items():
+                moved[class_of[key[u]], class_of[key[v]]] -= n
+                moved[to[key[u]], to[key[v]]] += n
+            assert classlm.information(moved) <= best + 1e-6
+
+
 def test_language_fusion(spark):
     rng = random.Random(2)
     text = lambda ws: " ".join(rng.choice(ws) for _ in range(30))

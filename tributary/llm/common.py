@@ -39,6 +39,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Takes away the table of a written() that nothing reads any more."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def maybe_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """rows without most of those whose long `key` isn't among keys' (one column, no nulls); none that is gets lost."""
 
