@@ -19,26 +19,59 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, whole_rows=True).where(F.col("score") < TOXIC).select(*docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a _key of each row behind; written, so that a row keeps its key."""
+    return written(docs.withColumn("_key", F.monotonically_increasing_id()))
+
+
+def without(rows: DataFrame, bad: DataFrame) -> DataFrame:
+    """keyed rows whose _key isn't in bad, without the key."""
+    return rows.join(written(bad.select("_key")), "_key", "left_anti").drop("_key")
+
+
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters and a language of at least SURE posterior; the source stands for the host."""
-    told = langid.identify(docs, langid.fit(docs), "doc_id", "text", host_col="source", declared_col="lang")
-    bad = told.where(~F.col("letters") | (F.coalesce("posterior", F.lit(0.0)) < SURE)).select("doc_id").distinct()
-    return docs.join(written(bad), "doc_id", "left_anti").select(*docs.columns)
+    rows = keyed(docs)
+    told = langid.identify(rows, langid.fit(docs), "_key", "text", host_col="source", declared_col="lang")
+    return without(rows, told.where(~F.col("letters") | (F.coalesce("posterior", F.lit(0.0)) < SURE))).select(*docs.columns)
+
+
+def drop_repeats(docs: DataFrame) -> DataFrame:
+    """One row of those with equal doc_id, null ids being equal, and equal text."""
+    same = lambda rows: rows.groupBy("doc_id", F.md5(F.col("text").cast("binary")).alias("_text"))
+    if same(docs).count().where("count > 1").isEmpty():
+        return docs
+    rows = keyed(docs)
+    groups = written(same(rows).agg(F.min("_key").alias("first"), F.count("*").alias("times")).where("times > 1").select(F.col("doc_id").alias("id"), F.col("_text").alias("of"), "first"))
+    slim = rows.select("_key", "doc_id", F.md5(F.col("text").cast("binary")).alias("_text"))
+    bad = slim.join(groups, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("_text").eqNullSafe(F.col("of"))).where(F.col("_key") != F.col("first"))
+    return without(rows, bad)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that stand earlier, n_chars counted anew; one that loses all its lines goes."""
-    out = linededup.dedup(docs)
+    """Documents without lines that stand earlier, n_chars counted anew; one that loses all its lines goes.
+
+    Line dedup takes rows of equal id and text for one document, so only one of these goes in.
+    """
+    out = linededup.dedup(drop_repeats(docs))
     lost_all = (F.col("n_lines") > 0) & (F.col("n_lines") == F.col("n_copies") + F.col("n_near"))
     out = out.where(~lost_all).withColumn("n_chars", F.length("kept_text").cast("long")).withColumn("text", F.col("kept_text"))
     return out.select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: five-word shingles, similarity of 0.8 or more."""
-    classes = neardup.near_duplicates(docs, width=5, percent=80)
-    bad = classes.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(written(bad), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each class of near-duplicates, that of least doc_id: five-word shingles, similarity of 0.8 or more.
+
+    Rows, not ids, are classed: an id's texts can be of several classes, and rows without id are of one too. Texts without
+    words are near nothing, so of these only rows of equal id and text count as copies.
+    """
+    rows = keyed(drop_repeats(docs))
+    classes = written(neardup.near_duplicates(rows, width=5, percent=80, id_col="_key").select(F.col("doc_id").alias("_key"), "component_id"))
+    shared = classes.groupBy("component_id").count().where("count > 1").select("component_id")
+    members = written(classes.join(shared, "component_id", "left_semi").join(rows.select("_key", "doc_id"), "_key"))
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("first"))
+    bad = members.join(first, "component_id").where(F.col("_key") != F.col("first._key"))
+    return without(rows, bad).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -277,3 +277,28 @@ def test_pipeline_stages(spark):
         docs = kept
     packed = pipeline.STAGES[-1][1](spark, docs, sf).groupBy("sequence_id").agg(F.sum("length").alias("n"))
     assert packed.where("n > 2048").count() == 0
+
+
+def test_pipeline_stages_go_by_rows(spark):
+    import corpus_pipeline as pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    text = lambda name: " ".join(f"{name}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40))
+    a, b, c, d, e = map(text, ("amber", "birch", "cedar", "delta", "ember"))
+    # repeated rows, rows without id, an id with two texts of which one is a copy, equal ids of different texts
+    rows = [(1, a), (1, a), (2, b), (3, b), (3, c), (None, d), (None, d), (None, a), (None, e), (6, None), (6, None)]
+    given = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    order = lambda found: sorted(((r.doc_id, r.text) for r in found.collect()), key=str)
+    want = [(1, a), (2, b), (3, c), (None, d), (None, e)]
+    for stage in (pipeline.drop_lines, pipeline.drop_near_duplicates):
+        assert order(stage(spark, given, sf)) == sorted([*want, (6, None)], key=str), stage.__name__
+    letterless = given.limit(0).union(spark.createDataFrame([(None, "12 34", "en", "s", 5), (9, "12", "en", "s", 2), (9, a, "en", "s", 3), (None, b, "en", "s", 3)], given.schema))
+    assert order(pipeline.drop_unknown_language(spark, letterless.union(given.where("doc_id < 3 AND text IS NOT NULL").limit(3)), sf))[-2:] == sorted([(9, a), (None, b)], key=str)
+    mixed = docs.unionByName(docs.where("doc_id % 5 = 0")).unionByName(docs.where("doc_id % 7 = 0").withColumn("doc_id", F.lit(None).cast("long")))
+    kept = {}
+    for name, found in (("once", docs), ("mixed", mixed)):
+        for _, stage in pipeline.STAGES[2:4]:
+            found = pipeline.written(stage(spark, found, sf))
+        kept[name] = order(found.where("length(trim(text)) > 0"))
+    assert kept["once"] == kept["mixed"]
