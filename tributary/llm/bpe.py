@@ -18,13 +18,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import pick
+from tributary.llm.common import in_parts, pick
 
 #: Fixed: the published word pattern of byte-level BPE. \\s is spelled out below, since engines differ on it.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 LONG_WORD = 96
 MEMO_WORDS = 1 << 19
-ROWS_OUT = 1000
 _NONE = 1 << 60
 
 
@@ -147,8 +146,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_OUT):
-                part = batch.slice(at, ROWS_OUT)
+            for part in in_parts(batch):
                 packed = [bpe.packed(t or "") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())], names=[id_col, "n_tokens", "ids"]
@@ -167,8 +165,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_OUT):
-                part = batch.slice(at, ROWS_OUT)
+            for part in in_parts(batch):
                 texts = [bpe.text(p or b"") for p in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[id_col, "n_tokens", "ids", "text"])
 

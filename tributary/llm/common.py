@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,43 +24,103 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return flat.select(*[F.col(f"_{have.index(n)}").alias(n) for n in names])
 
 
+def in_parts(batch: pa.RecordBatch, most_bytes: int = 1 << 21, most_rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about so many bytes, one row at least, so that few long texts are Python objects at once."""
+    rows = max(1, min(most_rows, most_bytes * batch.num_rows // max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, rows):
+        part = batch.slice(at, rows)
+        if part.num_rows > 1 and part.nbytes > 4 * most_bytes:  # long texts that stand together
+            yield from in_parts(part, most_bytes, max(1, part.num_rows // 2))
+        else:
+            yield part
+
+
+def tidy() -> None:
+    """At a task's end: gives what the Arrow pool holds in reserve back, as workers are used again."""
+    pa.default_memory_pool().release_unused()
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+
+    Where it is unset, local mode (one machine, as in tests) gets a folder of its own; a cluster raises an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tributary-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+#: Tables that written() made and nothing has taken away yet.
+_TABLES: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, so a lost executor costs no upstream work."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tributary-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Takes away the table of a written() that nothing reads any more."""
-    spark = df.sparkSession
-    files = df.inputFiles()
-    if files:
-        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Takes away tables of written() that nothing reads any more."""
+    for df in tables:
+        name = next(iter(df.inputFiles()), "").rpartition("/")[0].rpartition("/")[2]
+        for path in [p for p in _TABLES if name and p.endswith(f"/{name}")]:
+            _remove(df.sparkSession, path)
+
+
+def tables() -> list[str]:
+    """The paths of tables that written() made and nothing has taken away yet."""
+    return list(_TABLES)
+
+
+def discard_all(spark: SparkSession, paths: list[str], docs: DataFrame) -> None:
+    """Takes away those of the tables that docs doesn't read."""
+    read = {f.rpartition("/")[0].rpartition("/")[2] for f in docs.inputFiles()} if paths else set()
+    for path in paths:
+        if path in _TABLES and path.rpartition("/")[2] not in read:
+            _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    _TABLES.remove(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def maybe_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """rows without most of those whose long `key` isn't among keys' (one column, no nulls); none that is gets lost."""
+    return told_apart(rows, key, keys).where("_maybe").drop("_maybe")
+
+
+def told_apart(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """rows with boolean _maybe: false only where the long `key` isn't among keys' (one column, no nulls)."""
 
     def slot(name: str) -> list[Column]:
         at = F.pmod(F.col(name), F.lit(BITMAP_BITS))
         return [F.shiftright(at, 15).cast("int").alias("_row"), at.bitwiseAND(32767).cast("int").alias("_bit")]
 
     bits = keys.select(*slot(keys.columns[0])).groupBy("_row").agg(F.bitmap_construct_agg(F.col("_bit")).alias("_bitmap"))
-    met = rows.select("*", *slot(key)).join(F.broadcast(bits), "_row")  # at most BITMAP_BITS / 8 bytes
+    met = rows.select("*", *slot(key)).join(F.broadcast(bits), "_row", "left")  # at most BITMAP_BITS / 8 bytes
     byte = F.conv(F.hex(F.substring("_bitmap", F.shiftright("_bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
-    return met.where(F.getbit(byte, F.col("_bit").bitwiseAND(7)) == 1).select(*rows.columns)
+    bit = F.coalesce(F.getbit(byte, F.col("_bit").bitwiseAND(7)) == 1, F.lit(False))
+    return met.select(*rows.columns, bit.alias("_maybe"))
+
+
+def without(rows: DataFrame, bad: DataFrame, key: list[str]) -> DataFrame:
+    """rows whose `key` columns (long, no nulls) aren't among those of bad, a written table.
+
+    Only rows whose first key may be among bad's are shuffled.
+    """
+    flagged = told_apart(rows, key[0], bad.select(key[0]))
+    doubtful = flagged.where("_maybe").join(bad.select(*key).distinct().hint("merge"), key, "left_anti")
+    return flagged.where("NOT _maybe").drop("_maybe").unionByName(doubtful.select(*rows.columns))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -21,15 +21,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import pick, written
+from tributary.llm.common import in_parts, pick, tidy, written
 
 SAMPLE = 500
 GRAMS = 1 << 16
-MOST_LANGUAGES = 64
-LEAST_TEXTS = 5
 #: A text's trigrams overlap and repeat, so its log likelihood counts at this rate, and by this much at most.
 RATE, MOST = 0.25, 12.0
-ROWS_OUT = 500
 _SKIP = regex.compile(r"(?is)<!--.*?-->|<(script|style|nav)\b.*?</\1\s*>")
 _TAG = regex.compile(r"(?s)<[^>]*>")
 _LANG = regex.compile(r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?\s*([a-z]{2,3})\b""")
@@ -60,19 +57,24 @@ class Model:
     languages: list[str]
     logs: np.ndarray  # languages x GRAMS
 
-    def evidence(self, text: str | None) -> np.ndarray:
-        """Tempered log likelihoods, zero at the best language; all zero without letters."""
+    def evidence(self, text: str | None) -> tuple[np.ndarray, bool]:
+        """Tempered log likelihoods, zero at the best language, all zero without letters; and whether the text fits one.
+
+        A text fits if its trigrams are likelier in its best language than if all trigrams were equally likely.
+        """
         grams, times = gram_counts(text)
         if not len(grams):
-            return np.zeros(len(self.languages))
-        total = (self.logs[:, grams] * np.log1p(times)).sum(axis=1) * RATE
-        return np.maximum(total - total.max(), -MOST)
+            return np.zeros(len(self.languages)), False
+        weight = np.log1p(times)
+        total = (self.logs[:, grams] * weight).sum(axis=1)
+        fits = bool(total.max() > -np.log(GRAMS) * weight.sum())
+        return np.maximum((total - total.max()) * RATE, -MOST), fits
 
 
 def fit(texts: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Trigram models of the languages with LEAST_TEXTS labelled texts or more (the MOST_LANGUAGES commonest)."""
+    """Trigram models of all languages that a text is labelled with; a language's model takes half a megabyte."""
     rows = pick(texts, id_col, text_col, lang_col).toDF("id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL AND id IS NOT NULL").withColumn("lang", F.lower(F.col("lang").cast("string")))
-    common = rows.groupBy("lang").count().where(F.col("count") >= LEAST_TEXTS).orderBy(F.col("count").desc(), "lang").limit(MOST_LANGUAGES).collect()
+    common = rows.groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in common)
     if not languages:
         return Model([], np.zeros((0, GRAMS)))
@@ -110,20 +112,22 @@ def _texts_scored(rows: DataFrame, model: Model, is_html: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_OUT):
-                part = batch.slice(at, ROWS_OUT)
-                said, evidence, letters = part.column("declared").to_pylist(), [], []
+            for part in in_parts(batch):
+                said, evidence, letters, fits = part.column("declared").to_pylist(), [], [], []
                 for i, body in enumerate(part.column("body").to_pylist()):
                     if is_html:
                         body, found = page_parts(body)
                         said[i] = found or said[i]
-                    evidence.append(model.evidence(body))
+                    logs, fit_one = model.evidence(body)
+                    evidence.append(logs)
+                    fits.append(fit_one)
                     letters.append(regex.search(r"\p{L}", body or "") is not None)
                 kept = [pa.array(said, pa.string()) if c == "declared" else part.column(c) for c in names]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(evidence, pa.list_(pa.float64())), pa.array(letters)], names=[*names, "evidence", "letters"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(evidence, pa.list_(pa.float64())), pa.array(letters), pa.array(fits)], names=[*names, "evidence", "letters", "fits"])
+        tidy()
 
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
-    return rows.mapInArrow(run, f"{schema}, evidence array<double>, letters boolean")
+    return rows.mapInArrow(run, f"{schema}, evidence array<double>, letters boolean, fits boolean")
 
 
 def _normal(logs):
@@ -135,12 +139,13 @@ def _normal(logs):
 def identify(
     rows: DataFrame, model: Model, id_col: str, body_col: str, url_col: str | None = None, host_col: str | None = None, declared_col: str | None = None, is_html: bool = False, strength: float = 20.0
 ) -> DataFrame:
-    """Rows (id, lang, posterior, text_lang, declared, host, letters), one for each input row.
+    """Rows (id, lang, posterior, text_lang, declared, host, letters, fits), one for each input row.
 
     The host is that of the address, or host_col where there is no address; both may be missing. Null bodies count as empty
     and are told by the other evidence alone. `strength`: with how many pages' weight a prior pulls on the one below it.
     lang is null if the model has no language. Ties go to the language first in the alphabet. Null ids and repeated rows
-    pass through.
+    pass through. fits: the text's trigrams are likelier in some language than if all were alike; false without letters.
+    Whole texts are read, however long; other columns aren't, and an empty table gives an empty one.
     """
     wanted = [id_col, body_col, *[c for c in (url_col, host_col, declared_col) if c]]
     named = pick(rows, *dict.fromkeys(wanted))
@@ -151,7 +156,7 @@ def identify(
     kind = slim.schema["id"].dataType.simpleString()
     n = len(model.languages)
     if not n:
-        return slim.select(F.col("id").alias(id_col), F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("posterior"), F.lit(None).cast("string").alias("text_lang"), "declared", "host", F.coalesce(F.col("body").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+        return slim.select(F.col("id").alias(id_col), F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("posterior"), F.lit(None).cast("string").alias("text_lang"), "declared", "host", F.coalesce(F.col("body").rlike(r"\p{L}"), F.lit(False)).alias("letters"), F.lit(False).alias("fits"))
     known = F.array(*[F.lit(x) for x in model.languages])
     scored = written(_texts_scored(slim, model, is_html).withColumn("p", _normal(F.col("evidence"))).withColumn("said", F.when(F.array_contains(known, F.col("declared")), F.col("declared")).otherwise(F.when(F.col("declared").isNull(), "").otherwise("?"))))
 
@@ -178,5 +183,5 @@ def identify(
     best = lambda c: known[F.array_position(c, F.array_max(c)).cast("int") - 1]
     return final.select(
         F.col("id").cast(kind).alias(id_col), best(F.col("post")).alias("lang"), F.array_max("post").alias("posterior"),
-        F.when(F.col("letters"), best(F.col("p"))).alias("text_lang"), "declared", "host", "letters",
+        F.when(F.col("letters"), best(F.col("p"))).alias("text_lang"), "declared", "host", "letters", "fits",
     )

@@ -13,7 +13,8 @@ line emit variants, which loses no pair.
 Where a large table meets few keys, a bitmap of the keys' hashes, of a fixed size, goes to the tasks and spares the shuffle
 of most rows that can't match; the join that follows is exact.
 
-Keys of variants are sums of hashes of (character, place), so all variants of a line take one pass over it.
+Keys of variants are exclusive-or sums of hashes of (character, place), so all variants of a line take one pass over it. A
+very long line with a close partner is one task's rows, sorted with spilling; nothing holds it in memory but in chunks.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.common import maybe_in, pick, written
+from tributary.llm.common import discard, maybe_in, pick, told_apart, written
 
-#: Bits dropped from each character's hash, so that sums over a line of 2**22 characters can't overflow.
-_SHIFT = 24
+#: So many characters of a line are an array at once.
+_CHUNK = 1 << 16
 BLOCKS = 16
 
 
@@ -55,8 +56,10 @@ def _halves() -> Column:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """All occurrences of lines without their text: order, copy key and half keys. Written to the shared folder."""
-    return written(_lines(docs).select("doc_id", "text_key", "line_no", *_copy_key(F.col("line")), _halves().alias("halves")))
+    """Distinct lines without their text: copy key, first occurrence, number of occurrences, half keys. Written."""
+    rows = _lines(docs).select("doc_id", "text_key", "line_no", *_copy_key(F.col("line")), _halves().alias("halves"))
+    first = F.min(_order("doc_id", "text_key", "line_no")).alias("first")
+    return written(rows.groupBy("h1", "h2").agg(first, F.count("*").alias("times"), F.first("halves").alias("halves")))
 
 
 def _but_one_block() -> Column:
@@ -75,43 +78,52 @@ def _but_one_block() -> Column:
 
 def _sharing(parts: DataFrame, part: str) -> DataFrame:
     """The part keys that different lines have; parts holds h1, h2 and the part."""
-    same = F.struct("h1", "h2")
-    return parts.groupBy(part).agg(F.min(same).alias("a"), F.max(same).alias("b")).where(F.col("a") != F.col("b")).select(part)
+    seen = [f(c).alias(f"{n}_{c}") for c in ("h1", "h2") for n, f in (("least", F.min), ("most", F.max))]
+    return parts.groupBy(part).agg(*seen).where("least_h1 <> most_h1 OR least_h2 <> most_h2").select(part)
 
 
-def near_links(docs: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """(h1, h2): keys of lines that have an earlier different line within one edit."""
+def near_links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(h1, h2): keys of lines that have an earlier different line within one edit. distinct: each line's keys and halves."""
     key = ["h1", "h2"]
-    halves = occurrences.select(*key, F.explode("halves").alias("half"))
+    halves = distinct.select(*key, F.explode("halves").alias("half"))
     shared = written(_sharing(halves, "half"))
     possible = written(maybe_in(halves, "half", shared).join(shared, "half", "left_semi").select(*key).distinct())
     texts = maybe_in(_lines(docs).select(*_copy_key(F.col("line")), "doc_id", "text_key", "line_no", "line"), "h1", possible.select("h1"))
-    found = written(texts.join(possible, key, "left_semi").groupBy(*key).agg(F.min(_order("doc_id", "text_key", "line_no")).alias("first"), F.first("line").alias("line")))
+    # a line's occurrences become one row before they are dealt by key, however many there are
+    once = texts.groupBy(*key).agg(F.min(_order("doc_id", "text_key", "line_no")).alias("first"), F.first("line").alias("line"))
+    found = written(once.join(possible, key, "left_semi"))
     blocks = written(found.select(*key, F.explode(_but_one_block()).alias("block")))
     close = blocks.join(_sharing(blocks, "block"), "block", "left_semi").select(*key).distinct()
     # numbered in their order: ids grow from one sorted partition to the next
     lines = written(found.join(close, key, "left_semi").orderBy("first").withColumn("id", F.monotonically_increasing_id()).select("id", *key, "line"))
+    discard(shared, possible, found, blocks)
 
-    chars = lines.select("id", F.length("line").alias("n"), F.posexplode(F.regexp_extract_all("line", F.lit("(?s)."), F.lit(0))).alias("place", "char"))
+    # dealt by id before a line becomes a row for each character, so that the windows need no further shuffle
+    n = F.length("line")
+    chunks = lines.select("id", "line").repartition("id").select("id", n.alias("n"), "line", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / _CHUNK).cast("int"))).alias("chunk"))
+    chunks = chunks.select("id", "n", "chunk", F.substr("line", F.col("chunk") * _CHUNK + 1, F.lit(_CHUNK)).alias("part"))
+    chars = chunks.select("id", "n", "chunk", F.posexplode(F.regexp_extract_all("part", F.lit("(?s)."), F.lit(0))).alias("at", "char"))
+    chars = chars.select("id", "n", (F.col("chunk") * _CHUNK + F.col("at")).alias("place"), "char")
     upto = Window.partitionBy("id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("id").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    here, moved = F.shiftrightunsigned(F.xxhash64("char", F.col("place")), _SHIFT), F.shiftrightunsigned(F.xxhash64("char", F.col("place") - 1), _SHIFT)
-    sums = chars.select("id", "n", "place", here.alias("here"), moved.alias("moved"))
-    sums = sums.select("id", "n", "place", "here", F.sum("here").over(upto).alias("before"), F.sum("moved").over(upto).alias("gone"), F.sum("moved").over(whole).alias("all_moved"), F.sum("here").over(whole).alias("all_here"))
-    variants = sums.select((F.col("n") - 1).alias("size"), (F.col("before") - F.col("here") + F.col("all_moved") - F.col("gone")).alias("variant"), "place", "id", "all_here")
-    variants = written(variants)
+    sums = chars.select("id", "n", "place", F.xxhash64("char", "place").alias("here"), F.xxhash64("char", F.col("place") - 1).alias("moved"))
+    sums = sums.select("id", "n", "place", "here", F.bit_xor("here").over(upto).alias("before"), F.bit_xor("moved").over(upto).alias("gone"), F.bit_xor("moved").over(whole).alias("all_moved"), F.bit_xor("here").over(whole).alias("all_here"))
+    variant = F.col("before").bitwiseXOR(F.col("here")).bitwiseXOR(F.col("all_moved")).bitwiseXOR(F.col("gone"))
+    variants = written(sums.select((F.col("n") - 1).alias("size"), variant.alias("variant"), "place", "id", "all_here"))
     own = variants.where("place = 0").select((F.col("size") + 1).alias("size"), F.col("all_here").alias("variant"), F.col("id").alias("shorter"))
 
-    # replacements: the members of a (variant, place) differ in one character, so a group is no larger than the alphabet
-    group = Window.partitionBy("size", "variant", "place")
-    replaced = variants.withColumn("earlier", F.min("id").over(group)).where(F.col("earlier") != F.col("id")).select(F.col("id").alias("later"), "earlier")
+    # replacements: the members of a (variant, place) differ in one character; each is linked with the earliest
+    of_place = variants.groupBy("size", "variant", "place").agg(F.min("id").alias("earlier"), F.max("id").alias("last")).where("earlier <> last").drop("last")
+    replaced = variants.join(of_place, ["size", "variant", "place"]).where("earlier <> id").select(F.col("id").alias("later"), "earlier")
     # insertions: a variant equals another line
     inserted = variants.select("size", "variant", F.col("id").alias("longer")).join(own, ["size", "variant"])
     inserted = inserted.select(F.greatest("longer", "shorter").alias("later"), F.least("longer", "shorter").alias("earlier"))
     links = replaced.unionByName(inserted).distinct()
     text = lines.select("id", "line")
     checked = links.join(lines.withColumnRenamed("id", "later"), "later").join(text.toDF("earlier", "earlier_line"), "earlier").where(F.levenshtein("line", "earlier_line", 1).between(0, 1))
-    return checked.select(*key).distinct()
+    out = written(checked.select(*key).distinct())
+    discard(lines, variants)
+    return out
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,27 +133,33 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     are within one edit of one. Both kinds are left out of kept_text; blank lines stay, and a text that loses nothing
     stays as it is. Whether a line goes depends on earlier lines whether or not these stay themselves.
     Earlier: smaller id (null ids last), then the text's hash, then the line. Rows with equal id and text count as one
-    document and get the same result. Null text: no lines, kept_text null; an empty table gives an empty one.
+    document and get the same result. Null text: no lines, kept_text null; an empty table gives an empty one. Columns
+    whose names clash, with each other or with the new ones, keep their places; a very long text is one row as before.
     """
     named = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
     columns = list(docs.columns)
     i_id, i_text = f"_c{columns.index(id_col)}", f"_c{columns.index(text_col)}"
     slim = pick(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text", F.col("text").cast("string"))
-    occurrences = line_table(slim)
+    distinct = line_table(slim)
     key = ["h1", "h2"]
     order = _order("doc_id", "text_key", "line_no")
-    near = written(near_links(slim, occurrences)).withColumn("near", F.lit(True))
-    counted = occurrences.groupBy(*key).agg(F.min(order).alias("first"), F.count("*").alias("times"))
-    repeated = counted.join(near, key, "left").where(F.col("near") | (F.col("times") > 1)).select(*key, "first", F.coalesce("near", F.lit(False)).alias("near"))
+    near = near_links(slim, distinct).withColumn("near", F.lit(True))
+    repeated = distinct.join(near, key, "left").where(F.col("near") | (F.col("times") > 1)).select(*key, "first", F.coalesce("near", F.lit(False)).alias("near"))
     repeated = written(repeated)
-    marked = maybe_in(occurrences.select("doc_id", "text_key", "line_no", *key), "h1", repeated.select("h1")).withColumn("order", order).join(repeated, key)
+    discard(distinct, near)
+    occurrences = _lines(slim).select("doc_id", "text_key", "line_no", *_copy_key(F.col("line")))
+    marked = maybe_in(occurrences, "h1", repeated.select("h1")).withColumn("order", order).join(repeated, key)
     gone = marked.select("doc_id", "text_key", "line_no", (F.col("order") != F.col("first")).alias("copy"), "near").where("copy or near").distinct()
-    by_doc = gone.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("gone"), F.count_if("copy").alias("n_copies"), F.count_if(~F.col("copy")).alias("n_near"))
+    by_doc = written(gone.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("gone"), F.count_if("copy").alias("n_copies"), F.count_if(~F.col("copy")).alias("n_near")))
+    discard(repeated)
 
     lines = F.split(F.col("_text"), "\n", -1)
     body = named.withColumn("_text", F.col(i_text).cast("string")).withColumn("_key", F.xxhash64("_text"))
-    # both sides are sorted by key at every size; the losses of all documents have no bound that a broadcast needs
-    joined = body.join(by_doc.hint("merge"), body[i_id].eqNullSafe(by_doc["doc_id"]) & (body["_key"] == by_doc["text_key"]), "left")
+    flagged = told_apart(body, "_key", by_doc.select("text_key"))  # only documents that may lose a line are dealt by key
+    same = F.col(i_id).eqNullSafe(by_doc["doc_id"]) & (F.col("_key") == by_doc["text_key"])
+    losers = flagged.where("_maybe").join(by_doc.hint("merge"), same, "left")
+    nothing = [F.lit(None).cast(by_doc.schema[c].dataType).alias(c) for c in by_doc.columns]
+    joined = flagged.where("NOT _maybe").select("*", *nothing).unionByName(losers)
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     kept = F.when(F.col("gone").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(places, lambda i: F.get(F.col("_lines"), i)), "\n"))
     some = F.coalesce(F.size(F.filter("_lines", lambda x: x.rlike(r"\S"))), F.lit(0)).cast("long")

@@ -27,23 +27,25 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.common import components, maybe_in, pick, written
+from tributary.llm.common import components, discard, in_parts, maybe_in, pick, tidy, written
 
 BANDS, ROWS = 45, 7
 BATCH = 45
-ROWS_OUT = 500
 SHINGLES_OUT = 1 << 18
-MEMO_WORDS = 1 << 19
+MEMO_WORDS = 1 << 17
+MEMO_BYTES = 64
 _U = np.uint64
 
 
 class WordHashes(dict):
-    """Word -> 64-bit hash; emptied when full, so its memory is bounded."""
+    """Word -> 64-bit hash. Holds at most MEMO_WORDS words of at most MEMO_BYTES bytes, then starts anew."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
+        out = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= MEMO_BYTES:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[word] = out
         return out
 
 
@@ -99,8 +101,7 @@ def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = signer(BANDS * ROWS)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_OUT):
-                part = batch.slice(at, ROWS_OUT)
+            for part in in_parts(batch):
                 counts, d1, d2, signs = [], [], [], []
                 for text in part.column(2).to_pylist():
                     found = shingles(text, width)
@@ -113,6 +114,8 @@ def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: st
                     [part.column(0), part.column(1), pa.array(counts, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(signs, pa.binary())],
                     names=["doc_id", "text_key", "n_shingles", "d1", "d2", "signature"],
                 )
+        _HASHES.clear()
+        tidy()
 
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, d1 long, d2 long, signature binary")
@@ -168,8 +171,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, np.empty(0, _U)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_OUT):
-                part = batch.slice(at, ROWS_OUT)
+            for part in in_parts(batch):
                 good = []
                 for i, (b, kb, ta, tb) in enumerate(zip(*(part.column(c).to_pylist() for c in ("b", "kb", "ta", "tb")))):
                     if (b, kb) != last:
@@ -180,6 +182,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_co
                         good.append(i)
                 keep = part.take(pa.array(good, pa.int64()))
                 yield pa.RecordBatch.from_arrays([keep.column("a"), keep.column("b")], names=["a", "b"])
+        _HASHES.clear()
+        tidy()
 
     joined = pairs.join(texts.toDF("a", "ka", "ta").hint("merge"), ["a", "ka"]).join(texts.toDF("b", "kb", "tb").hint("merge"), ["b", "kb"])
     return joined.select("a", "b", "kb", "ta", "tb").mapInArrow(run, "a long, b long")
@@ -190,18 +194,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
 
     Documents are linked when 100 * |both| >= percent * |either| of their shingle sets; component_id is the smallest
     doc_id reachable. A null text or one without words has no shingles and is linked with nothing. Rows of equal id are
-    one document's and share its class. A row without id is linked with nothing: component_id null, kept true.
+    one document's and share its class. A row without id is linked with nothing: component_id null, kept true. Other
+    columns aren't read, an empty table gives an empty one, and a very long text is hashed whole, by one task.
+    Sets are compared by 64-bit hashes of their shingles: two sets of n shingles each seem to share one more than they do
+    with a probability below n * n / 2**64.
     """
     signed = written(signatures(docs, width, id_col, text_col))
     alike = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    slim = written(signed.select("doc_id", "n_shingles", "d1", "d2"))
     reps = written(
         alike.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "text_key", "signature")).alias("r"), F.first("n_shingles").alias("n"))
         .select("d1", "d2", F.col("r.doc_id").alias("node"), F.col("r.text_key").alias("key"), "n", F.col("r.signature").alias("signature"))
     )
-    of = _components_by_rounds(reps, docs, width, percent, miss, id_col, text_col)
-    classes = reps.select("d1", "d2", "node").join(of, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id"))
+    discard(signed)
+    of = written(_components_by_rounds(reps, docs, width, percent, miss, id_col, text_col))
+    alike = slim.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = written(reps.select("d1", "d2", "node").join(of, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id")))
+    discard(reps, of)
     linked = alike.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id")
-    rest = signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    rest = slim.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -226,6 +237,7 @@ def _components_by_rounds(reps: DataFrame, docs: DataFrame, width: int, percent:
     placed = group_rows.join(known, F.col("m.node") == F.col("id"), "left").select("band", "m", F.coalesce("component", "m.node").alias("g"))
     mixed = placed.groupBy("band").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("band")
     open_nodes = written(placed.join(mixed, "band", "left_semi").select("m.node", "m.key", "m.n", "g").distinct())
+    discard(repeated, group_rows, of)
     pairs = written(_prefix_pairs(open_nodes, docs, width, percent, id_col, text_col))
     more = written(_links(pairs, reps, docs, width, percent, miss, id_col, text_col))
     return components(links.unionByName(more))
@@ -246,6 +258,8 @@ def _shingle_rows(texts: DataFrame, width: int) -> DataFrame:
                     at = pa.array(np.repeat(rows, [len(h) for h in held]), pa.int64())
                     yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in names), pa.array(np.concatenate(held).view(np.int64))], names=[*names, "t"])
                     held, rows = [], []
+        _HASHES.clear()
+        tidy()
 
     return texts.select(*names, "text").mapInArrow(run, "node long, key long, n long, g long, t long")
 

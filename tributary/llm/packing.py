@@ -19,12 +19,11 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.common import pick, written
+from tributary.llm.common import in_parts, pick, tidy, written
 
-MEMO_CHUNKS = 1 << 20
+MEMO_BYTES = 24 << 20
 LONG_CHUNK = 64
 WORDS_AT_ONCE = 4096
-ROWS_OUT = 1000
 SALTS = 256
 _PLAIN = regex.compile(r"[\x21-\x7EÀ-ÖØ-öø-ÿ]+")
 #: Fixed: the word pattern of the lower-casing vocabulary file.
@@ -32,7 +31,7 @@ _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
 class ChunkIds(dict):
-    """Chunk between spaces -> packed ids, by the tokenizers library. Emptied when full, so its memory is bounded.
+    """Chunk between spaces -> packed ids, by the tokenizers library. Starts anew when entries reach MEMO_BYTES.
 
     The vocabulary drops white space and never merges across it, so a text's ids are those of its chunks in order.
     A chunk of ASCII and Latin-1 letters is put together from its words, which repeat more often than chunks; new words
@@ -50,12 +49,23 @@ class ChunkIds(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.words: dict[str, bytes] = {}
+        self.bytes = 0
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
 
     def ids(self, text: str) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def forget(self) -> None:
+        self.clear()
+        self.words.clear()
+        self.bytes = 0
+
+    def _put(self, into: dict[str, bytes], key: str, value: bytes) -> None:
+        """An entry counts with its key, its value and what Python adds to both."""
+        into[key] = value
+        self.bytes += 2 * len(key) + len(value) + 200
+
     def learn_words(self, words: list[str]) -> None:
         """Ids of new words, cut where one ends; a word at a time where the ends don't tell them apart."""
         for at in range(0, len(words), WORDS_AT_ONCE):
@@ -65,16 +75,16 @@ class ChunkIds(dict):
             if len(cuts) == len(some):
                 packed = got.tobytes()
                 bounds = [0, *(4 * cuts).tolist()]
-                self.words.update(zip(some, (packed[i:j] for i, j in zip(bounds, bounds[1:]))))
+                for word, i, j in zip(some, bounds, bounds[1:]):
+                    self._put(self.words, word, packed[i:j])
             else:
-                self.words.update((w, self.ids(w)) for w in some)
+                for word in some:
+                    self._put(self.words, word, self.ids(word))
 
     def learn(self, chunks: set[str]) -> None:
-        """Holds all of these chunks but the long ones afterwards."""
-        if len(self) >= MEMO_CHUNKS:
-            self.clear()
-        if len(self.words) >= MEMO_CHUNKS:
-            self.words.clear()
+        """Holds all of these chunks but the long ones afterwards; the callers' batches bound how many these are."""
+        if self.bytes >= MEMO_BYTES:
+            self.forget()
         plain = {}
         for chunk in chunks:
             if chunk in self or len(chunk) > LONG_CHUNK:
@@ -82,10 +92,10 @@ class ChunkIds(dict):
             if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
                 plain[chunk] = _WORDS.findall(chunk.lower())
             else:
-                self[chunk] = self.ids(chunk)
+                self._put(self, chunk, self.ids(chunk))
         self.learn_words(list({w for words in plain.values() for w in words if w not in self.words}))
         for chunk, words in plain.items():
-            self[chunk] = b"".join(map(self.words.__getitem__, words))
+            self._put(self, chunk, b"".join(map(self.words.__getitem__, words)))
 
     def __missing__(self, chunk: str) -> bytes:
         return self.ids(chunk)
@@ -115,8 +125,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_OUT):
-                part = batch.slice(at, ROWS_OUT)
+            for part in in_parts(batch):
                 rows, numbers, starts, cut = [], [], [], []
                 for row, packed in enumerate(texts_ids(path, [t or "" for t in part.column(1).to_pylist()])):
                     packed += end
@@ -129,6 +138,9 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, id_col: s
                     [part.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()), pa.array([len(c) // 4 for c in cut], pa.int64()), pa.array(cut, pa.binary())],
                     names=[id_col, "piece", "start", "length", "ids"],
                 )
+        if path in _LOADED:
+            _LOADED[path].forget()
+        tidy()
 
     rows = pick(docs, id_col, text_col).withColumn(text_col, F.col(text_col).cast("string"))
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids binary")

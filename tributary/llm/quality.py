@@ -16,13 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import pick, written
+from tributary.llm.common import in_parts, pick, written
 
 FEATURES = 256
 SUMS = 16
 ROWS_A_SUM = 50_000
 BINS = 2000
-ROWS_OUT = 500
 
 _KIND = np.zeros(256, np.int64)  # of each byte
 for _i, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\x0b\x0c", b"\n", b".,;:", b"!?", b"|", b"#$%&*", b"<>{}[]()/\\=_+-~^@", b"'\"`"), start=1):
@@ -95,8 +94,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_OUT):
-                part = batch.slice(at, ROWS_OUT)
+            for part in in_parts(batch):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([statistics(t) for t in part.column(1).to_pylist()], pa.list_(pa.float64()))], names=["id", "x"])
 
     rows = pick(docs, id_col, text_col).toDF("id", "text").withColumn("text", F.col("text").cast("string"))

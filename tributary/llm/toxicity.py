@@ -1,13 +1,17 @@
 """Toxicity by compression distance with two zstandard dictionaries.
 
-The ordinary dictionary is trained by zstandard on windows of ordinary texts. The toxic dictionary is the same content with
-the fragments in front that toxic texts have and ordinary texts hardly have, found by document counts of words and word
-beginnings; as both share what follows, an ordinary window compresses alike under both, and a window is shorter under the
-toxic one where it holds such a fragment. A text is cut into windows of whole words; the three largest differences of
-compressed length and their count are calibrated by a logistic curve.
-
-The model is fitted on a bounded sample of labelled rows (`sample` of each class, by hash of the id): half of it gives the
-dictionaries, the other half the calibration. Everything fitted is a few kilobytes and goes to the tasks with the function.
+Both dictionaries are trained by zstandard on windows of whole words: the ordinary one on windows of ordinary texts, the toxic
+one on windows of toxic texts. Most windows of a toxic text are ordinary, so the toxic training goes in rounds: it starts on
+the windows that the ordinary dictionary explains worst, and goes on with those that the toxic dictionary of the round before
+shortens more than nearly all ordinary windows. Of the trained content only the pieces stay that are TIMES as frequent in toxic
+windows as in ordinary ones. Ordinary content stands first in both dictionaries, so that it costs the same in both; behind it
+stands the toxic content, or as many zero bytes. A window's gain is how much shorter the toxic dictionary makes it. The three
+largest gains of a text, the number of its windows with a gain of LEAST_GAIN or more and the number of its windows are
+calibrated by a logistic curve on other texts than the dictionaries saw.
+
+The model is fitted on a bounded sample: `sample` labelled rows of each class, by hash of the id, half of them for the
+dictionaries and half for the calibration, and of the former `sample_windows` windows of toxic texts and twice as many of
+ordinary ones, by hash. Everything fitted is some 20 kilobytes and goes to the tasks with the function.
 """
 
 from __future__ import annotations
@@ -21,15 +25,17 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import pick, written
+from tributary.llm.common import in_parts, pick, tidy, written
 
 WINDOW = 64
 SAMPLE = 4000
-BASE_WINDOWS = 20000
-BASE_BYTES = 4096
-SHARE, TIMES, LEAST_DOCS = 0.03, 20, 4
-BEGINNINGS = (4, 5, 6, 7)
-ROWS_OUT = 500
+SAMPLE_WINDOWS = 40_000
+BASE_BYTES, TOXIC_BYTES = 16_384, 16_384
+#: Of the toxic windows, the share that the first round trains on, and how many at least.
+WORST, LEAST_WINDOWS = 0.3, 8000
+ROUNDS = 3
+TIMES, LEAST_TIMES = 30, 3
+LEAST_GAIN = 3
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -50,11 +56,58 @@ def windows(words: list[bytes], size: int = WINDOW) -> list[bytes]:
     return out
 
 
-def fragments(words: set[bytes]) -> set[bytes]:
-    """The words with their ends, and their beginnings."""
-    out = {b" " + w + b" " for w in words}
-    out.update(b" " + w[:n] for w in words for n in BEGINNINGS if len(w) >= n)
-    return out
+def sizer(content: bytes):
+    """A function from a window to its compressed length with this dictionary content."""
+    params = zstandard.ZstdCompressionParameters(window_log=17, hash_log=15, chain_log=15, search_log=4, min_match=4, target_length=0, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
+    d = zstandard.ZstdCompressionDict(content or b" " * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(compression_params=params)
+    compress = zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress
+    return lambda w: len(compress(w))
+
+
+def trained(samples: list[bytes], size: int, k: int) -> bytes:
+    """The content of a dictionary that zstandard trains on the samples; the samples themselves where they are too few."""
+    size = max(1024, min(size, sum(map(len, samples)) // 2))
+    try:
+        whole = zstandard.train_dictionary(size, samples, k=k, d=8).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+    # the entropy tables in front of the content are no text: 8 bytes and the tables, some 400 bytes at most
+    return whole[400:] if len(whole) > 800 else whole[len(whole) // 2 :]
+
+
+def toxic_content(base: bytes, toxic: list[bytes], ordinary: list[bytes]) -> bytes:
+    """What the toxic dictionary holds behind the ordinary content; ordinary: windows that base wasn't trained on."""
+    if not toxic or not ordinary:
+        return b""
+    plain = sizer(base)
+    badness = np.array([plain(w) / len(w) for w in toxic])
+    most = max(int(WORST * len(toxic)), min(len(toxic), LEAST_WINDOWS))
+    chosen = [toxic[i] for i in np.argsort(-badness, kind="stable")[:most]]
+    all_toxic, all_ordinary = b"\n".join(toxic), b"\n".join(ordinary)
+    content = b""
+    for _ in range(ROUNDS):
+        pieces = [p for p in dict.fromkeys(trained(chosen, TOXIC_BYTES, 12).split()) if len(p) >= 4]
+        telling = []
+        for p in pieces:
+            n = all_toxic.count(p)
+            if n >= LEAST_TIMES and n * len(ordinary) > TIMES * (all_ordinary.count(p) + 0.5) * len(toxic):
+                telling.append(p)
+        if not telling:
+            break
+        content = b" " + b" ".join(telling) + b" "
+        gain = gains(base, content)
+        usual = np.quantile([gain(w) for w in ordinary], 0.999)
+        chosen = [w for w in toxic if gain(w) > usual]
+        if len(chosen) < 8:
+            break
+    return content
+
+
+def gains(base: bytes, content: bytes):
+    """A function from a window to how much shorter the toxic dictionary makes it."""
+    plain, toxic = sizer(base + bytes(len(content))), sizer(base + content)
+    return lambda w: plain(w) - toxic(w)
 
 
 @dataclass
@@ -65,31 +118,20 @@ class Model:
     toxic: bytes = b""
     weights: list[float] = field(default_factory=lambda: [0.0] * 6)
 
-    def differ(self):
-        """A function from a window to how much shorter the toxic dictionary makes it."""
-        kind, raw = zstandard.ZstdCompressionParameters, zstandard.DICT_TYPE_RAWCONTENT
-        params = kind(window_log=17, hash_log=15, chain_log=15, search_log=3, min_match=5, target_length=0, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
-        both = []
-        for content in (self.base, self.toxic + self.base):
-            d = zstandard.ZstdCompressionDict(content, dict_type=raw)
-            d.precompute_compress(compression_params=params)
-            both.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress)
-        plain, toxic = both
-        return lambda w: len(plain(w)) - len(toxic(w))
-
-    def features(self, differ, text: str | None) -> list[float]:
-        gains = sorted(map(differ, windows(words_of(text))), reverse=True) if self.toxic else []
-        top = [*(max(g, 0) for g in gains[:3]), 0, 0, 0][:3]
-        return [1.0, *map(float, top), float(np.log1p(sum(g > 0 for g in gains))), float(np.log1p(len(gains)))]
+    def features(self, gain, text: str | None) -> list[float]:
+        found = sorted(map(gain, windows(words_of(text))), reverse=True) if self.toxic else []
+        top = [*(max(g, 0) for g in found[:3]), 0, 0, 0][:3]
+        return [1.0, *map(float, top), float(np.log1p(sum(g >= LEAST_GAIN for g in found))), float(np.log1p(len(found)))]
 
 
 def _mapped(rows: DataFrame, run, schema: str) -> DataFrame:
-    """rows through run(record batch of at most ROWS_OUT) -> record batch."""
+    """rows through run(record batch of bounded bytes) -> record batch."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_OUT):
-                yield run(batch.slice(at, ROWS_OUT))
+            for part in in_parts(batch):
+                yield run(part)
+        tidy()
 
     return rows.mapInArrow(go, schema)
 
@@ -108,7 +150,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_windows: int = SAMPLE_WINDOWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from the labelled rows: label 1 toxic, 0 ordinary, null labels left out; ids without a text too.
 
     At most `sample` rows of each class are used, those of least hash of the id. Without both classes the score is the
@@ -129,42 +171,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     if not t or not o:
         return model
 
-    def spread(part: pa.RecordBatch) -> pa.RecordBatch:
-        found, ys = [], []
-        for text, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-            own = fragments(set(words_of(text)))
-            found.extend(own)
-            ys.extend([y] * len(own))
-        return pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(ys, pa.int32())], names=["fragment", "y"])
-
-    first = rows.where("part = 0").select("text", "y")
-    spread_rows = _mapped(first, spread, "fragment binary, y int").groupBy("fragment").agg(F.count_if(F.col("y") == 1).alias("a"), F.count_if(F.col("y") == 0).alias("b"))
-    telling = spread_rows.where(F.col("a") >= max(LEAST_DOCS, SHARE * t)).where(F.col("a") * o > F.col("b") * TIMES * t).orderBy(F.col("a").desc(), F.length("fragment").desc(), "fragment").limit(1000).collect()
-    kept: list[bytes] = []
-    for r in telling:
-        f = bytes(r.fragment)
-        if not any(f.startswith(k) or k.startswith(f) for k in kept):
-            kept.append(f)
-
     def cut(part: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([w for x in part.column(0).to_pylist() for w in windows(words_of(x), 96)], pa.binary())], names=["w"])
+        return pa.RecordBatch.from_arrays([pa.array([w for x in part.column(0).to_pylist() for w in windows(words_of(x))], pa.binary())], names=["w"])
 
-    some = _mapped(first.where("y = 0").select("text"), cut, "w binary").orderBy(F.xxhash64("w"), "w").limit(BASE_WINDOWS).collect()
-    samples = [bytes(r.w) for r in some]
-    try:
-        model.base = zstandard.train_dictionary(BASE_BYTES, samples, k=32, d=6).as_bytes()[-(BASE_BYTES - 600) :]
-    except zstandard.ZstdError:  # too few windows to train on: they are the content themselves
-        model.base = b"".join(samples)[-BASE_BYTES:] or b" " * 8
-    model.toxic = b"\n" + b"\n".join(reversed(kept)) + b"\n" if kept else b""
+    def drawn(y: int, n: int) -> list[bytes]:
+        rows_of = _mapped(rows.where(f"part = 0 AND y = {y}").select("text"), cut, "w binary")
+        return [bytes(r.w) for r in rows_of.orderBy(F.xxhash64("w"), "w").limit(n).collect()]
+
+    ordinary = drawn(0, 2 * sample_windows)
+    half = len(ordinary) // 2
+    model.base = trained(ordinary[:half] or ordinary, BASE_BYTES, 64)
+    model.toxic = toxic_content(model.base, drawn(1, sample_windows), ordinary[half:])
 
     def measured(part: pa.RecordBatch) -> pa.RecordBatch:
-        differ = model.differ()
-        x = [model.features(differ, text) for text in part.column(0).to_pylist()]
+        gain = gains(model.base, model.toxic)
+        x = [model.features(gain, text) for text in part.column(0).to_pylist()]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), part.column(1)], names=["x", "y"])
 
     got = _mapped(rows.where("part = 1").select("text", "y"), measured, "x array<double>, y int").collect()
     x, y = np.array([r.x for r in got]).reshape(len(got), 6), np.array([r.y for r in got], dtype=float)
-    if kept and 0 < y.sum() < len(y):
+    if model.toxic and 0 < y.sum() < len(y):
         w = logistic(x, y)
         w[0] += model.weights[0] - np.log(y.sum() / (len(y) - y.sum()))  # from the sample's share of toxic rows to that of all labels
         model.weights = w.tolist()
@@ -172,9 +198,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
-    """Rows (id, score double), or with whole_rows all columns of docs and score behind; one for each row of docs.
+    """Rows (id, score double), or with whole_rows all columns of docs by place and the score behind; one for each row of docs.
 
-    Whole texts are scored, with no shuffle; repeated rows and null ids pass through, a null text counts as empty.
+    Whole texts are scored, however long, with no shuffle: a text is cut into windows in one task, a few rows at a time.
+    Repeated rows and null ids pass through, a null text counts as empty, and an empty table gives an empty one. Columns
+    whose names clash are told apart by place; a column named score stays beside the new one.
     """
     weights = np.array(model.weights)
     names = list(docs.columns) if whole_rows else [id_col]
@@ -184,14 +212,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     else:
         rows = pick(docs, id_col, text_col).toDF("_0", "_text").withColumn("_text", F.col("_text").cast("string"))
 
-    def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        differ = model.differ() if model.toxic else None
-        x = np.array([model.features(differ, text) for text in part.column("_text").to_pylist()]).reshape(-1, len(weights))
-        kept = [part.column(i) for i in range(len(names))]
-        return pa.RecordBatch.from_arrays([*kept, pa.array(1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))))], names=[*(f"_{i}" for i in range(len(names))), "_score"])
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gain = gains(model.base, model.toxic) if model.toxic else None
+        for batch in batches:
+            for part in in_parts(batch):
+                x = np.array([model.features(gain, text) for text in part.column("_text").to_pylist()]).reshape(-1, len(weights))
+                kept = [part.column(i) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))))], names=[*(f"_{i}" for i in range(len(names))), "_score"])
+        tidy()
 
     schema = ", ".join(f"_{i} {rows.schema[i].dataType.simpleString()}" for i in range(len(names)))
-    return _mapped(rows, run, f"{schema}, _score double").toDF(*names, "score")
+    return rows.mapInArrow(go, f"{schema}, _score double").toDF(*names, "score")
 
 
 def fold(id_column: Column, parts: int) -> Column:
