@@ -14,6 +14,17 @@ from pyspark.sql import functions as F
 BITMAP_BITS = 1 << 26
 
 
+#: Rows of an Arrow batch: texts can be long, and a batch is held at once by the executor and by its Python worker.
+BATCH_ROWS = 500
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_ROWS rows at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns of df, also where other columns repeat a name or differ from it in case only.
 

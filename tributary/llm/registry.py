@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.common import written
+from tributary.llm.common import short_batches, written
 from tributary.llm.linededup import ORACLE as LINE_DEDUP_SQL
 from tributary.llm.topk import ORACLE as TOPK_SQL
 
@@ -21,6 +21,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
