@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm import langid, linededup, neardup, toxicity
-from tributary.llm.common import discard_all, tables, told_apart, without, written
+from tributary.llm.common import discard_all, short_batches, tables, told_apart, without, written
 from tributary.llm.registry import packed_documents
 
 TOXIC = 0.7
@@ -26,6 +26,7 @@ def stage(f):
 
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        short_batches(spark)
         discard_all(spark, _LEFT, docs)
         before = set(tables())
         out = f(spark, docs, sf_dir)
@@ -120,16 +121,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows = by_place(docs).select("*", *hashes(place(docs, "doc_id"), place(docs, "text")))
     doc_id, text = place(docs, "doc_id").alias("doc_id"), place(docs, "text").alias("text")
     keys = written(rows.select("_h1", "_h2", doc_id))
-    if keys.groupBy("_h1").count().where("count > 1").isEmpty():
-        keyed, key = rows, "_h1"
-    else:  # two rows agree in a 64-bit hash: numbers tell them apart
-        keyed, key = written(rows.withColumn("_id", F.monotonically_increasing_id())), "_id"
+    if keys.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        key, keyed = "doc_id", rows.withColumn("doc_id", doc_id)
+    else:  # equal or null ids: rows are numbered
+        key, keyed = "_id", written(rows.withColumn("_id", F.monotonically_increasing_id()))
         keys = written(keyed.select("_id", "_h1", "_h2", doc_id))
     classes = written(neardup.near_duplicates(keyed.select(key, text), width=5, percent=80, id_col=key).select(F.col("doc_id").alias(key), "component_id"))
     shared = classes.groupBy("component_id").count().where("count > 1").select("component_id")
     members = written(classes.join(shared, "component_id", "left_semi").join(keys, key))
-    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key)).alias("first"))
-    bad = written(members.join(first, "component_id").where(F.col(key) != F.col(f"first.{key}")).select("_h1", "_h2"))
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col(key).alias("key"))).alias("first"))
+    bad = written(members.join(first, "component_id").where(F.col(key) != F.col("first.key")).select("_h1", "_h2"))
     return back(without(keyed, bad, ["_h1", "_h2"]), docs)
 
 
