@@ -207,44 +207,83 @@ def test_exchange_ends_where_no_single_move_helps():
             assert value(moved) <= value(of) + 1e-6
 
 
-def test_every_training_word_has_the_class_of_its_contexts(spark, monkeypatch):
+def test_gains_are_those_of_the_information():
+    rng = np.random.default_rng(5)
+    words, k = 12, 4
+    pairs = rng.poisson(1.5, (words, words)).astype(float)
+    of = rng.integers(0, k, words)
+    member = np.eye(k)[of]
+    m = member.T @ pairs @ member
+    for w in range(words):
+        rest = np.arange(words) != w
+        after, before, own = np.bincount(of[rest], pairs[w, rest], k), np.bincount(of[rest], pairs[rest, w], k), pairs[w, w]
+        got = classlm.gains(m, of[w : w + 1], after[None], before[None], np.array([own]))[0]
+        without = np.eye(k)[of] * rest[:, None]
+        bare = without.T @ pairs @ without
+        joining = classlm.gains(bare, None, after[None], before[None], np.array([own]))[0]
+        want = []
+        for c in range(k):
+            moved = of.copy()
+            moved[w] = c
+            want.append(classlm.information(np.eye(k)[moved].T @ pairs @ np.eye(k)[moved]))
+        assert np.allclose(got - got[0], np.array(want) - want[0]) and np.allclose(joining - joining[0], np.array(want) - want[0])
+
+
+def test_class_score_equals_brute_force(spark, monkeypatch):
     rng = random.Random(4)
-    a, b, c, d = ([f"{g}{i}" for i in range(classlm.HEAD // 4)] for g in "abcd")
-    filler = [*a, *b, *c, *d]
-    rows = [" ".join(w for _ in range(60) for w in (rng.choice(one), rng.choice(two))) for one, two in ((a, b), (c, d)) for _ in range(50)] + [" ".join(filler)] * 3
-    xs, ys = [f"x{i}end" for i in range(12)], [f"y{i}end" for i in range(12)]  # behind the head, and equal in their last bytes
-    rows += [f"{a[k]} {x} {a[-1 - k]}" for k, x in enumerate(xs)] * 2 + [f"{c[k]} {y} {c[-1 - k]}" for k, y in enumerate(ys)] * 2
-    monkeypatch.setattr(classlm, "COUNTED", classlm.HEAD + 10)  # some words beyond the head are counted, some are joined
+    a, b, c, d = ([f"{g}{i}" for i in range(9)] for g in "abcd")
+    rows = [" ".join(w for _ in range(12) for w in (rng.choice(one), rng.choice(two))) for one, two in ((a, b), (c, d)) for _ in range(25)]
+    rows += ["a1 rare b2", "c1 odd d2", "", "rare rare"]
+    monkeypatch.setattr(classlm, "HEAD", 20)
+    monkeypatch.setattr(classlm, "COUNTED", 30)  # some words beyond the head are counted, some are joined
     ends = []
     whole = classlm.cluster
-    monkeypatch.setattr(classlm, "cluster", lambda texts, keys, *start: ends.append((keys, *whole(texts, keys, *start))) or ends[0][1:])
-    train = docs_of(spark, list(enumerate(rows)))
-    asked = docs_of(spark, [(0, f"{a[0]} {xs[0]} {a[-1]}"), (1, f"{a[0]} {ys[0]} {a[-1]}"), (2, f"{c[5]} {ys[5]} {c[9]}"), (3, f"{c[5]} {xs[5]} {c[9]}")])
-    got = {r.doc_id: r.score for r in classlm.score(asked, train).collect()}
-    assert got[0] > got[1] + 0.1 and got[2] > got[3] + 0.1
-
-    keys, of, others, m = ends[0]
-    class_of = dict(zip(keys.tolist(), of.tolist())) | {r.key: r["class"] for r in others.collect()}
-    key = {w: classlm.key_of(w.encode()) for t in rows for w in t.split()} | {"": classlm.END_KEY}
-    assert set(class_of) == set(key.values())
-    around = {w: {} for w in key}
-    real = np.zeros((classlm.CLASSES, classlm.CLASSES))
+    monkeypatch.setattr(classlm, "cluster", lambda texts, n: ends.append(whole(texts, n)) or ends[0])
+    asked = [(0, "a1 B2 a3"), (1, "c1 new d2"), (2, None), (3, "rare odd d1 new new"), (None, "a1"), (0, "a1 B2 a3")]
+    got = classlm.score(docs_of(spark, asked), docs_of(spark, list(enumerate(rows)))).collect()
+    of, m = ends[0]
+    counts = {}
+    for t in rows:
+        for w in t.split():
+            counts[w] = counts.get(w, 0) + 1
+    key = {w: classlm.key_of(w.encode()) for w in counts}
+    order = sorted(counts, key=lambda w: (-counts[w], key[w]))
+    class_of = {w: int(of[i]) for i, w in enumerate(order[:30])} | {"": int(of[-1])}
+    around = {w: np.zeros((2, classlm.CLASSES)) for w in order[30:]}
+    real = np.zeros_like(m)
     for t in rows:
         ws = ["", *t.split(), ""]
-        for pair in zip(ws, ws[1:]):
-            real[class_of[key[pair[0]]], class_of[key[pair[1]]]] += 1
-            for w in set(pair):
-                around[w][pair] = around[w].get(pair, 0) + 1
+        for u, v in zip(ws, ws[1:]):
+            if u in class_of and v in class_of:
+                real[class_of[u], class_of[v]] += 1
+            if u in around and v in class_of:
+                around[u][0, class_of[v]] += 1
+            if v in around and u in class_of:
+                around[v][1, class_of[u]] += 1
     assert (real == m).all()
-    best = classlm.information(m)
-    for w in [*xs, *ys, *rng.sample(filler, 60), ""]:
-        for other in range(classlm.CLASSES):
-            to = class_of | {key[w]: other}
+    for w, (after, before) in around.items():
+        gain = []
+        for k in range(classlm.CLASSES):
             moved = m.copy()
-            for (u, v), n in around[w].items():
-                moved[class_of[key[u]], class_of[key[v]]] -= n
-                moved[to[key[u]], to[key[v]]] += n
-            assert classlm.information(moved) <= best + 1e-6
+            moved[k] += after
+            moved[:, k] += before
+            gain.append(classlm.information(moved))
+        class_of[w] = int(np.argmax(classlm.gains(m, None, after[None], before[None], np.zeros(1))[0]))
+        assert gain[class_of[w]] >= max(gain) - 1e-6
+    counts[""] = len(rows)
+    n, v = np.zeros(classlm.CLASSES), np.zeros(classlm.CLASSES)
+    for w, k in class_of.items():
+        n[k] += counts[w]
+        v[k] += 1
+    step = np.log10((m + 0.1) / (m + 0.1).sum(axis=1, keepdims=True))
+    for r in got:
+        text = {0: "a1 b2 a3", 1: "c1 new d2", 2: "", 3: "rare odd d1 new new", None: "a1"}[r.doc_id]
+        last, total = class_of[""], 0.0
+        for w in [*text.split(), ""]:
+            k = class_of.get(w, int((step[last] - np.log10(n + v + 1)).argmax()))
+            total += step[last, k] + np.log10((counts.get(w, 0) + 1) / (n[k] + v[k] + 1))
+            last = k
+        assert abs(total - r.score) < 1e-9
 
 
 def test_language_fusion(spark):
@@ -295,6 +334,8 @@ def test_pipeline_stages_go_by_rows(spark):
         assert order(stage(spark, given, sf)) == sorted([*want, (6, None)], key=str), stage.__name__
     letterless = given.limit(0).union(spark.createDataFrame([(None, "12 34", "en", "s", 5), (9, "12", "en", "s", 2), (9, a, "en", "s", 3), (None, b, "en", "s", 3)], given.schema))
     assert order(pipeline.drop_unknown_language(spark, letterless.union(given.where("doc_id < 3 AND text IS NOT NULL").limit(3)), sf))[-2:] == sorted([(9, a), (None, b)], key=str)
+    junk = given.limit(0).union(spark.createDataFrame([(20, "xqzj kwvx qqzk zxwj vkqx jjqz", "en", "s", 29)], given.schema)).union(docs.limit(5))
+    assert 20 not in {r.doc_id for r in pipeline.drop_unknown_language(spark, junk.union(docs.where("doc_id > 20")), sf).collect()}
     mixed = docs.unionByName(docs.where("doc_id % 5 = 0")).unionByName(docs.where("doc_id % 7 = 0").withColumn("doc_id", F.lit(None).cast("long")))
     kept = {}
     for name, found in (("once", docs), ("mixed", mixed)):
@@ -302,3 +343,30 @@ def test_pipeline_stages_go_by_rows(spark):
             found = pipeline.written(stage(spark, found, sf))
         kept[name] = order(found.where("length(trim(text)) > 0"))
     assert kept["once"] == kept["mixed"]
+
+
+def test_pipeline_stages_keep_clashing_columns_and_take_empty_tables(spark):
+    import corpus_pipeline as pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
+    rows = docs.select("*", F.lit(7).alias("score"), F.lit(8).alias("n_lines"), F.lit("x").alias("_key"), F.upper("text").alias("Text"), F.lit(1).alias("doc_id"))
+    long = docs.limit(1).select(F.lit(10**6).cast("long").alias("doc_id"), F.repeat("text", 2000).alias("text"), *docs.columns[2:])
+    for _, f in pipeline.STAGES[:-1]:
+        kept = f(spark, rows, sf)
+        assert kept.columns == rows.columns and 0 < len(kept.collect()) <= rows.count()
+        assert f(spark, docs.limit(0), sf).count() == 0
+        assert 10**6 in {r.doc_id for r in f(spark, long, sf).select("doc_id").collect()} or f is pipeline.drop_lines
+    assert pipeline.pack(spark, docs.limit(0), sf).count() == 0
+
+
+def test_packing_memo_stays_within_its_bytes(monkeypatch):
+    from tributary.llm import packing
+    from tributary.llm.registry import vocabulary
+
+    monkeypatch.setattr(packing, "MEMO_BYTES", 1 << 20)
+    memo = packing.ChunkIds(vocabulary("word_bpe_49k.json"))
+    rng = random.Random(1)
+    for _ in range(20):
+        memo.learn({"".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(1000)})
+        assert memo.bytes <= (1 << 20) + 1000 * 600
