@@ -38,7 +38,7 @@ def sessions(people: DataFrame, seed: int = 42, mean: float = 6.0, days: int = 7
     number = F.row_number().over(Window.partitionBy("user_id").orderBy("offset", "draw")) - 1
     budget = F.element_at(F.array(F.lit("Budget"), F.lit("Mid-range"), F.lit("Luxury")), (F.floor(uniform(*key, F.lit("b")) * 3) + 1).cast("int"))
     return rows.select(
-        "*", F.concat_ws("-s", "user_id", F.format_string("%03d", number)).alias("session_id"), F.expr("timestampadd(SECOND, offset, TIMESTAMP_NTZ'2023-01-01 00:00:00')").alias("start"),
+        "*", F.concat_ws("-s", "user_id", F.format_string("%03d", number)).alias("session_id"), F.expr("timestampadd(SECOND, offset, TIMESTAMP_NTZ'2024-01-01 00:00:00')").alias("start"),
         F.when(uniform(*key, F.lit("fb")) < 0.30, budget).alias("f_budget"), F.when(uniform(*key, F.lit("ft")) < 0.25, (F.floor(uniform(*key, F.lit("tag")) * 9) + 1).cast("int")).alias("f_tag"),
         (10 + F.floor(uniform(*key, F.lit("m")) * 11)).cast("int").alias("n_shown"),
     )

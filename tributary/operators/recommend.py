@@ -17,6 +17,20 @@ def top_k(scored: DataFrame, k: int, *order: Column, by: str = "user_id") -> Dat
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def find(catalog: DataFrame, needles: DataFrame) -> DataFrame:
+    """Rows (needle, matches, item_id): how many names hold the needle in any case, and the item where it is just one."""
+    at = needles.join(catalog.select("item_id", "city"), F.contains(F.lower("city"), F.lower("needle")), "left")
+    return at.groupBy("needle").agg(F.count("item_id").alias("matches"), F.min("item_id").alias("item_id")).withColumn("item_id", F.when(F.col("matches") == 1, F.col("item_id")))
+
+
+def find_one(catalog: DataFrame, needle: str) -> int:
+    """The only item whose name holds the needle; none and several are errors."""
+    some = catalog.where(F.contains(F.lower("city"), F.lower(F.lit(needle)))).select("item_id", "city").orderBy("item_id").limit(10).collect()
+    if len(some) != 1:
+        raise ValueError(f"{needle!r} is in {'no name' if not some else 'several names: ' + ', '.join(r.city for r in some)}")
+    return some[0].item_id
+
+
 def unseen(candidates: DataFrame, seen: DataFrame) -> DataFrame:
     return candidates.join(seen, ["user_id", "item_id"], "left_anti")
 

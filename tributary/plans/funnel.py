@@ -23,7 +23,7 @@ class Funnel:
         """Rows (user_id, rank, item_id, score): taste and popularity, unseen, at most cap of a bucket."""
         pop = split.popularity(train, catalog)
         scored = recommend.unseen(recommend.persona_scores(users, personas, catalog), split.seen(train))
-        scored = scored.join(F.broadcast(pop), "item_id").withColumn("score", F.round(F.col("score") + 0.1 * F.ln(F.col("cnt") + 1.0), 6))
+        scored = scored.join(pop, "item_id").withColumn("score", F.round(F.col("score") + 0.1 * F.ln(F.col("cnt") + 1.0), 6))
         near = recommend.top_k(scored, self.retrieve, F.col("score").desc(), F.col("item_id")).select("user_id", "item_id", "score")
-        lists = near.join(F.broadcast(catalog.select("item_id", self.bucket)), "item_id").withColumnRenamed("user_id", "list_id")
+        lists = near.join(catalog.select("item_id", self.bucket), "item_id").withColumnRenamed("user_id", "list_id")
         return rerank.round_robin(lists, self.bucket, self.final, self.cap).select(F.col("list_id").alias("user_id"), "rank", "item_id", "score")

@@ -23,7 +23,7 @@ inter AS (SELECT event_id AS interaction_id, user_id, CAST(json_extract_string(p
 _CAT = """cat AS (SELECT CAST(p_partkey AS INT) AS item_id, p_name AS city, p_brand AS country, p_type AS region,
   CASE WHEN p_partkey % 10 < 3 THEN 'Budget' WHEN p_partkey % 10 < 9 THEN 'Mid-range' ELSE 'Luxury' END AS budget_level,
   list_transform(embedding[1:9], lambda x: least(5, greatest(1, CAST(floor(x::DOUBLE * 8) AS INT) + 3))) AS tags, embedding::DOUBLE[] AS v, label
-  FROM part JOIN embeddings ON vec_id = p_partkey WHERE p_partkey < 100)"""
+  FROM part JOIN embeddings ON vec_id = p_partkey WHERE p_partkey IN (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) FROM events))"""
 _USERS = """users AS (SELECT c_custkey AS user_id, CAST(c_custkey % 6 AS INT) AS p1, CAST((c_custkey % 6 + 1 + c_custkey % 5) % 6 AS INT) AS p2, 0.5 + (c_custkey % 51) / 100.0::DOUBLE AS mix_weight FROM customer)"""
 _PERS = "p0 AS (SELECT * FROM (VALUES " + ", ".join(
     f"({i}, '{n}', {b!r}, {[1.0 if t in e else -0.2 for t in T.TAGS]}::DOUBLE[])" for i, (n, b, e) in enumerate(T.PERSONAS)
@@ -38,7 +38,7 @@ ru AS (SELECT DISTINCT user_id FROM rel),
 r_pop AS (SELECT * FROM (SELECT u.user_id, p.item_id, p.cnt, CAST(row_number() OVER (PARTITION BY u.user_id ORDER BY cnt DESC, p.item_id) AS INT) AS rank FROM ru u CROSS JOIN pop p ANTI JOIN seen s ON s.user_id = u.user_id AND s.item_id = p.item_id) WHERE rank <= 20)"""
 _RAND = """r_rand AS (SELECT * FROM (SELECT u.user_id, p.item_id, CAST(row_number() OVER (PARTITION BY u.user_id ORDER BY md5(concat_ws(':', u.user_id, p.item_id, 42)), p.item_id) AS INT) AS rank FROM ru u CROSS JOIN cat p ANTI JOIN seen s ON s.user_id = u.user_id AND s.item_id = p.item_id) WHERE rank <= 20)"""
 _TASTE = """taste AS (SELECT user_id, a.budgets, list_transform(list_zip(a.weights, b.weights), lambda x: mix_weight * x[1] + (1.0 - mix_weight) * x[2]) AS w FROM users JOIN pers a ON a.p = p1 JOIN pers b ON b.p = p2),
-osc AS (SELECT user_id, item_id, round(list_dot_product(list_transform(tags, lambda x: (x - 3.0)::DOUBLE / 2.0), w) + CASE WHEN list_contains(budgets, budget_level) THEN 1.5 ELSE 0.0 END, 6) AS score FROM taste CROSS JOIN cat)"""
+osc AS (SELECT user_id, item_id, round(list_dot_product(list_transform(tags, lambda x: (x - 3.0)::DOUBLE / 2.0), w) + CASE WHEN list_contains(budgets, budget_level) THEN 1.5 ELSE 0.0 END, 6) + 0.0 AS score FROM taste CROSS JOIN cat)"""
 _ORAC = """r_orac AS (SELECT * FROM (SELECT o.user_id, o.item_id, score, CAST(row_number() OVER (PARTITION BY o.user_id ORDER BY score DESC, o.item_id) AS INT) AS rank FROM osc o SEMI JOIN ru USING (user_id) ANTI JOIN seen s ON s.user_id = o.user_id AND s.item_id = o.item_id) WHERE rank <= 20)"""
 _FULL = ", ".join([_POP, _RAND, _USERS, _PERS, _TASTE, _ORAC])
 
@@ -189,7 +189,7 @@ def filter_fallback(spark, sf):
 
 @query(f"WITH {_INTER}, {_SESS} SELECT count(*) FILTER (WHERE f_budget IS NOT NULL OR f_tag IS NOT NULL) AS filtered, count(*) AS sessions FROM sess")
 def sessions_with_filter(spark, sf):
-    return _sessions(Fixture(spark, sf)).agg(F.count_if("f_budget IS NOT NULL OR f_tag IS NOT NULL" and F.expr("f_budget IS NOT NULL OR f_tag IS NOT NULL")).alias("filtered"), F.count("*").alias("sessions"))
+    return _sessions(Fixture(spark, sf)).agg(F.count_if(F.col("f_budget").isNotNull() | F.col("f_tag").isNotNull()).alias("filtered"), F.count("*").alias("sessions"))
 
 
 @query(f"WITH {_INTER} SELECT interaction_id, user_id, item_id FROM inter WHERE event_type IN ('click', 'save')")
@@ -212,9 +212,10 @@ def seen_pairs(spark, sf):
     return Fixture(spark, sf).seen
 
 
-@query(f"WITH {_CAT}, m AS (SELECT item_id, city FROM cat WHERE contains(lower(city), lower('7'))) SELECT item_id, city, (SELECT count(*) FROM m) AS matches FROM m")
+@query(f"WITH {_CAT}, n AS (SELECT * FROM (VALUES ('RING'), ('small'), ('hot gear'), ('no such place')) t(needle)) SELECT needle, count(item_id) AS matches, CASE WHEN count(item_id) = 1 THEN min(item_id) END AS item_id FROM n LEFT JOIN cat ON contains(lower(city), lower(needle)) GROUP BY 1")
 def find_city(spark, sf):
-    return Fixture(spark, sf).catalog.where(F.contains(F.lower("city"), F.lower(F.lit("7")))).select("item_id", "city", F.count("*").over(Window.partitionBy(F.lit(1))).alias("matches"))
+    needles = spark.createDataFrame([(x,) for x in ("RING", "small", "hot gear", "no such place")], "needle string")
+    return recommend.find(Fixture(spark, sf).catalog, needles)
 
 
 @query(f"WITH {_INTER} SELECT event_type, count(*) AS n FROM inter GROUP BY 1")
@@ -269,7 +270,7 @@ def user_history_40(spark, sf):
 @query(_HIST + f", {_CAT}, {_USERS} SELECT u.user_id, coalesce(string_agg(event_type || ' ' || city, chr(10) ORDER BY rn DESC) FILTER (WHERE city IS NOT NULL), 'no history') AS prompt FROM users u LEFT JOIN (SELECT * FROM h JOIN cat USING (item_id) WHERE rn <= 40) x ON x.user_id = u.user_id GROUP BY 1")
 def history_prompt(spark, sf):
     f = Fixture(spark, sf)
-    lines = split.history(f.train).join(F.broadcast(f.catalog.select("item_id", "city")), "item_id").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("rn")).alias("o"), F.concat_ws(" ", "event_type", "city").alias("line")))).alias("l"))
+    lines = split.history(f.train).join(f.catalog.select("item_id", "city"), "item_id").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("rn")).alias("o"), F.concat_ws(" ", "event_type", "city").alias("line")))).alias("l"))
     return f.users.select("user_id").join(lines, "user_id", "left").select("user_id", F.coalesce(F.array_join(F.col("l.line"), "\n"), F.lit("no history")).alias("prompt"))
 
 
@@ -280,12 +281,12 @@ def topk_similarity(spark, sf):
     return e.crossJoin(F.broadcast(q)).select("vec_id", F.round(dot("embedding", "q"), 6).alias("score")).orderBy(F.col("score").desc(), "vec_id").limit(10)
 
 
-_BATCH = "WITH b AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id < 8), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM b)"
+_BATCH = "WITH b AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 20 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM b)"
 
 
 def _batch(spark, sf, k: int) -> DataFrame:
     e = T.table(spark, sf, "embeddings")
-    q = F.broadcast(e.where("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))  # eight probes
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     scored = e.crossJoin(q).select("query_id", "vec_id", F.round(dot("embedding", "q"), 6).alias("score"))
     return recommend.top_k(scored, k, F.col("score").desc(), F.col("vec_id"), by="query_id")
 
@@ -295,9 +296,9 @@ def batch_similarity(spark, sf):
     return _batch(spark, sf, 5).select("query_id", "rank", "vec_id", "score")
 
 
-@query(_BATCH + " SELECT query_id // 2 AS pair, count(*) AS overlap FROM (SELECT query_id // 2 AS query_id2, query_id, vec_id FROM r WHERE rank <= 50) GROUP BY 1, vec_id HAVING count(*) = 2".replace("query_id // 2 AS pair, count(*) AS overlap", "query_id2 AS pair, vec_id").replace("GROUP BY 1, vec_id", "GROUP BY query_id2, vec_id"))
+@query(_BATCH + " SELECT query_id // 2 AS pair, count(*) AS overlap FROM (SELECT query_id // 40 AS query_id2, query_id, vec_id FROM r WHERE rank <= 50) GROUP BY 1, vec_id HAVING count(*) = 2".replace("query_id // 2 AS pair, count(*) AS overlap", "query_id2 AS pair, vec_id").replace("GROUP BY 1, vec_id", "GROUP BY query_id2, vec_id"))
 def paraphrase_overlap(spark, sf):
-    rows = _batch(spark, sf, 50).withColumn("pair", F.floor(F.col("query_id") / 2))
+    rows = _batch(spark, sf, 50).withColumn("pair", F.floor(F.col("query_id") / 40))
     return rows.groupBy("pair", "vec_id").agg(F.count_distinct("query_id").alias("n")).where("n = 2").select("pair", "vec_id")
 
 
@@ -316,11 +317,11 @@ def vector_stats(spark, sf):
     return T.table(spark, sf, "embeddings").select("vec_id", F.size(v).alias("dims"), F.round(norm("embedding"), 6).alias("norm"), F.round(F.array_min(v), 6).alias("lo"), F.round(F.array_max(v), 6).alias("hi"), F.round(mean, 6).alias("mean"), F.round(F.sqrt(var), 6).alias("std"))
 
 
-@query("""WITH m AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) AS top FROM embeddings WHERE vec_id < 20)
+@query("""WITH m AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) AS top FROM embeddings)
 SELECT vec_id, ((i - 1) // 16)::INT AS row, ((i - 1) % 16)::INT AS col, CASE WHEN v[i] >= 0 THEN 'red' ELSE 'blue' END AS hue, trunc(abs(v[i]) / top * 255)::INT AS depth FROM m, unnest(range(1, 65)) r(i)""")
 def vector_heatmap(spark, sf):
     v = F.col("embedding").cast("array<double>")
-    rows = T.table(spark, sf, "embeddings").where("vec_id < 20").select("vec_id", F.array_max(F.transform(v, F.abs)).alias("top"), F.posexplode(v).alias("i", "x"))
+    rows = T.table(spark, sf, "embeddings").select("vec_id", F.array_max(F.transform(v, F.abs)).alias("top"), F.posexplode(v).alias("i", "x"))
     return rows.select("vec_id", F.floor(F.col("i") / 16).cast("int").alias("row"), (F.col("i") % 16).alias("col"), F.when(F.col("x") >= 0, "red").otherwise("blue").alias("hue"), (F.abs("x") / F.col("top") * 255).cast("int").alias("depth"))
 
 

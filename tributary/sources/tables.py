@@ -15,14 +15,14 @@ USERS_SCHEMA = "user_id string, primary_persona string, secondary_persona string
 INTERACTIONS_SCHEMA = "interaction_id long, user_id string, item_id string, event_type string, session_id string, timestamp timestamp_ntz, dwell_seconds string"
 SESSIONS_SCHEMA = "session_id string, user_id string, timestamp timestamp_ntz, query_text string, filter_budget_level string, filter_required_tag string"
 EVENT_NAMES = {"view": "impression", "click": "click", "purchase": "save", "signup": "itinerary_add", "error": "not_interested"}
-#: Fixed: personas with their budgets and emphasised tags.
+#: The six personas with their budgets and emphasised tags.
 PERSONAS = [
-    ("beach_relaxer", ["Budget", "Mid-range"], ["beaches", "wellness", "seclusion"]),
-    ("city_explorer", ["Mid-range", "Luxury"], ["urban", "culture", "cuisine"]),
-    ("thrill_seeker", ["Budget", "Mid-range"], ["adventure", "nature"]),
-    ("party_goer", ["Budget", "Mid-range"], ["nightlife", "urban", "beaches"]),
-    ("luxury_foodie", ["Luxury"], ["cuisine", "wellness"]),
-    ("nature_recluse", ["Budget"], ["nature", "seclusion"]),
+    ("Budget Backpacker", ["Budget"], ["adventure", "culture"]),
+    ("Luxury Relaxer", ["Luxury"], ["wellness", "beaches", "cuisine"]),
+    ("Nightlife Seeker", ["Mid-range"], ["nightlife", "urban"]),
+    ("Culture Buff", ["Mid-range"], ["culture", "cuisine", "urban"]),
+    ("Nature & Adventure", ["Budget", "Mid-range"], ["nature", "adventure", "seclusion"]),
+    ("Family Beach", ["Mid-range"], ["beaches", "wellness"]),
 ]
 
 
@@ -82,9 +82,11 @@ def fixture_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fixture_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that have a vector and that some event is about; the others are nothing a user could meet."""
+    met = table(spark, sf_dir, "events").select(F.from_json("props", "k int")["k"].cast("long").alias("p_partkey")).distinct()
     key = F.col("p_partkey")
     level = F.when(key % 10 < 3, "Budget").when(key % 10 < 9, "Mid-range").otherwise("Luxury")
-    parts = table(spark, sf_dir, "part").where("p_partkey < 100").select(key.cast("int").alias("item_id"), F.col("p_name").alias("city"), F.col("p_brand").alias("country"), F.col("p_type").alias("region"), level.alias("budget_level"))
+    parts = table(spark, sf_dir, "part").join(met, "p_partkey", "left_semi").select(key.cast("int").alias("item_id"), F.col("p_name").alias("city"), F.col("p_brand").alias("country"), F.col("p_type").alias("region"), level.alias("budget_level"))
     rate = lambda x: F.least(F.lit(5), F.greatest(F.lit(1), F.floor(x.cast("double") * 8).cast("int") + 3))
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("item_id"), F.transform(F.slice("embedding", 1, 9), rate).alias("tags"), F.col("embedding"), "label")
     return parts.join(vectors, "item_id")
