@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tributary.llm.common import in_parts, pick, tidy, written
 
-MEMO_BYTES = 128 << 20
+MEMO_BYTES = 112 << 20
 LONG_CHUNK = 64
 WORDS_AT_ONCE = 4096
 SALTS = 256
@@ -61,11 +61,6 @@ class ChunkIds(dict):
         self.words.clear()
         self.bytes = 0
 
-    def _put(self, into: dict[str, bytes], key: str, value: bytes) -> None:
-        """An entry counts with its key, its value and what Python adds to both."""
-        into[key] = value
-        self.bytes += 2 * len(key) + len(value) + 200
-
     def learn_words(self, words: list[str]) -> None:
         """Ids of new words, cut where one ends; a word at a time where the ends don't tell them apart."""
         for at in range(0, len(words), WORDS_AT_ONCE):
@@ -75,27 +70,29 @@ class ChunkIds(dict):
             if len(cuts) == len(some):
                 packed = got.tobytes()
                 bounds = [0, *(4 * cuts).tolist()]
-                for word, i, j in zip(some, bounds, bounds[1:]):
-                    self._put(self.words, word, packed[i:j])
+                self.words.update(zip(some, (packed[i:j] for i, j in zip(bounds, bounds[1:]))))
             else:
-                for word in some:
-                    self._put(self.words, word, self.ids(word))
+                self.words.update((w, self.ids(w)) for w in some)
+            # an entry counts with its key, its ids and what Python adds to both
+            self.bytes += 200 * len(some) + 6 * sum(map(len, some))
 
     def learn(self, chunks: set[str]) -> None:
         """Holds all of these chunks but the long ones afterwards; the callers' batches bound how many these are."""
         if self.bytes >= MEMO_BYTES:
             self.forget()
         plain = {}
+        before = len(self)
         for chunk in chunks:
             if chunk in self or len(chunk) > LONG_CHUNK:
                 continue
             if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
                 plain[chunk] = _WORDS.findall(chunk.lower())
             else:
-                self._put(self, chunk, self.ids(chunk))
+                self[chunk] = self.ids(chunk)
         self.learn_words(list({w for words in plain.values() for w in words if w not in self.words}))
         for chunk, words in plain.items():
-            self._put(self, chunk, b"".join(map(self.words.__getitem__, words)))
+            self[chunk] = b"".join(map(self.words.__getitem__, words))
+        self.bytes += (200 + 6 * 8) * (len(self) - before)  # chunks are LONG_CHUNK characters at most, some 8 on average
 
     def __missing__(self, chunk: str) -> bytes:
         return self.ids(chunk)
@@ -138,8 +135,6 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, id_col: s
                     [part.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()), pa.array([len(c) // 4 for c in cut], pa.int64()), pa.array(cut, pa.binary())],
                     names=[id_col, "piece", "start", "length", "ids"],
                 )
-        if path in _LOADED:
-            _LOADED[path].forget()
         tidy()
 
     rows = pick(docs, id_col, text_col).withColumn(text_col, F.col(text_col).cast("string"))
