@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tributary.llm.common import in_parts, pick, tidy, written
 
-MEMO_BYTES = 112 << 20
+MEMO_BYTES = 208 << 20
 LONG_CHUNK = 64
 WORDS_AT_ONCE = 4096
 SALTS = 256
