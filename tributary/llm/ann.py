@@ -24,6 +24,8 @@ from tributary.llm.topk import finite, matrix
 
 BUCKET_BLOCK = 8192
 CELL_ROWS = 16384
+#: Queries of a bucket that meet its rows in one product: 32 MB with BUCKET_BLOCK rows, however many queries visit it.
+QUERIES_AT_ONCE = 512
 ROWS_OUT = 2000
 _BASE = 64  # slots of one direction that a key tells apart; farther ones share keys, which only adds candidates
 
@@ -137,17 +139,20 @@ def best_in_cell(k: int):
                 q = q_vectors.take(pa.array(q_rows)).flatten().to_numpy().reshape(-1, size)
                 h = h_vectors.take(pa.array(h_rows)).flatten().to_numpy().reshape(-1, size)
                 q_norm, h_norm = np.sqrt(np.sum(q * q, axis=1)), np.sqrt(np.sum(h * h, axis=1))
-                near = (q @ h.T) / (q_norm[:, None] * h_norm)
-                near[q_ids[q_rows][:, None] == h_ids[h_rows]] = -np.inf
-                n = near.shape[1]
-                bound = np.partition(near, n - k, axis=1)[:, n - k] if n > k else np.full(len(near), -2.0)
-                for i in range(len(near)):
-                    some = np.flatnonzero(near[i] >= max(bound[i] - 1e-9, -2.0))
-                    # summed row by row, so that equal vectors get equal scores wherever they stand
-                    score = np.sum(h[some] * q[i], axis=1) / (q_norm[i] * h_norm[some])
-                    ids = h_ids[h_rows[some]]
-                    top = np.lexsort((ids, -score))[:k]
-                    found.append(np.rec.fromarrays([np.full(len(top), q_ids[q_rows[i]]), ids[top], score[top]], names=names))
+                for first in range(0, len(q), QUERIES_AT_ONCE):
+                    some_q = slice(first, first + QUERIES_AT_ONCE)
+                    near = (q[some_q] @ h.T) / (q_norm[some_q, None] * h_norm)
+                    near[q_ids[q_rows[some_q]][:, None] == h_ids[h_rows]] = -np.inf
+                    n = near.shape[1]
+                    bound = np.partition(near, n - k, axis=1)[:, n - k] if n > k else np.full(len(near), -2.0)
+                    for j in range(len(near)):
+                        i = first + j
+                        some = np.flatnonzero(near[j] >= max(bound[j] - 1e-9, -2.0))
+                        # summed row by row, so that equal vectors get equal scores wherever they stand
+                        score = np.sum(h[some] * q[i], axis=1) / (q_norm[i] * h_norm[some])
+                        ids = h_ids[h_rows[some]]
+                        top = np.lexsort((ids, -score))[:k]
+                        found.append(np.rec.fromarrays([np.full(len(top), q_ids[q_rows[i]]), ids[top], score[top]], names=names))
         if not found:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
         rows = np.concatenate(found)
