@@ -6,13 +6,13 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from tributary.operators import generate, metrics, rerank, split
-from tributary.plans import checks, designs, queries
+from tributary.plans import checks, designs, queries, search
 from tributary.plans.queries import Fixture
 from tributary.sources import tables
 from tributary.streaming import events
 
-QUERIES = queries.QUERIES | designs.QUERIES | checks.QUERIES
-ORACLES = queries.ORACLES | designs.ORACLES | checks.ORACLES
+QUERIES = queries.QUERIES | designs.QUERIES | checks.QUERIES | search.QUERIES
+ORACLES = queries.ORACLES | designs.ORACLES | checks.ORACLES | search.ORACLES
 
 
 def plain(v):
@@ -29,7 +29,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", ["rec_popularity", "eval_report", "filter_fallback", "funnel_end_to_end", "interleave", "profile_eval", "history_prompt", "find_city", "persona_recovery", "tag_set_f1"])
+@pytest.mark.parametrize("name", ["rec_popularity", "eval_report", "filter_fallback", "funnel_end_to_end", "interleave", "profile_eval", "history_prompt", "find_city", "persona_recovery", "tag_set_f1", "ann_recall", "area_density", "when_to_go", "draft_clicks", "explore_swap"])
 def test_equals_sql(spark, duck, name):
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)

@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tributary.functions.hashing import hash_key, normal, uniform
 from tributary.functions.vectors import blended, centered, dot, sigmoid
+from tributary.sources.tables import PERSONAS, TAGS
+
+#: The phrases and templates that session queries are made of.
+PHRASES = {
+    "culture": ["museums and historic architecture", "local culture and history", "art and heritage"],
+    "adventure": ["outdoor adventure and hiking", "adrenaline and outdoor activities", "trekking"],
+    "nature": ["scenic nature and landscapes", "national parks and wildlife", "unspoiled natural beauty"],
+    "beaches": ["beaches and coastline", "sun, sand and sea", "beachfront relaxation"],
+    "nightlife": ["nightlife and bars", "clubs and evening entertainment", "a vibrant nightlife scene"],
+    "cuisine": ["great local food", "restaurants and street food", "a strong food and cuisine scene"],
+    "wellness": ["spas and relaxation", "a wellness retreat", "a peaceful, restorative trip"],
+    "urban": ["city life and urban exploring", "big-city energy", "urban sightseeing"],
+    "seclusion": ["a quiet, secluded getaway", "off-the-beaten-path spots", "somewhere remote and uncrowded"],
+}
+ONE_TAG = ["looking for a trip with {a}", "planning a trip around {a}", "want a destination known for {a}"]
+TWO_TAGS = ["somewhere good for {a} and {b}", "{a}, ideally with {b} too", "a trip that combines {a} and {b}"]
 
 
 def popularity(catalog: DataFrame, seed: int, skew: float = 1.0) -> DataFrame:
@@ -16,16 +32,42 @@ def popularity(catalog: DataFrame, seed: int, skew: float = 1.0) -> DataFrame:
 
 
 def users(spark: SparkSession, n: int, seed: int = 42, purity: float = 0.8) -> DataFrame:
-    """user_id, p1, p2 (different), mix_weight in [0.5, 1] with four places."""
+    """user_id, p1, p2 (different), their names, mix_weight in [0.5, 1] with four places, noise of the nine tag weights."""
     row = spark.range(n).withColumn("user_id", F.format_string("u%06d", "id"))
     p1 = F.floor(uniform("id", F.lit(seed), F.lit("p1")) * 6).cast("int")
     p2 = ((p1 + 1 + F.floor(uniform("id", F.lit(seed), F.lit("p2")) * 5)) % 6).cast("int")
     mix = F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.5), purity + 0.07 * normal("id", F.lit(seed), F.lit("mix")))), 4)
-    return row.select("user_id", p1.alias("p1"), p2.alias("p2"), mix.alias("mix_weight"))
+    noise = F.transform(F.sequence(F.lit(0), F.lit(len(TAGS) - 1)), lambda i: 0.15 * normal("id", i, F.lit(seed), F.lit("noise")))
+    name = lambda p: F.element_at(_texts([x[0] for x in PERSONAS]), p + 1)
+    return row.select("user_id", p1.alias("p1"), p2.alias("p2"), name(p1).alias("primary_persona"), name(p2).alias("secondary_persona"), mix.alias("mix_weight"), noise.alias("noise"))
+
+
+def _texts(some: list[str]) -> Column:
+    return F.array(*[F.lit(x) for x in some])
+
+
+def _one_of(some: Column, *key) -> Column:
+    """An element by hash of the key."""
+    return F.element_at(some, (F.floor(uniform(*key) * F.size(some)) + 1).cast("int"))
+
+
+def _asked(key: list) -> tuple[Column, Column]:
+    """The text of a session's query and its first tag: two of the first persona's tags at 60 %, else one."""
+    tags = F.element_at(F.array(*[_texts(t) for _, _, t in PERSONAS]), F.col("p1") + 1)
+    first = F.floor(uniform(*key, F.lit("q1")) * F.size(tags)).cast("int")
+    second = ((first + 1 + F.floor(uniform(*key, F.lit("q2")) * (F.size(tags) - 1))) % F.size(tags)).cast("int")
+    a, b = F.get(tags, first), F.get(tags, second)
+    phrases = F.create_map(*[x for t, p in PHRASES.items() for x in (F.lit(t), _texts(p))])
+    said = lambda tag, name: _one_of(phrases[tag], *key, F.lit(name))
+    one = F.replace(_one_of(_texts(ONE_TAG), *key, F.lit("form")), F.lit("{a}"), said(a, "pa"))
+    two = F.replace(F.replace(_one_of(_texts(TWO_TAGS), *key, F.lit("form")), F.lit("{a}"), said(a, "pa")), F.lit("{b}"), said(b, "pb"))
+    both = (F.size(tags) > 1) & (uniform(*key, F.lit("two")) >= 0.4)
+    return F.when(both, two).otherwise(one), a
 
 
 def sessions(people: DataFrame, seed: int = 42, mean: float = 6.0, days: int = 730) -> DataFrame:
-    """Poisson many per user, one at least, at uniform times; filters at 30 % (budget) and 25 % (tag, 1..9)."""
+    """Poisson many per user, one at least, at uniform times; query texts from the first persona's tags; filters at
+    30 % (a budget of the persona) and 25 % (the query's first tag, by its place 1..9)."""
     u, term, total = uniform("user_id", F.lit(seed), F.lit("n")), 2.718281828459045**-mean, 0.0
     n = F.lit(0)
     for k in range(40):
@@ -36,10 +78,11 @@ def sessions(people: DataFrame, seed: int = 42, mean: float = 6.0, days: int = 7
     key = ["user_id", "draw", F.lit(seed)]
     rows = rows.withColumn("offset", F.floor(uniform(*key, F.lit("t")) * days * 86400).cast("int"))
     number = F.row_number().over(Window.partitionBy("user_id").orderBy("offset", "draw")) - 1
-    budget = F.element_at(F.array(F.lit("Budget"), F.lit("Mid-range"), F.lit("Luxury")), (F.floor(uniform(*key, F.lit("b")) * 3) + 1).cast("int"))
+    budget = _one_of(F.element_at(F.array(*[_texts(sorted(b)) for _, b, _ in PERSONAS]), F.col("p1") + 1), *key, F.lit("b"))
+    text, tag = _asked(key)
     return rows.select(
         "*", F.concat_ws("-s", "user_id", F.format_string("%03d", number)).alias("session_id"), F.expr("timestampadd(SECOND, offset, TIMESTAMP_NTZ'2024-01-01 00:00:00')").alias("start"),
-        F.when(uniform(*key, F.lit("fb")) < 0.30, budget).alias("f_budget"), F.when(uniform(*key, F.lit("ft")) < 0.25, (F.floor(uniform(*key, F.lit("tag")) * 9) + 1).cast("int")).alias("f_tag"),
+        F.when(uniform(*key, F.lit("fb")) < 0.30, budget).alias("f_budget"), F.when(uniform(*key, F.lit("ft")) < 0.25, F.array_position(_texts(TAGS), tag).cast("int")).alias("f_tag"), text.alias("query_text"),
         (10 + F.floor(uniform(*key, F.lit("m")) * 11)).cast("int").alias("n_shown"),
     )
 
@@ -48,7 +91,7 @@ def interactions(some: DataFrame, personas: DataFrame, catalog: DataFrame, seed:
     """Impressions drawn without replacement by popularity among eligible items, with nested clicks, saves and additions."""
     w1 = personas.select(F.col("p").alias("p1"), F.col("weights").alias("w1"), "budgets")
     w2 = personas.select(F.col("p").alias("p2"), F.col("weights").alias("w2"))
-    tasted = some.join(F.broadcast(w1), "p1").join(F.broadcast(w2), "p2").withColumn("w", blended("w1", "w2", "mix_weight"))
+    tasted = some.join(F.broadcast(w1), "p1").join(F.broadcast(w2), "p2").withColumn("w", F.zip_with(blended("w1", "w2", "mix_weight"), F.col("noise"), lambda x, e: x + e))
     pairs = tasted.crossJoin(popularity(catalog, seed).select("item_id", "budget_level", "tags", "weight"))
     ok = (F.col("f_budget").isNull() | (F.col("budget_level") == F.col("f_budget"))) & (F.col("f_tag").isNull() | (F.try_element_at("tags", F.coalesce("f_tag", F.lit(1))) >= 4))
     whole = Window.partitionBy("session_id")
@@ -70,3 +113,19 @@ def interactions(some: DataFrame, personas: DataFrame, catalog: DataFrame, seed:
     events = F.array(event("impression", F.lit(True), F.lit(0)), event("click", F.col("click"), t_click, dwell), event("save", F.col("save"), t_save), event("itinerary_add", F.col("add"), t_save + late("ta", 60, 259200)), event("not_interested", F.col("reject"), late("tx", 1, 120)))
     rows = shown.select("user_id", "session_id", "item_id", "start", F.explode(F.filter(events, lambda e: e["keep"])).alias("e"))
     return rows.select("user_id", "session_id", "item_id", F.col("e.event_type").alias("event_type"), F.expr("timestampadd(SECOND, e.after, start)").alias("ts"), F.col("e.dwell").alias("dwell"))
+
+
+def numbered(log: DataFrame) -> DataFrame:
+    """log with interaction_id, gapless from 0 in order of user, session, item, time and event.
+
+    Counts of blocks of 10,000 users, then of users, are summed before rows are numbered within their user, so no task
+    sees more than a block's users or a user's rows.
+    """
+    block = F.regexp_replace("user_id", ".{4}$", "")
+    sizes = log.groupBy("user_id").agg(F.count("*").alias("n")).withColumn("block", block)
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = sizes.groupBy("block").agg(F.sum("n").alias("n")).select("block", before(Window.partitionBy(F.lit(1)).orderBy("block")).alias("blocks_before"))
+    at = sizes.withColumn("users_before", before(Window.partitionBy("block").orderBy("user_id"))).join(blocks, "block")
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("session_id", "item_id", "ts", "event_type")) - 1
+    whole = log.withColumn("place", place).join(at.select("user_id", (F.col("blocks_before") + F.col("users_before")).alias("start_id")), "user_id")
+    return whole.withColumn("interaction_id", F.col("start_id") + F.col("place")).select("interaction_id", *log.columns)

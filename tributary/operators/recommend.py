@@ -5,10 +5,13 @@ The catalog side is crossed in blocks of users by the planner; a scored table ha
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.functions.hashing import hash_key
+from tributary.functions.hashing import hash_int, hash_key
 from tributary.functions.vectors import blended, centered, dot
 
 
@@ -69,6 +72,71 @@ def validated(picks: DataFrame, catalog: DataFrame, seen: DataFrame, k: int) ->
     return top_k(once, k, F.col("place"), F.col("item_id")).select("user_id", "rank", "item_id")
 
 
+class Recommender(Protocol):
+    """What the evaluation asks of a recommender: ranked rows (user_id, rank, item_id) for all users in one plan."""
+
+    def recommend(self, users: DataFrame, k: int) -> DataFrame: ...
+
+
+@dataclass
+class Popular:
+    pop: DataFrame
+    seen: DataFrame
+
+    def recommend(self, users: DataFrame, k: int) -> DataFrame:
+        return popular(users, self.pop, self.seen, k)
+
+
+@dataclass
+class Random:
+    catalog: DataFrame
+    seen: DataFrame
+    seed: int = 42
+
+    def recommend(self, users: DataFrame, k: int) -> DataFrame:
+        return random(users, self.catalog, self.seen, k, self.seed)
+
+
+@dataclass
+class Persona:
+    """Users that the table of people doesn't hold are an error."""
+
+    people: DataFrame
+    personas: DataFrame
+    catalog: DataFrame
+    seen: DataFrame
+
+    def recommend(self, users: DataFrame, k: int) -> DataFrame:
+        return persona_oracle(must_match(users, self.people, "user_id"), self.personas, self.catalog, self.seen, k)
+
+
+def must_match(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """The inner join on key, in which a row without a match is an error."""
+    at = rows.join(table.withColumn("_met", F.lit(True)), key, "left")
+    fault = F.raise_error(F.concat(F.lit(f"unknown {key}: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return at.where(F.when(F.col("_met"), F.lit(True)).otherwise(fault.cast("boolean"))).drop("_met")
+
+
+def team_draft(a: DataFrame, b: DataFrame, slots: int, salt: str = "draft") -> DataFrame:
+    """Rows (user_id, rank, item_id, team) of two rankings that pick in turn, each the best item that isn't taken yet.
+
+    A hash of user and round says who picks first in a round. A team with nothing left leaves its slot empty.
+    """
+    side = lambda rows, name: rows.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("rank", "item_id"))).alias("z")).select("user_id", F.col("z.item_id").alias(name))
+    none = F.array().cast("array<int>")
+    both = side(a, "a").join(side(b, "b"), "user_id", "full").select("user_id", F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b"))
+
+    def pick(taken: Column, t: Column) -> Column:
+        starts = hash_int("user_id", F.floor(t / 2), F.lit(salt)) % 2 == 0
+        first = (t % 2 == 0) == starts
+        left = F.filter(F.when(first, F.col("a")).otherwise(F.col("b")), lambda x: ~F.exists(taken, lambda p: p["item_id"].eqNullSafe(x)))
+        return F.concat(taken, F.array(F.struct(F.get(left, F.lit(0)).alias("item_id"), F.when(first, "a").otherwise("b").alias("team"))))
+
+    picked = F.aggregate(F.sequence(F.lit(0), F.lit(slots - 1)), F.array().cast("array<struct<item_id: int, team: string>>"), pick)
+    rows = both.select("user_id", F.posexplode(picked).alias("p", "x"))
+    return rows.where("x.item_id IS NOT NULL").select("user_id", (F.col("p") + 1).alias("rank"), "x.item_id", "x.team")
+
+
 def item_knn(train_rows: DataFrame) -> DataFrame:
     """Binary cosine of co-interaction: rows (a, b, co, sim), a < b."""
     pairs = train_rows.where(F.col("event_type").isin("click", "save")).select("user_id", "item_id").distinct()

@@ -256,13 +256,6 @@ def variant_assign(spark, sf):
     return Fixture(spark, sf).users.select("user_id", (hash_int("user_id", F.lit("exp1")) % 3).cast("int").alias("arm"))
 
 
-@query(f"WITH {_CAT}, m AS (SELECT item_id, i::INT AS month, 15 + (item_id * 7 + i * 5) % 23 AS temp FROM cat, unnest(range(1, 13)) r(i)), r AS (SELECT item_id, month, abs(temp - 24)::INT AS miss, CAST(row_number() OVER (PARTITION BY item_id ORDER BY abs(temp - 24), month) AS INT) AS rank FROM m) SELECT * FROM r WHERE rank <= 3")
-def when_to_go(spark, sf):
-    rows = Fixture(spark, sf).catalog.select("item_id", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"))
-    rows = rows.withColumn("miss", F.abs(15 + (F.col("item_id") * 7 + F.col("month") * 5) % 23 - 24).cast("int"))
-    return recommend.top_k(rows, 3, F.col("miss"), F.col("month"), by="item_id").select("item_id", "month", "miss", "rank")
-
-
 @query(r"SELECT conv_id, turn, regexp_matches(lower(text), '\b(not|no|without)\b') AS negated, try_cast(nullif(regexp_extract(text, '([0-9]{1,6})', 1), '') AS INT) AS number, CASE WHEN regexp_matches(lower(text), '\b(cheap|budget)') THEN 'Budget' WHEN regexp_matches(lower(text), '\bluxur') THEN 'Luxury' END AS budget FROM conversations")
 def intent_rules(spark, sf):
     low = F.lower("text")
@@ -360,12 +353,12 @@ def gen_users(spark, sf):
 
 @query()
 def gen_sessions(spark, sf):
-    return generate.sessions(generate.users(spark, 5000)).select("session_id", "user_id", "start", "f_budget", "f_tag")
+    return generate.sessions(generate.users(spark, 5000)).select("session_id", "user_id", "start", "query_text", "f_budget", "f_tag")
 
 
 @query()
 def gen_interactions(spark, sf):
-    return _generated(Fixture(spark, sf))[1]
+    return generate.numbered(_generated(Fixture(spark, sf))[1])
 
 
 @query()

@@ -101,13 +101,13 @@ class Fixture:
         return self.rel.select("user_id").distinct()
 
     def popular(self, k: int = 20) -> DataFrame:
-        return recommend.popular(self.judged, split.popularity(self.train, self.catalog), self.seen, k)
+        return recommend.Popular(split.popularity(self.train, self.catalog), self.seen).recommend(self.judged, k)
 
     def random(self, k: int = 20) -> DataFrame:
-        return recommend.random(self.judged, self.catalog, self.seen, k)
+        return recommend.Random(self.catalog, self.seen).recommend(self.judged, k)
 
     def oracle(self, k: int = 20) -> DataFrame:
-        return recommend.persona_oracle(self.users.join(self.judged, "user_id", "left_semi"), self.personas, self.catalog, self.seen, k)
+        return recommend.Persona(self.users, self.personas, self.catalog, self.seen).recommend(self.judged, k)
 
 
 @query(f"WITH {_CAT} SELECT item_id, city, country, region, budget_level, tags FROM cat")
@@ -317,12 +317,15 @@ def vector_stats(spark, sf):
     return T.table(spark, sf, "embeddings").select("vec_id", F.size(v).alias("dims"), F.round(norm("embedding"), 6).alias("norm"), F.round(F.array_min(v), 6).alias("lo"), F.round(F.array_max(v), 6).alias("hi"), F.round(mean, 6).alias("mean"), F.round(F.sqrt(var), 6).alias("std"))
 
 
-@query("""WITH m AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) AS top FROM embeddings)
-SELECT vec_id, ((i - 1) // 16)::INT AS row, ((i - 1) % 16)::INT AS col, CASE WHEN v[i] >= 0 THEN 'red' ELSE 'blue' END AS hue, trunc(abs(v[i]) / top * 255)::INT AS depth FROM m, unnest(range(1, 65)) r(i)""")
+@query("""WITH m AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) AS top FROM embeddings), c AS (SELECT vec_id, i, v[i] AS x, trunc(255 * (1 - abs(v[i]) / top))::INT AS pale FROM m, unnest(range(1, 65)) r(i))
+SELECT vec_id, ((i - 1) // 32)::INT AS row, ((i - 1) % 32)::INT AS col, CASE WHEN x >= 0 THEN 255 ELSE pale END::INT AS red, pale AS green, CASE WHEN x >= 0 THEN pale ELSE 255 END::INT AS blue FROM c""")
 def vector_heatmap(spark, sf):
+    """Rows of 32 coloured cells: red for positive, blue for negative, white near zero (a zero vector is white)."""
     v = F.col("embedding").cast("array<double>")
     rows = T.table(spark, sf, "embeddings").select("vec_id", F.array_max(F.transform(v, F.abs)).alias("top"), F.posexplode(v).alias("i", "x"))
-    return rows.select("vec_id", F.floor(F.col("i") / 16).cast("int").alias("row"), (F.col("i") % 16).alias("col"), F.when(F.col("x") >= 0, "red").otherwise("blue").alias("hue"), (F.abs("x") / F.col("top") * 255).cast("int").alias("depth"))
+    pale = (255 * (1 - F.coalesce(F.try_divide(F.abs("x"), "top"), F.lit(0.0)))).cast("int")
+    up = F.col("x") >= 0
+    return rows.select("vec_id", F.floor(F.col("i") / 32).cast("int").alias("row"), (F.col("i") % 32).alias("col"), F.when(up, 255).otherwise(pale).alias("red"), pale.alias("green"), F.when(up, pale).otherwise(255).alias("blue"))
 
 
 @query(f"WITH {_POP}, {_RAND} SELECT user_id, rank, item_id FROM r_rand")

@@ -5,7 +5,7 @@ Files in the model's own layout come with declared schemas; `fixture_*` derive t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed: the order of the nine ratings is part of the model.
@@ -30,10 +30,15 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
+def climate(column: str) -> Column:
+    """Monthly temperatures from their JSON text, by the number of the month; null where it can't be parsed."""
+    return F.from_json(column, "map<string,struct<avg:double,max:double,min:double>>")
+
+
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """The catalog with JSON columns parsed and the ratings as one array in TAGS order."""
     rows = read_csv(spark, path, CATALOG_SCHEMA)
-    return rows.withColumn("avg_temp_monthly", F.from_json("avg_temp_monthly", "map<string,struct<avg:double,max:double,min:double>>")).withColumn("ideal_durations", F.from_json("ideal_durations", "array<string>")).withColumn("tags", F.array(*TAGS))
+    return rows.withColumn("avg_temp_monthly", climate("avg_temp_monthly")).withColumn("ideal_durations", F.from_json("ideal_durations", "array<string>")).withColumn("tags", F.array(*TAGS))
 
 
 def read_interactions(spark: SparkSession, path: str) -> DataFrame:
@@ -92,6 +97,14 @@ def fixture_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.join(vectors, "item_id")
 
 
+def fixture_climate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly temperatures of the fixture's items, from their vectors, through the JSON text a catalog file has."""
+    v = F.col("embedding").cast("array<double>")
+    month = lambda m: F.struct(m.cast("string").alias("key"), F.struct(F.round(15 + 80 * F.element_at(v, m), 1).alias("avg")).alias("value"))
+    text = F.to_json(F.map_from_entries(F.transform(F.sequence(F.lit(1), F.lit(12)), month)))
+    return fixture_catalog(spark, sf_dir).select("item_id", text.alias("avg_temp_monthly")).withColumn("avg_temp_monthly", climate("avg_temp_monthly"))
+
+
 def fixture_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("c_custkey")
     first = (u % 6).cast("int")
