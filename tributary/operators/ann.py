@@ -15,7 +15,8 @@ from tributary.functions.hashing import uniform
 from tributary.functions.vectors import dot
 from tributary.operators.recommend import top_k
 
-TABLES = 24
+#: Neighbours of this cosine are to share a bucket of some table with this probability.
+NEAR, SURE = 0.35, 0.95
 
 
 def bits_for(n: int) -> int:
@@ -23,12 +24,21 @@ def bits_for(n: int) -> int:
     return max(4, math.ceil(math.log2(max(n, 1) / 100)))
 
 
+def tables_for(bits: int, near: float = NEAR, sure: float = SURE) -> int:
+    """So many tables that a neighbour of cosine `near` is met with probability `sure`.
+
+    A sign agrees with probability 1 - angle / pi. For vectors without near neighbours the number grows fast with the bits;
+    where neighbours are nearer, a larger `near` makes it small.
+    """
+    return math.ceil(math.log(1 - sure) / math.log(1 - (1 - math.acos(near) / math.pi) ** bits))
+
+
 def plane(table: int, bit: int, dims: int) -> np.ndarray:
     """Components 1 or -1 by hash, so that anybody can build the same planes."""
     return np.array([1.0 if int(hashlib.md5(f"{table}:{bit}:{i}".encode()).hexdigest()[:8], 16) % 2 == 0 else -1.0 for i in range(dims)])
 
 
-def signed(vectors: DataFrame, bits: int, dims: int, tables: int = TABLES) -> DataFrame:
+def signed(vectors: DataFrame, bits: int, dims: int, tables: int) -> DataFrame:
     """Rows (vec_id, t, key): one bucket a table for each row of vectors (vec_id, v array<double>)."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,7 +53,7 @@ def signed(vectors: DataFrame, bits: int, dims: int, tables: int = TABLES) -> Da
     return whole.mapInArrow(go, "vec_id long, keys array<long>").select("vec_id", F.posexplode("keys").alias("t", "key"))
 
 
-def lsh_search(vectors: DataFrame, queries: DataFrame, k: int, bits: int, dims: int, tables: int = TABLES) -> DataFrame:
+def lsh_search(vectors: DataFrame, queries: DataFrame, k: int, bits: int, dims: int, tables: int) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k best inner products among rows that share a bucket with the query.
 
     Only ids meet in the buckets; a pair is scored once, however many buckets it shares. Longer keys make buckets small and

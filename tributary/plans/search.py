@@ -26,8 +26,8 @@ def query(sql: str | None = None):
     return add
 
 
-_LSH = _BATCH + f""", bits AS (SELECT greatest(4, ceil(log2(count(*) / 100.0)))::INT AS bits FROM embeddings),
-pl AS (SELECT t, b, list(CASE WHEN ('0x' || substr(md5(concat_ws(':', t, b, i)), 1, 8))::BIGINT % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE ORDER BY i) AS p FROM bits, range({ann.TABLES}) x(t), range(16) y(b), range(64) z(i) WHERE b < bits GROUP BY ALL),
+_LSH = _BATCH + f""", b0 AS (SELECT greatest(4, ceil(log2(count(*) / 100.0)))::INT AS bits FROM embeddings), bits AS (SELECT bits, ceil(ln(1 - {ann.SURE}) / ln(1 - pow(1 - acos({ann.NEAR}) / pi(), bits))) AS tables FROM b0),
+pl AS (SELECT t, b, list(CASE WHEN ('0x' || substr(md5(concat_ws(':', t, b, i)), 1, 8))::BIGINT % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE ORDER BY i) AS p FROM bits, range(1000) x(t), range(16) y(b), range(64) z(i) WHERE b < bits AND t < tables GROUP BY ALL),
 ky AS (SELECT vec_id, t, sum(CASE WHEN list_dot_product(embedding::DOUBLE[], p) >= 0 THEN 1 << b::INT ELSE 0 END) AS key FROM embeddings CROSS JOIN pl GROUP BY ALL),
 pr AS (SELECT DISTINCT a.vec_id AS query_id, h.vec_id FROM ky a JOIN ky h USING (t, key) WHERE a.vec_id % 20 = 0 AND a.vec_id <> h.vec_id),
 fd AS (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM b SEMI JOIN pr USING (query_id, vec_id))"""
@@ -39,7 +39,8 @@ def _vectors(spark, sf) -> DataFrame:
 
 def _lsh(spark, sf) -> DataFrame:
     v = _vectors(spark, sf)
-    return ann.lsh_search(v, v.where("vec_id % 20 = 0"), 10, ann.bits_for(v.count()), 64)
+    bits = ann.bits_for(v.count())
+    return ann.lsh_search(v, v.where("vec_id % 20 = 0"), 10, bits, 64, ann.tables_for(bits))
 
 
 @query(_LSH + " SELECT query_id, rank, vec_id, score FROM fd WHERE rank <= 10")
