@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tributary.llm.audit import ORACLE as AUDIT_SQL
 from tributary.llm.common import short_batches, written
+from tributary.llm.licenses import ORACLE as LICENSE_SQL
 from tributary.llm.linededup import ORACLE as LINE_DEDUP_SQL
 from tributary.llm.topk import ORACLE as TOPK_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL, "op1_nra_topk": TOPK_SQL}
+ORACLES: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL, "op1_nra_topk": TOPK_SQL, "op11_license_rules": LICENSE_SQL, "op12_filter_audit": AUDIT_SQL}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -125,3 +127,48 @@ def op10_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     model = langid.fit(table(spark, sf_dir, "documents"))
     return langid.identify(table(spark, sf_dir, "pages"), model, "page_id", "html", url_col="url", is_html=True)
+
+
+@query
+def op11_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tributary.llm import licenses
+
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tributary.llm import audit
+
+    return audit.order_steps(audit.failure_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def with_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of every tenth id, by its checksum, the text's words from a place on repeat a few of them."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+
+    def tail(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(w, lambda x, i: F.when(i >= a, F.get(w, (a + (i - a) % p).cast("int"))).otherwise(x)), " ")
+
+    bound = F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, tail(w)).otherwise(F.lit(""))), F.lit(0))
+    return docs.select("doc_id", F.when(h % 10 == 0, bound).otherwise(text).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tributary.llm import runs
+
+    found = runs.periodic_runs(with_tails(table(spark, sf_dir, "documents")))
+    most = F.aggregate("runs", F.get("runs", F.lit(0)), lambda a, x: F.when(x["length"] * a["period"] > a["length"] * x["period"], x).otherwise(a))
+    lines = F.transform("runs", lambda x: F.concat(F.concat_ws(",", *[x[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    told = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), most.alias("most"), F.array_join(lines, "").alias("lines"), "collapsed")
+    return told.select(
+        "doc_id", "n_runs", "most.start", "most.length", "most.period", F.floor(1000 * F.col("most.length") / F.col("most.period")).alias("exponent_milli"),
+        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
