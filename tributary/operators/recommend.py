@@ -1,6 +1,7 @@
 """Recommenders as plans over all users: scored candidates without seen items, the k best of each user.
 
-The catalog side is crossed in blocks of users by the planner; a scored table has user_id, item_id, score.
+What ranks by an inner product goes through blocks; what ranks by one order for all walks along it. Only where every pair's score
+is asked for are users and catalog crossed. A scored table has user_id, item_id, score.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 
 from tributary.functions.hashing import hash_int, hash_key
 from tributary.functions.vectors import blended, centered, dot
+from tributary.operators.blocks import best_items
+from tributary.sources.durable import Durable
+from tributary.sources.tables import LEVELS
 
 
 def top_k(scored: DataFrame, k: int, *order: Column, by: str = "user_id") -> DataFrame:
@@ -38,16 +42,44 @@ def unseen(candidates: DataFrame, seen: DataFrame) -> DataFrame:
     return candidates.join(seen, ["user_id", "item_id"], "left_anti")
 
 
+def placed(items: DataFrame, *order: Column) -> DataFrame:
+    """items with place, gapless from 0 in this order, which must have no ties.
+
+    Sorted once and kept; a partition's rows are numbered within it and moved by the number of rows before it.
+    """
+    held = Durable(items.sparkSession)
+    part = held.keep(items.orderBy(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = part.groupBy("_part").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    before = sizes.select("_part", F.coalesce(upto, F.lit(0)).alias("_before"))  # a row a partition
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return part.withColumn("place", within).join(F.broadcast(before), "_part").withColumn("place", F.col("place") + F.col("_before")).drop("_part", "_before")
+
+
+def along(users: DataFrame, items: DataFrame, seen: DataFrame, k: int, start: Column | None = None) -> DataFrame:
+    """Rows (user_id, rank, item_id, and what else items have): the first k unseen items on a walk along their places.
+
+    A user who has seen n items finds k unseen ones, if there are so many, among the first n + k places, so only these are
+    met, by place. With start (a whole number by user) the walk begins there and goes around.
+    """
+    n_items = items.count()
+    sizes = seen.groupBy("user_id").agg(F.count_distinct("item_id").alias("n"))
+    reach = F.least(F.coalesce("n", F.lit(0)) + k, F.lit(n_items)).cast("int")
+    steps = users.join(sizes, "user_id", "left").where(F.lit(n_items > 0)).select("user_id", F.explode(F.sequence(F.lit(0), reach - 1)).alias("step"))
+    begin = F.lit(0) if start is None else start
+    at = steps.withColumn("place", F.pmod(begin + F.col("step"), F.lit(max(n_items, 1))).cast("long")).join(items.withColumn("place", F.col("place").cast("long")), "place")
+    return top_k(unseen(at, seen), k, F.col("step")).drop("step", "place")
+
+
 def popular(users: DataFrame, pop: DataFrame, seen: DataFrame, k: int) -> DataFrame:
-    """By count, ties in catalog order. Only the first k + (most seen by a user) items can be recommended."""
-    most = seen.groupBy("user_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    head = pop.orderBy(F.col("cnt").desc(), "item_id").limit(int(most) + k)
-    return top_k(unseen(users.crossJoin(head), seen), k, F.col("cnt").desc(), F.col("item_id")).select("user_id", "rank", "item_id", "cnt")
+    """By count, ties in catalog order."""
+    return along(users, placed(pop, F.col("cnt").desc(), F.col("item_id")), seen, k).select("user_id", "rank", "item_id", "cnt")
 
 
 def random(users: DataFrame, catalog: DataFrame, seen: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    pairs = unseen(users.crossJoin(catalog.select("item_id")), seen)
-    return top_k(pairs, k, hash_key("user_id", "item_id", F.lit(seed)), F.col("item_id")).select("user_id", "rank", "item_id")
+    """Items in an order by hash, from a place by hash of the user."""
+    ring = placed(catalog.select("item_id"), hash_key("item_id", F.lit(seed)), F.col("item_id"))
+    return along(users, ring, seen, k, hash_int("user_id", F.lit(seed))).select("user_id", "rank", "item_id")
 
 
 def persona_scores(users: DataFrame, personas: DataFrame, catalog: DataFrame, bonus: float = 1.5) -> DataFrame:
@@ -60,9 +92,23 @@ def persona_scores(users: DataFrame, personas: DataFrame, catalog: DataFrame, bo
     return pairs.select("user_id", "item_id", F.round(dot("t", "w") + extra, 6).alias("score"))
 
 
+def persona_queries(users: DataFrame, personas: DataFrame, bonus: float = 1.5) -> DataFrame:
+    """(user_id, q): the blend of both personas' weights, then the bonus for each level of the first one's budgets."""
+    first = personas.select(F.col("p").alias("p1"), F.col("weights").alias("w1"), "budgets")
+    second = personas.select(F.col("p").alias("p2"), F.col("weights").alias("w2"))
+    both = users.join(F.broadcast(first), "p1").join(F.broadcast(second), "p2")  # six personas
+    levels = F.array(*[F.when(F.array_contains("budgets", level), bonus).otherwise(0.0) for level in LEVELS])
+    return both.select("user_id", F.concat(blended("w1", "w2", "mix_weight"), levels).alias("q"))
+
+
+def item_vectors(catalog: DataFrame) -> DataFrame:
+    """(item_id, x): centred tags, then which level it is, so that x times q is the score of persona_scores."""
+    level = F.array(*[F.when(F.col("budget_level") == name, 1.0).otherwise(0.0) for name in LEVELS])
+    return catalog.select("item_id", F.concat(centered("tags"), level).alias("x"))
+
+
 def persona_oracle(users: DataFrame, personas: DataFrame, catalog: DataFrame, seen: DataFrame, k: int) -> DataFrame:
-    scored = unseen(persona_scores(users, personas, catalog), seen)
-    return top_k(scored, k, F.col("score").desc(), F.col("item_id")).select("user_id", "rank", "item_id", "score")
+    return best_items(persona_queries(users, personas), item_vectors(catalog), k, seen)
 
 
 def validated(picks: DataFrame, catalog: DataFrame, seen: DataFrame, k: int) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tributary.functions.hashing import hash_int, hash_key, uniform
 from tributary.functions.vectors import centered, cosine, dot
 from tributary.operators import generate, metrics, recommend, rerank, split
+from tributary.operators.blocks import best_items
 from tributary.plans.funnel import Funnel
 from tributary.plans.queries import _CAT, _FULL, _INTER, _MEANS, _POP, _SPLIT, _USERS, Fixture, _metrics_sql
 from tributary.sources import tables as T
@@ -150,7 +151,8 @@ def cross_pairs(spark, sf):
 
 
 def _lists(f: Fixture, k: int = 50) -> DataFrame:
-    top = recommend.top_k(recommend.persona_scores(f.users.join(f.judged, "user_id", "left_semi"), f.personas, f.catalog), k, F.col("score").desc(), F.col("item_id"))
+    queries = recommend.persona_queries(f.users.join(f.judged, "user_id", "left_semi"), f.personas)
+    top = best_items(queries, recommend.item_vectors(f.catalog), k)
     return top.join(f.catalog.select("item_id", "country", F.col("embedding").cast("array<double>").alias("vector")), "item_id").withColumnRenamed("user_id", "list_id")
 
 
@@ -213,8 +215,8 @@ def profile_decay(spark, sf):
 def profile_eval(spark, sf):
     f = Fixture(spark, sf)
     p = _profile(f).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("dim", "mean"))).alias("z")).select("user_id", F.col("z.mean").alias("p"))
-    scored = p.join(f.judged, "user_id", "left_semi").crossJoin(f.catalog.select("item_id", "embedding")).select("user_id", "item_id", F.round(dot("p", "embedding"), 6).alias("score"))
-    recs = recommend.top_k(recommend.unseen(scored, f.seen), 20, F.col("score").desc(), F.col("item_id"))
+    queries = p.join(f.judged, "user_id", "left_semi").select("user_id", F.col("p").alias("q"))
+    recs = best_items(queries, f.catalog.select("item_id", F.col("embedding").alias("x")), 20, f.seen)
     return metrics.evaluate({"profile": recs}, f.rel, [5, 10, 20])
 
 

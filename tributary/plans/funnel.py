@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.operators import recommend, rerank, split
+from tributary.operators.blocks import best_items
 
 
 @dataclass
@@ -22,8 +23,7 @@ class Funnel:
     def run(self, users: DataFrame, personas: DataFrame, catalog: DataFrame, train: DataFrame) -> DataFrame:
         """Rows (user_id, rank, item_id, score): taste and popularity, unseen, at most cap of a bucket."""
         pop = split.popularity(train, catalog)
-        scored = recommend.unseen(recommend.persona_scores(users, personas, catalog), split.seen(train))
-        scored = scored.join(pop, "item_id").withColumn("score", F.round(F.col("score") + 0.1 * F.ln(F.col("cnt") + 1.0), 6))
-        near = recommend.top_k(scored, self.retrieve, F.col("score").desc(), F.col("item_id")).select("user_id", "item_id", "score")
+        items = recommend.item_vectors(catalog).join(pop.select("item_id", (0.1 * F.ln(F.col("cnt") + 1.0)).alias("bias")), "item_id")
+        near = best_items(recommend.persona_queries(users, personas), items, self.retrieve, split.seen(train)).select("user_id", "item_id", "score")
         lists = near.join(catalog.select("item_id", self.bucket), "item_id").withColumnRenamed("user_id", "list_id")
         return rerank.round_robin(lists, self.bucket, self.final, self.cap).select(F.col("list_id").alias("user_id"), "rank", "item_id", "score")

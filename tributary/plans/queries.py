@@ -36,7 +36,8 @@ seen AS (SELECT DISTINCT user_id, item_id FROM sp WHERE NOT is_test)"""
 _POP = _SPLIT + ", " + _CAT + """, pop AS (SELECT c.item_id, count(s.item_id) AS cnt FROM cat c LEFT JOIN (SELECT item_id FROM sp WHERE NOT is_test AND event_type IN ('click', 'save')) s USING (item_id) GROUP BY 1),
 ru AS (SELECT DISTINCT user_id FROM rel),
 r_pop AS (SELECT * FROM (SELECT u.user_id, p.item_id, p.cnt, CAST(row_number() OVER (PARTITION BY u.user_id ORDER BY cnt DESC, p.item_id) AS INT) AS rank FROM ru u CROSS JOIN pop p ANTI JOIN seen s ON s.user_id = u.user_id AND s.item_id = p.item_id) WHERE rank <= 20)"""
-_RAND = """r_rand AS (SELECT * FROM (SELECT u.user_id, p.item_id, CAST(row_number() OVER (PARTITION BY u.user_id ORDER BY md5(concat_ws(':', u.user_id, p.item_id, 42)), p.item_id) AS INT) AS rank FROM ru u CROSS JOIN cat p ANTI JOIN seen s ON s.user_id = u.user_id AND s.item_id = p.item_id) WHERE rank <= 20)"""
+_RAND = """ring AS (SELECT item_id, row_number() OVER (ORDER BY md5(concat_ws(':', item_id, 42)), item_id) - 1 AS place, count(*) OVER () AS n FROM cat),
+r_rand AS (SELECT * FROM (SELECT u.user_id, p.item_id, CAST(row_number() OVER (PARTITION BY u.user_id ORDER BY (place - start % n + n) % n) AS INT) AS rank FROM (SELECT user_id, ('0x' || substr(md5(concat_ws(':', user_id, 42)), 1, 8))::BIGINT AS start FROM ru) u CROSS JOIN ring p ANTI JOIN seen s ON s.user_id = u.user_id AND s.item_id = p.item_id) WHERE rank <= 20)"""
 _TASTE = """taste AS (SELECT user_id, a.budgets, list_transform(list_zip(a.weights, b.weights), lambda x: mix_weight * x[1] + (1.0 - mix_weight) * x[2]) AS w FROM users JOIN pers a ON a.p = p1 JOIN pers b ON b.p = p2),
 osc AS (SELECT user_id, item_id, round(list_dot_product(list_transform(tags, lambda x: (x - 3.0)::DOUBLE / 2.0), w) + CASE WHEN list_contains(budgets, budget_level) THEN 1.5 ELSE 0.0 END, 6) + 0.0 AS score FROM taste CROSS JOIN cat)"""
 _ORAC = """r_orac AS (SELECT * FROM (SELECT o.user_id, o.item_id, score, CAST(row_number() OVER (PARTITION BY o.user_id ORDER BY score DESC, o.item_id) AS INT) AS rank FROM osc o SEMI JOIN ru USING (user_id) ANTI JOIN seen s ON s.user_id = o.user_id AND s.item_id = o.item_id) WHERE rank <= 20)"""

@@ -14,6 +14,8 @@ CATALOG_SCHEMA = "id string, city string, country string, region string, short_d
 USERS_SCHEMA = "user_id string, primary_persona string, secondary_persona string, mix_weight double"
 INTERACTIONS_SCHEMA = "interaction_id long, user_id string, item_id string, event_type string, session_id string, timestamp timestamp_ntz, dwell_seconds string"
 SESSIONS_SCHEMA = "session_id string, user_id string, timestamp timestamp_ntz, query_text string, filter_budget_level string, filter_required_tag string"
+#: The levels of a budget.
+LEVELS = ["Budget", "Mid-range", "Luxury"]
 EVENT_NAMES = {"view": "impression", "click": "click", "purchase": "save", "signup": "itinerary_add", "error": "not_interested"}
 #: The six personas with their budgets and emphasised tags.
 PERSONAS = [
