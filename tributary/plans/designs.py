@@ -63,28 +63,35 @@ _BROKEN = "(CASE WHEN budget_level <> 'Budget' THEN 1 ELSE 0 END + CASE WHEN tag
 _CON = f"WITH {_FULL}, v AS (SELECT user_id, item_id, score, {_BROKEN}::INT AS broken FROM osc JOIN cat USING (item_id)), top AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM v), "
 
 
-def _constrained(f: Fixture) -> DataFrame:
+def _broken(f: Fixture) -> DataFrame:
+    """The catalog's vectors with how many of the three constraints an item breaks."""
     one = lambda c: F.when(c, 1).otherwise(0)
     broken = one(F.col("budget_level") != "Budget") + one(F.col("tags")[2] < 3) + one(F.col("tags")[4] > 3)
-    rules = f.catalog.select("item_id", broken.alias("broken"))
-    return recommend.persona_scores(f.users, f.personas, f.catalog).join(rules, "item_id")
+    return recommend.item_vectors(f.catalog).join(f.catalog.select("item_id", broken.alias("broken")), "item_id")
+
+
+def _tasted(f: Fixture) -> DataFrame:
+    return recommend.persona_queries(f.users, f.personas)
 
 
 @query(_CON + "h AS (SELECT user_id, item_id, score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS INT) AS rank FROM v WHERE broken = 0) SELECT * FROM h WHERE rank <= 10")
 def hard_filter(spark, sf):
-    rows = _constrained(Fixture(spark, sf)).where("broken = 0")
-    return recommend.top_k(rows, 10, F.col("score").desc(), F.col("item_id")).select("user_id", "item_id", "score", "rank")
+    f = Fixture(spark, sf)
+    return best_items(_tasted(f), _broken(f).where("broken = 0"), 10).select("user_id", "item_id", "score", "rank")
 
 
 @query(_CON + "h AS (SELECT user_id, item_id, round(score - 0.5 * broken, 6) AS soft FROM v), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY soft DESC, item_id) AS INT) AS rank FROM h) SELECT * FROM r WHERE rank <= 10")
 def soft_penalty(spark, sf):
-    rows = _constrained(Fixture(spark, sf)).select("user_id", "item_id", F.round(F.col("score") - 0.5 * F.col("broken"), 6).alias("soft"))
-    return recommend.top_k(rows, 10, F.col("soft").desc(), F.col("item_id")).select("user_id", "item_id", "soft", "rank")
+    f = Fixture(spark, sf)
+    items = _broken(f).withColumn("bias", -0.5 * F.col("broken"))
+    return best_items(_tasted(f), items, 10).select("user_id", "item_id", F.col("score").alias("soft"), "rank")
 
 
 @query(_CON + "z AS (SELECT 1) SELECT round(avg(CASE WHEN broken > 0 THEN 1.0 ELSE 0.0 END), 6) AS violation_rate, count(*) AS rows FROM top WHERE rank <= 10")
 def violation_rate(spark, sf):
-    rows = recommend.top_k(_constrained(Fixture(spark, sf)), 10, F.col("score").desc(), F.col("item_id"))
+    f = Fixture(spark, sf)
+    items = _broken(f)
+    rows = best_items(_tasted(f), items, 10).join(items.select("item_id", "broken"), "item_id")
     return rows.agg(F.round(F.avg(F.when(F.col("broken") > 0, 1.0).otherwise(0.0)), 6).alias("violation_rate"), F.count("*").alias("rows"))
 
 
@@ -92,11 +99,12 @@ _COARSE = f"WITH {_FULL}, c AS (SELECT user_id, item_id, score, cnt, row_number(
 
 
 def _coarse(f: Fixture) -> DataFrame:
-    both = recommend.persona_scores(f.users, f.personas, f.catalog).join(split.popularity(f.train, f.catalog), "item_id")
-    w = Window.partitionBy("user_id")
-    both = both.withColumn("coarse", F.row_number().over(w.orderBy(F.col("cnt").desc(), "item_id"))).withColumn("fine", F.row_number().over(w.orderBy(F.col("score").desc(), "item_id")))
+    """Of each user's ten best items, how many a first cut by popularity keeps; the cut's order is the same for all users."""
+    fine = best_items(_tasted(f), recommend.item_vectors(f.catalog), 10)
+    places = recommend.placed(split.popularity(f.train, f.catalog), F.col("cnt").desc(), F.col("item_id"))
+    both = fine.join(places.select("item_id", (F.col("place") + 1).alias("coarse")), "item_id")
     cuts = F.explode(F.array(F.lit(20), F.lit(50), F.lit(100))).alias("n")
-    return both.where("fine <= 10").select("*", cuts).groupBy("n").agg(F.avg(F.when(F.col("coarse") <= F.col("n"), 1.0).otherwise(0.0)).alias("survival"))
+    return both.select("*", cuts).groupBy("n").agg(F.avg(F.when(F.col("coarse") <= F.col("n"), 1.0).otherwise(0.0)).alias("survival"))
 
 
 @query(_COARSE + " SELECT n, round(survival, 6) AS survival FROM s")
@@ -118,7 +126,8 @@ def positives_per_user(spark, sf):
 def ltr_features(spark, sf):
     f = Fixture(spark, sf)
     last = f.train.groupBy("user_id", "item_id").agg(F.max("ts").alias("last"))
-    rows = f.rel.join(split.popularity(f.train, f.catalog), "item_id").join(recommend.persona_scores(f.users, f.personas, f.catalog), ["user_id", "item_id"]).join(last, ["user_id", "item_id"], "left")
+    tasted = f.rel.join(_tasted(f), "user_id").join(recommend.item_vectors(f.catalog), "item_id").withColumn("score", F.round(dot("q", "x"), 6))
+    rows = tasted.join(split.popularity(f.train, f.catalog), "item_id").join(last, ["user_id", "item_id"], "left")
     return rows.select("user_id", "item_id", "grade", "cnt", "score", F.datediff(F.lit("2024-02-01").cast("date"), F.to_date("last")).alias("days"))
 
 

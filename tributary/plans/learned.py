@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tributary.operators import factors, metrics, ranking, recommend
 from tributary.operators.blocks import best_items
 from tributary.plans.queries import _FULL, _POP, Fixture
-from tributary.plans.search import FEATURES, _ranked_halves
+from tributary.plans.search import FEATURES, _candidates, _ranked_halves
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -65,8 +65,7 @@ z AS (SELECT user_id, item_id, p * c AS l, p * (1 - p) * c AS w FROM p UNION ALL
 SELECT s.user_id, s.item_id, round(coalesce(sum(l), 0), 6) + 0.0 AS lam, round(coalesce(sum(w), 0), 6) + 0.0 AS weight FROM s LEFT JOIN z USING (user_id, item_id) GROUP BY ALL""")
 def listwise_gradient(spark, sf):
     """How every candidate's score should move, by the change of its list's NDCG, from the taste scores on."""
-    train, other = _ranked_halves(Fixture(spark, sf))
-    rows = ranking.list_gradients(train.unionByName(other).select("user_id", "item_id", "grade", "score"))
+    rows = ranking.list_gradients(_candidates(Fixture(spark, sf)).select("user_id", "item_id", "grade", "score"))
     return rows.select("user_id", "item_id", *[(F.round(c, 6) + 0.0).alias(c) for c in ("lam", "weight")])
 
 

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tributary.functions.hashing import hash_int, uniform
 from tributary.functions.vectors import dot
-from tributary.operators import ann, places, ranking, recommend, split
-from tributary.plans.designs import _CON, _constrained
+from tributary.operators import ann, graph, places, ranking, recommend, split
+from tributary.operators.blocks import best_items
+from tributary.plans.designs import _CON, _broken, _tasted
 from tributary.plans.queries import _BATCH, _CAT, _FULL, _POP, Fixture, _batch
 from tributary.sources import tables as T
+from tributary.sources.durable import Durable
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -56,6 +58,25 @@ def ann_recall(spark, sf):
     return ann.recall(_lsh(spark, sf), exact)
 
 
+def _graph_search(spark, sf) -> DataFrame:
+    v = _vectors(spark, sf)
+    return graph.search(graph.build(v), v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), 10)
+
+
+@query()
+def ann_hnsw(spark, sf):
+    """The ten nearest by layered neighbour graphs."""
+    return _graph_search(spark, sf)
+
+
+@query("SELECT count(*) AS queries, count(*) * least(10, (SELECT count(*) - 1 FROM embeddings)) AS wanted, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def hnsw_recall(spark, sf):
+    """Whether nine in ten of the exact ten nearest are found."""
+    exact = _batch(spark, sf, 11).where("query_id <> vec_id")
+    exact = recommend.top_k(exact.drop("rank"), 10, F.col("score").desc(), F.col("vec_id"), by="query_id")
+    return ann.recall(_graph_search(spark, sf), exact).select("queries", "wanted", (F.col("recall") >= 0.9).alias("enough"))
+
+
 @query("WITH m AS (SELECT vec_id, copy, i, embedding[i + 1]::DOUBLE AS x, embedding[i + 1]::DOUBLE + 0.1 * ((('0x' || substr(md5(concat_ws(':', vec_id, copy, i, 5)), 1, 8))::BIGINT + 0.5) / 4294967296.0 - 0.5) AS y FROM embeddings, range(1, 11) c(copy), range(64) d(i)) SELECT vec_id, copy::INT AS copy, round(sum(x * y), 5) AS similarity FROM m GROUP BY ALL")
 def catalog_replicas(spark, sf):
     v = _vectors(spark, sf)
@@ -115,9 +136,9 @@ def chain_or_single(spark, sf):
 def constraint_loss(spark, sf):
     """Relevant items among the ten best without and with the constraints."""
     f = Fixture(spark, sf)
-    rows = _constrained(f)
-    best = lambda r, name: recommend.top_k(r, 10, F.col("score").desc(), F.col("item_id")).select("user_id", "item_id", F.col("rank").alias(name))
-    at = f.rel.join(best(rows, "a"), ["user_id", "item_id"], "left").join(best(rows.where("broken = 0"), "b"), ["user_id", "item_id"], "left")
+    items = _broken(f)
+    best = lambda which, name: best_items(_tasted(f), which, 10).select("user_id", "item_id", F.col("rank").alias(name))
+    at = f.rel.join(best(items, "a"), ["user_id", "item_id"], "left").join(best(items.where("broken = 0"), "b"), ["user_id", "item_id"], "left")
     return at.agg(F.count("*").alias("relevant"), F.count("a").alias("all_found"), F.count("b").alias("allowed_found"))
 
 
@@ -153,12 +174,17 @@ def draft_clicks(spark, sf):
 FEATURES = ["score", "log_cnt"]
 
 
-def _ranked_halves(f: Fixture) -> tuple[DataFrame, DataFrame]:
-    """Candidates of both recommenders with features and grades: half of the users to learn from, the others to rank for."""
+def _candidates(f: Fixture) -> DataFrame:
+    """Candidates of both recommenders with features and grades, written once."""
     both = f.popular(20).select("user_id", "item_id").union(f.oracle(20).select("user_id", "item_id")).distinct()
-    users = f.users.join(f.judged, "user_id", "left_semi")
-    rows = both.join(recommend.persona_scores(users, f.personas, f.catalog), ["user_id", "item_id"]).join(split.popularity(f.train, f.catalog), "item_id").join(f.rel, ["user_id", "item_id"], "left")
-    rows = rows.select("user_id", "item_id", "score", F.ln(F.col("cnt") + 1.0).alias("log_cnt"), F.coalesce("grade", F.lit(0)).cast("double").alias("grade"))
+    tasted = both.join(recommend.persona_queries(f.users, f.personas), "user_id").join(recommend.item_vectors(f.catalog), "item_id")
+    rows = tasted.select("user_id", "item_id", F.round(dot("q", "x"), 6).alias("score")).join(split.popularity(f.train, f.catalog), "item_id").join(f.rel, ["user_id", "item_id"], "left")
+    return Durable(f.spark).keep(rows.select("user_id", "item_id", "score", F.ln(F.col("cnt") + 1.0).alias("log_cnt"), F.coalesce("grade", F.lit(0)).cast("double").alias("grade")))
+
+
+def _ranked_halves(f: Fixture) -> tuple[DataFrame, DataFrame]:
+    """Half of the users' candidates to learn from, the others to rank for."""
+    rows = _candidates(f)
     learns = hash_int("user_id", F.lit("rank")) % 2 == 0
     return rows.where(learns), rows.where(~learns)
 

@@ -54,8 +54,13 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in ("filter_budget_level", "filter_required_tag")})
 
 
+def read_users(spark: SparkSession, path: str) -> DataFrame:
+    return read_csv(spark, path, USERS_SCHEMA)
+
+
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
-    df.select(*columns).write.mode("overwrite").option("header", True).csv(path)
+    """With a header; quotes within a text are doubled, and a null is a blank, as read_csv has them."""
+    df.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def write_embeddings(vectors: DataFrame, path: str) -> None:
@@ -89,11 +94,10 @@ def fixture_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fixture_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that have a vector and that some event is about; the others are nothing a user could meet."""
-    met = table(spark, sf_dir, "events").select(F.from_json("props", "k int")["k"].cast("long").alias("p_partkey")).distinct()
+    """Parts that have a vector, whether or not an event is about them."""
     key = F.col("p_partkey")
     level = F.when(key % 10 < 3, "Budget").when(key % 10 < 9, "Mid-range").otherwise("Luxury")
-    parts = table(spark, sf_dir, "part").join(met, "p_partkey", "left_semi").select(key.cast("int").alias("item_id"), F.col("p_name").alias("city"), F.col("p_brand").alias("country"), F.col("p_type").alias("region"), level.alias("budget_level"))
+    parts = table(spark, sf_dir, "part").select(key.cast("int").alias("item_id"), F.col("p_name").alias("city"), F.col("p_brand").alias("country"), F.col("p_type").alias("region"), level.alias("budget_level"))
     rate = lambda x: F.least(F.lit(5), F.greatest(F.lit(1), F.floor(x.cast("double") * 8).cast("int") + 3))
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("item_id"), F.transform(F.slice("embedding", 1, 9), rate).alias("tags"), F.col("embedding"), "label")
     return parts.join(vectors, "item_id")
