@@ -1,21 +1,22 @@
 """Toxicity by compression distance with two zstandard dictionaries.
 
-Both dictionaries are trained by zstandard on windows of whole words: the ordinary one on windows of ordinary texts, the toxic
-one on windows of toxic texts. Most windows of a toxic text are ordinary, so the toxic training goes in rounds: it starts on
-the windows that the ordinary dictionary explains worst, and goes on with those that the toxic dictionary of the round before
-shortens more than nearly all ordinary windows. Of the trained content only the pieces stay that are TIMES as frequent in toxic
-windows as in ordinary ones. Ordinary content stands first in both dictionaries, so that it costs the same in both; behind it
-stands the toxic content, or as many zero bytes. A window's gain is how much shorter the toxic dictionary makes it. The three
-largest gains of a text, the number of its windows with a gain of LEAST_GAIN or more and the number of its windows are
-calibrated by a logistic curve on other texts than the dictionaries saw.
+Both dictionaries are trained by zstandard: the ordinary one on windows of ordinary texts, the toxic one on windows of toxic texts.
+Most of a toxic text is ordinary, too, and a dictionary trained on its whole windows holds ordinary words above all. So a window
+goes into the toxic training without the words that ordinary windows explain: only those stay that hold a telling piece, PIECE
+bytes of a word that are TIMES as frequent in toxic windows as in ordinary ones and stand in LEAST_SHARE of the toxic windows.
+What zstandard makes of these samples is used whole. The ordinary dictionary stands first in both contents, so that ordinary
+words cost the same in both; behind it stands the toxic dictionary, or as many zero bytes. A window's gain is how much shorter
+the toxic dictionary makes it. The three largest gains of a text, the numbers of its windows with gains above each of LEVELS and
+the number of its windows are calibrated by a logistic curve on other texts than the dictionaries saw.
 
 The model is fitted on a bounded sample: `sample` labelled rows of each class, by hash of the id, half of them for the
 dictionaries and half for the calibration, and of the former `sample_windows` windows of toxic texts and twice as many of
-ordinary ones, by hash. Everything fitted is some 20 kilobytes and goes to the tasks with the function.
+ordinary ones, by hash. Everything fitted is some 66 kilobytes and goes to the tasks with the function.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,12 +31,11 @@ from tributary.llm.common import in_parts, pick, tidy, written
 WINDOW = 64
 SAMPLE = 4000
 SAMPLE_WINDOWS = 40_000
-BASE_BYTES, TOXIC_BYTES = 16_384, 16_384
-#: Of the toxic windows, the share that the first round trains on, and how many at least.
-WORST, LEAST_WINDOWS = 0.3, 8000
-ROUNDS = 3
-TIMES, LEAST_TIMES = 30, 3
-LEAST_GAIN = 3
+BASE_BYTES, TOXIC_BYTES = 65_536, 2048
+PIECE, TIMES, LEAST_SHARE, LEAST_COUNT = 6, 30, 0.001, 3
+#: Gains that windows are counted by.
+LEVELS = (2, 3, 4, 5)
+N_FEATURES = 5 + len(LEVELS)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -58,50 +58,45 @@ def windows(words: list[bytes], size: int = WINDOW) -> list[bytes]:
 
 def sizer(content: bytes):
     """A function from a window to its compressed length with this dictionary content."""
-    params = zstandard.ZstdCompressionParameters(window_log=17, hash_log=15, chain_log=15, search_log=4, min_match=4, target_length=0, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
+    params = zstandard.ZstdCompressionParameters(window_log=17, hash_log=15, chain_log=15, search_log=4, min_match=6, target_length=0, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
     d = zstandard.ZstdCompressionDict(content or b" " * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     d.precompute_compress(compression_params=params)
     compress = zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress
     return lambda w: len(compress(w))
 
 
-def trained(samples: list[bytes], size: int, k: int) -> bytes:
-    """The content of a dictionary that zstandard trains on the samples; the samples themselves where they are too few."""
-    size = max(1024, min(size, sum(map(len, samples)) // 2))
+def trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
+    """A dictionary of at most `size` bytes that zstandard trains on the samples; the samples themselves where they are too few.
+
+    Its leading bytes, a magic number and entropy tables, count as content like the rest: they match nothing.
+    """
     try:
-        whole = zstandard.train_dictionary(size, samples, k=k, d=8).as_bytes()
+        return zstandard.train_dictionary(max(512, min(size, sum(map(len, samples)) // 3)), samples, k=k, d=d).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
-    # the entropy tables in front of the content are no text: 8 bytes and the tables, some 400 bytes at most
-    return whole[400:] if len(whole) > 800 else whole[len(whole) // 2 :]
-
-
-def toxic_content(base: bytes, toxic: list[bytes], ordinary: list[bytes]) -> bytes:
-    """What the toxic dictionary holds behind the ordinary content; ordinary: windows that base wasn't trained on."""
-    if not toxic or not ordinary:
-        return b""
-    plain = sizer(base)
-    badness = np.array([plain(w) / len(w) for w in toxic])
-    most = max(int(WORST * len(toxic)), min(len(toxic), LEAST_WINDOWS))
-    chosen = [toxic[i] for i in np.argsort(-badness, kind="stable")[:most]]
-    all_toxic, all_ordinary = b"\n".join(toxic), b"\n".join(ordinary)
-    content = b""
-    for _ in range(ROUNDS):
-        pieces = [p for p in dict.fromkeys(trained(chosen, TOXIC_BYTES, 12).split()) if len(p) >= 4]
-        telling = []
-        for p in pieces:
-            n = all_toxic.count(p)
-            if n >= LEAST_TIMES and n * len(ordinary) > TIMES * (all_ordinary.count(p) + 0.5) * len(toxic):
-                telling.append(p)
-        if not telling:
-            break
-        content = b" " + b" ".join(telling) + b" "
-        gain = gains(base, content)
-        usual = np.quantile([gain(w) for w in ordinary], 0.999)
-        chosen = [w for w in toxic if gain(w) > usual]
-        if len(chosen) < 8:
-            break
-    return content
+
+
+def pieces(word: bytes) -> set[bytes]:
+    """Runs of PIECE bytes of a word with a space at both ends; the whole of a shorter one."""
+    w = b" " + word + b" "
+    return {w[i : i + PIECE] for i in range(max(1, len(w) - PIECE + 1))}
+
+
+def telling_samples(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """Toxic windows without the words that have no telling piece; windows that keep no word are left out."""
+    words: dict[bytes, set[bytes]] = {}
+
+    def counted(windows_of: list[bytes]) -> Counter:
+        out: Counter = Counter()
+        for w in windows_of:
+            out.update(set().union(*(words.setdefault(x, pieces(x)) for x in w.split())))
+        return out
+
+    often, usual = counted(toxic), counted(ordinary)
+    least = max(LEAST_COUNT, LEAST_SHARE * len(toxic))
+    telling = {p for p, n in often.items() if n >= least and n * len(ordinary) > TIMES * (usual[p] + 0.5) * len(toxic)}
+    kept = ([x for x in w.split() if not telling.isdisjoint(words[x])] for w in toxic)
+    return [b" " + b" ".join(k) + b" " for k in kept if k]
 
 
 def gains(base: bytes, content: bytes):
@@ -116,12 +111,12 @@ class Model:
 
     base: bytes = b""
     toxic: bytes = b""
-    weights: list[float] = field(default_factory=lambda: [0.0] * 6)
+    weights: list[float] = field(default_factory=lambda: [0.0] * N_FEATURES)
 
     def features(self, gain, text: str | None) -> list[float]:
         found = sorted(map(gain, windows(words_of(text))), reverse=True) if self.toxic else []
         top = [*(max(g, 0) for g in found[:3]), 0, 0, 0][:3]
-        return [1.0, *map(float, top), float(np.log1p(sum(g >= LEAST_GAIN for g in found))), float(np.log1p(len(found)))]
+        return [1.0, *map(float, top), *(float(np.log1p(sum(g >= t for g in found))) for t in LEVELS), float(np.log1p(len(found)))]
 
 
 def _mapped(rows: DataFrame, run, schema: str) -> DataFrame:
@@ -179,9 +174,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_windows
         return [bytes(r.w) for r in rows_of.orderBy(F.xxhash64("w"), "w").limit(n).collect()]
 
     ordinary = drawn(0, 2 * sample_windows)
-    half = len(ordinary) // 2
-    model.base = trained(ordinary[:half] or ordinary, BASE_BYTES, 64)
-    model.toxic = toxic_content(model.base, drawn(1, sample_windows), ordinary[half:])
+    model.base = trained(ordinary[: len(ordinary) // 2] or ordinary, BASE_BYTES, 64, 8)
+    telling = telling_samples(drawn(1, sample_windows), ordinary)
+    model.toxic = trained(telling, TOXIC_BYTES, 16, 6) if telling else b""
 
     def measured(part: pa.RecordBatch) -> pa.RecordBatch:
         gain = gains(model.base, model.toxic)
@@ -189,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_windows
         return pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), part.column(1)], names=["x", "y"])
 
     got = _mapped(rows.where("part = 1").select("text", "y"), measured, "x array<double>, y int").collect()
-    x, y = np.array([r.x for r in got]).reshape(len(got), 6), np.array([r.y for r in got], dtype=float)
+    x, y = np.array([r.x for r in got]).reshape(len(got), N_FEATURES), np.array([r.y for r in got], dtype=float)
     if model.toxic and 0 < y.sum() < len(y):
         w = logistic(x, y)
         w[0] += model.weights[0] - np.log(y.sum() / (len(y) - y.sum()))  # from the sample's share of toxic rows to that of all labels
