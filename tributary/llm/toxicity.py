@@ -7,11 +7,11 @@ bytes of a word that are TIMES as frequent in toxic windows as in ordinary ones
 What zstandard makes of these samples is used whole. The ordinary dictionary stands first in both contents, so that ordinary
 words cost the same in both; behind it stands the toxic dictionary, or as many zero bytes. A window's gain is how much shorter
 the toxic dictionary makes it. The three largest gains of a text, the numbers of its windows with gains above each of LEVELS and
-the number of its windows are calibrated by a logistic curve on other texts than the dictionaries saw.
+the number of its windows are calibrated by a logistic curve.
 
-The model is fitted on a bounded sample: `sample` labelled rows of each class, by hash of the id, half of them for the
-dictionaries and half for the calibration, and of the former `sample_windows` windows of toxic texts and twice as many of
-ordinary ones, by hash. Everything fitted is some 66 kilobytes and goes to the tasks with the function.
+The model is fitted on a bounded sample: `sample` labelled rows of each class, by hash of the id, and of these `sample_windows`
+windows of toxic texts and twice as many of ordinary ones, by hash. For the calibration the texts of each half of the sample are
+measured with dictionaries of the other half; the model's own dictionaries are then trained on both. Everything fitted is some 66 kilobytes and goes to the tasks with the function.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from tributary.llm.common import in_parts, pick, tidy, written
 WINDOW = 64
 SAMPLE = 4000
 SAMPLE_WINDOWS = 40_000
-BASE_BYTES, TOXIC_BYTES = 65_536, 2048
+BASE_BYTES, TOXIC_BYTES = 65_536, 1024
 PIECE, TIMES, LEAST_SHARE, LEAST_COUNT = 6, 30, 0.001, 3
 #: Gains that windows are counted by.
 LEVELS = (2, 3, 4, 5)
@@ -162,29 +162,33 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_windows
     n_toxic, n_plain = counts.get(1, 0), counts.get(0, 0)
     model.weights[0] = float(np.log((n_toxic + 0.5) / (n_plain + 0.5)))
     sizes = {(r.part, r.y): r.n for r in rows.groupBy("part", "y").agg(F.count("*").alias("n")).collect()}
-    t, o = sizes.get((0, 1), 0), sizes.get((0, 0), 0)
-    if not t or not o:
+    if not all(sizes.get((part, y)) for part in (0, 1) for y in (0, 1)):
         return model
 
     def cut(part: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([w for x in part.column(0).to_pylist() for w in windows(words_of(x))], pa.binary())], names=["w"])
 
-    def drawn(y: int, n: int) -> list[bytes]:
-        rows_of = _mapped(rows.where(f"part = 0 AND y = {y}").select("text"), cut, "w binary")
-        return [bytes(r.w) for r in rows_of.orderBy(F.xxhash64("w"), "w").limit(n).collect()]
+    def dictionaries(some: DataFrame) -> tuple[bytes, bytes]:
+        def drawn(y: int, n: int) -> list[bytes]:
+            rows_of = _mapped(some.where(f"y = {y}").select("text"), cut, "w binary")
+            return [bytes(r.w) for r in rows_of.orderBy(F.xxhash64("w"), "w").limit(n).collect()]
 
-    ordinary = drawn(0, 2 * sample_windows)
-    model.base = trained(ordinary[: len(ordinary) // 2] or ordinary, BASE_BYTES, 64, 8)
-    telling = telling_samples(drawn(1, sample_windows), ordinary)
-    model.toxic = trained(telling, TOXIC_BYTES, 16, 6) if telling else b""
+        ordinary = drawn(0, 2 * sample_windows)
+        telling = telling_samples(drawn(1, sample_windows), ordinary)
+        return trained(ordinary[: len(ordinary) // 2] or ordinary, BASE_BYTES, 64, 8), trained(telling, TOXIC_BYTES, 16, 6) if telling else b""
 
-    def measured(part: pa.RecordBatch) -> pa.RecordBatch:
-        gain = gains(model.base, model.toxic)
-        x = [model.features(gain, text) for text in part.column(0).to_pylist()]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), part.column(1)], names=["x", "y"])
+    def measured(base: bytes, toxic: bytes, some: DataFrame) -> list:
+        def go(part: pa.RecordBatch) -> pa.RecordBatch:
+            gain, one = gains(base, toxic), Model(base, toxic)
+            x = [one.features(gain, text) for text in part.column(0).to_pylist()]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), part.column(1)], names=["x", "y"])
 
-    got = _mapped(rows.where("part = 1").select("text", "y"), measured, "x array<double>, y int").collect()
+        return _mapped(some.select("text", "y"), go, "x array<double>, y int").collect()
+
+    # each half's texts are measured with the dictionaries of the other one
+    got = [r for part in (0, 1) for r in measured(*dictionaries(rows.where(f"part = {part}")), rows.where(f"part = {1 - part}"))]
     x, y = np.array([r.x for r in got]).reshape(len(got), N_FEATURES), np.array([r.y for r in got], dtype=float)
+    model.base, model.toxic = dictionaries(rows)
     if model.toxic and 0 < y.sum() < len(y):
         w = logistic(x, y)
         w[0] += model.weights[0] - np.log(y.sum() / (len(y) - y.sum()))  # from the sample's share of toxic rows to that of all labels
