@@ -44,6 +44,12 @@ def blocked(rows: DataFrame, id_col: str, vector: str, extra: list[str], size: i
     return slim.mapInArrow(go, f"{name} long, ids array<{kind}>, x array<double>" + "".join(f", {c} array<double>" for c in extra))
 
 
+def rounded(x: np.ndarray) -> np.ndarray:
+    """To DECIMALS, halves away from zero as in SQL; no negative zero."""
+    unit = 10.0**DECIMALS
+    return np.copysign(np.floor(np.abs(x) * unit + 0.5) / unit, x) + 0.0
+
+
 def best_of_cell(users: np.ndarray, floor: np.ndarray, items: np.ndarray, bias: np.ndarray, ids: np.ndarray, seen: list[tuple[int, int]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(user place, item place, score) of each user's k best of the block, ties to the smaller id; skips by bound.
 
@@ -55,7 +61,7 @@ def best_of_cell(users: np.ndarray, floor: np.ndarray, items: np.ndarray, bias:
     live = np.flatnonzero(~(np.minimum(by_box, by_length) + bias.max() + spare < floor))  # no floor yet: nan
     if not len(live):
         return live, live, np.empty(0)
-    scores = np.round(np.round(users[live] @ items.T, DECIMALS) + bias, DECIMALS) + 0.0
+    scores = rounded(rounded(users[live] @ items.T) + bias)
     if seen:
         place = np.full(len(users), -1)
         place[live] = np.arange(len(live))

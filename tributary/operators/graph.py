@@ -124,7 +124,7 @@ def search(index: Index, queries: DataFrame, k: int, beam: int = 64, wide: int =
     (query, row) pairs beside all there are.
     """
     held = Durable(queries.sparkSession)
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), normalized("q").alias("q")).where(~F.exists("q", lambda c: c.isNull() | F.isnan(c)))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), normalized("q").alias("q")).where((F.size("q") > 0) & ~F.exists("q", lambda c: c.isNull() | F.isnan(c)))
     asked = held.keep(asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(index.shards - 1)))))
     tops = index.graph.groupBy("shard").agg(F.max("layer").alias("top"))
     entry = index.graph.join(tops, "shard").where("layer = top").select("shard", "node")

@@ -236,14 +236,14 @@ def candidate_merge(spark, sf):
     return f.popular().select(*cols).unionByName(f.oracle().select(*cols)).groupBy("user_id", "item_id").agg(F.min("rank").alias("best"), F.count("*").alias("sources"))
 
 
-@query(f"WITH {_FULL}, n AS (SELECT user_id, count(*) AS n FROM sp WHERE NOT is_test AND event_type IN ('click', 'save') GROUP BY 1), t AS (SELECT max(cnt) AS top FROM pop) SELECT o.user_id, o.item_id, round(coalesce(n, 0) / (coalesce(n, 0) + 10.0) * score + 10.0 / (coalesce(n, 0) + 10.0) * cnt / top, 6) AS score FROM r_orac o JOIN pop USING (item_id) LEFT JOIN n USING (user_id) CROSS JOIN t")
+@query(f"WITH {_FULL}, n AS (SELECT user_id, count(*) AS n FROM sp WHERE NOT is_test AND event_type IN ('click', 'save') GROUP BY 1), t AS (SELECT max(cnt) AS top FROM pop) SELECT o.user_id, o.item_id, round(coalesce(n, 0) / (coalesce(n, 0) + 10.0) * score + 10.0 / (coalesce(n, 0) + 10.0) * cnt / top, 9) AS score FROM r_orac o JOIN pop USING (item_id) LEFT JOIN n USING (user_id) CROSS JOIN t")
 def blend_scores(spark, sf):
     f = Fixture(spark, sf)
     n = f.train.where(F.col("event_type").isin("click", "save")).groupBy("user_id").agg(F.count("*").alias("n"))
     pop = split.popularity(f.train, f.catalog)
     pop = pop.crossJoin(F.broadcast(pop.agg(F.max("cnt").alias("top"))))
     seen = F.coalesce("n", F.lit(0))
-    return f.oracle().join(pop, "item_id").join(n, "user_id", "left").select("user_id", "item_id", F.round(seen / (seen + 10.0) * F.col("score") + F.lit(10.0) / (seen + 10.0) * F.col("cnt") / F.col("top"), 6).alias("score"))
+    return f.oracle().join(pop, "item_id").join(n, "user_id", "left").select("user_id", "item_id", F.round(seen / (seen + 10.0) * F.col("score") + F.lit(10.0) / (seen + 10.0) * F.col("cnt") / F.col("top"), 9).alias("score"))
 
 
 @query(f"WITH {_CAT} SELECT item_id, round(list_dot_product(list_transform(tags, lambda x: (x - 3.0)::DOUBLE / 2.0), [1.0, -0.5, 0.5, 0.0, -1.0, 1.0, 0.0, 0.5, 0.0]::DOUBLE[]), 6) AS score FROM cat")

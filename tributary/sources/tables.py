@@ -59,8 +59,9 @@ def read_users(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
-    """With a header; quotes within a text are doubled, and a null is a blank, as read_csv has them."""
-    df.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    """With a header; quotes within a text are doubled, a null is a blank, and times keep their microseconds."""
+    times = {name: "yyyy-MM-dd'T'HH:mm:ss.SSSSSS" for name in ("timestampFormat", "timestampNTZFormat")}
+    df.select(*columns).write.mode("overwrite").options(header=True, escape='"', emptyValue="", **times).csv(path)
 
 
 def write_embeddings(vectors: DataFrame, path: str) -> None:
