@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
 
     Documents are linked when 100 * |both| >= percent * |either| of their shingle sets; component_id is the smallest
     doc_id reachable. A null text or one without words has no shingles and is linked with nothing. Rows of equal id are
-    one document's and share its class. A row without id is linked with nothing: component_id null, kept true. Other
+    judged each by its own text: equal texts share a class, different ones can be of several, kept in one and not in another. A row without id is linked with nothing: component_id null, kept true. Other
     columns aren't read, an empty table gives an empty one, and a very long text is hashed whole, by one task.
     Sets are compared by 64-bit hashes of their shingles: two sets of n shingles each seem to share one more than they do
     with a probability below n * n / 2**64.

@@ -211,13 +211,14 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 def pack(items: DataFrame, capacity: int, id_col: str = "doc_id") -> DataFrame:
     """The rows of items with sequence_id long and offset long; no sequence exceeds capacity, offsets are gapless.
 
-    items holds id, piece and length (1 to capacity), and any other columns, which pass through. Equal rows are placed
+    items holds id, piece and length (1 to capacity), and any other columns, which pass through whatever their names. Equal rows are placed
     apart. Ranks within a length come from salted windows, so a length that most rows share stays spread out. The
     histogram of lengths (at most `capacity` rows per salt) is all that reaches the driver. An empty table stays empty.
     """
-    others = [c for c in items.columns if c not in ("_salt", "_rank")]
-    salted = written(items.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in others]), F.lit(SALTS)).cast("int")))
-    histogram = salted.groupBy("length", "_salt").agg(F.count("*").alias("n")).collect()
+    others = list(items.columns)
+    salt, nth = (next(n for n in (name + "_" * i for i in range(len(others) + 1)) if n not in others) for name in ("_salt", "_rank"))
+    salted = written(items.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in others]), F.lit(SALTS)).cast("int")))
+    histogram = salted.groupBy("length", F.col(salt).alias("_salt")).agg(F.count("*").alias("n")).collect()
     counts: dict[int, int] = {}
     base: dict[int, list[int]] = {}
     for r in sorted(histogram, key=lambda r: (r.length, r._salt)):
@@ -233,7 +234,7 @@ def pack(items: DataFrame, capacity: int, id_col: str = "doc_id") -> DataFrame:
         at = placements.value
         for batch in batches:
             sequences, offsets = [], []
-            for length, salt, number in zip(*(batch.column(c).to_pylist() for c in ("length", "_salt", "_rank"))):
+            for length, salt, number in zip(*(batch.column(c).to_pylist() for c in ("length", salt, nth))):
                 bases, firsts, starts, places = at[length]
                 rank = bases[salt] + number - 1
                 k = bisect.bisect_right(firsts, rank) - 1
@@ -242,7 +243,7 @@ def pack(items: DataFrame, capacity: int, id_col: str = "doc_id") -> DataFrame:
             kept = [batch.column(c) for c in others]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequences, pa.int64()), pa.array(offsets, pa.int64())], names=[*others, "sequence_id", "offset"])
 
-    order = Window.partitionBy("length", "_salt").orderBy(F.col(f"`{id_col}`"), "piece")
-    ranked = salted.withColumn("_rank", F.row_number().over(order).cast("long"))
+    order = Window.partitionBy("length", salt).orderBy(F.col(f"`{id_col}`"), "piece")
+    ranked = salted.withColumn(nth, F.row_number().over(order).cast("long"))
     schema = ", ".join(f"`{c}` {items.schema[c].dataType.simpleString()}" for c in others)
     return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")

@@ -153,7 +153,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """Rows (id, score double), one for each row of docs, learned from the given labels (1 good, 0 not, null left out).
 
     Null ids are scored but not learned from; of several labels of one id the greatest counts, and each row of that id is
-    learned from. Empty and null texts are scored as empty. Other columns are not read.
+    learned from. Empty and null texts are scored as empty, and an empty table gives an empty one. Whole texts are
+    measured, however long, a few rows at a time. Other columns are not read.
     """
     rows = written(measured(docs, id_col, text_col))
     known = pick(labels, id_col, label_col).toDF("id", "y").where("id IS NOT NULL AND y IN (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
