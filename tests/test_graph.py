@@ -65,3 +65,20 @@ def test_graph_of_copies_nulls_and_nothing(spark):
     assert set(got) == {3, 105} and all(s == 1.0 for _, s in got[3]) and len(got[3]) == len(got[105]) == 5
     empty = graph.build(v.where("false"))
     assert graph.search(empty, asked, 5).count() == 0
+
+
+def test_cells_find_neighbours(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 12))
+    x = centres[rng.integers(0, 20, 1000)] + 0.3 * rng.normal(size=(1000, 12))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2001, [0.0] * 12)], ROWS)
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    found = ann.ivf_search(rows, asked, 10, share=0.3)
+    u = unit(x)
+    sims = u[::50] @ u.T
+    sims[np.arange(20), np.arange(0, 1000, 50)] = -2
+    exact = spark.createDataFrame([(int(50 * q), int(i)) for q in range(20) for i in np.argsort(-sims[q], kind="stable")[:10]], "query_id long, vec_id long")
+    assert ann.recall(found, exact).first().recall >= 0.9
+    whole = ann.ivf_search(rows, asked, 10, share=1.0)  # all cells: exact
+    assert ann.recall(whole, exact).first().recall == 1.0
+    assert ann.ivf_search(rows.where("false"), asked, 10).count() == 0

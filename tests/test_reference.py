@@ -1,18 +1,21 @@
 """Hand-made goldens of the split and the metrics, invariants, and equality with SQL on the smallest tables."""
 
+from functools import reduce
+
 import duckdb
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
 from tributary.operators import generate, metrics, rerank, split
-from tributary.plans import checks, designs, queries, search
+from tributary.plans import checks, designs, files, learned, queries, search, service
 from tributary.plans.queries import Fixture
 from tributary.sources import tables
 from tributary.streaming import events
 
-QUERIES = queries.QUERIES | designs.QUERIES | checks.QUERIES | search.QUERIES
-ORACLES = queries.ORACLES | designs.ORACLES | checks.ORACLES | search.ORACLES
+MODULES = (queries, designs, checks, search, learned, service, files)
+QUERIES = reduce(dict.__or__, (m.QUERIES for m in MODULES))
+ORACLES = reduce(dict.__or__, (m.ORACLES for m in MODULES))
 
 
 def plain(v):
@@ -24,12 +27,12 @@ def plain(v):
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in "part customer events embeddings documents conversations".split():
+    for t in "part customer events embeddings documents conversations benchmark".split():
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return c
 
 
-@pytest.mark.parametrize("name", ["rec_popularity", "eval_report", "filter_fallback", "funnel_end_to_end", "interleave", "profile_eval", "history_prompt", "find_city", "persona_recovery", "tag_set_f1", "ann_recall", "area_density", "when_to_go", "draft_clicks", "explore_swap"])
+@pytest.mark.parametrize("name", ["bpr_gradient", "listwise_gradient", "embedding_refresh", "places_by_city", "rec_asked", "text_mentions", "decayed_profiles", "catalog_file", "interactions_file", "requests_allowed", "metrics_by_kind", "half_life_sweep", "source_merge", "filter_session_mask", "hard_filter", "rec_random", "rec_popularity", "eval_report", "filter_fallback", "funnel_end_to_end", "interleave", "profile_eval", "history_prompt", "find_city", "persona_recovery", "tag_set_f1", "ann_recall", "area_density", "when_to_go", "draft_clicks", "explore_swap"])
 def test_equals_sql(spark, duck, name):
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
@@ -94,3 +97,12 @@ def test_files_round_trip(spark, tmp_path):
     assert [tuple(r) for r in tables.read_cache(spark, str(tmp_path / "c")).collect()] == [("k", [1, 2])]
     (tmp_path / "i.csv").write_text("interaction_id,user_id,item_id,event_type,session_id,timestamp,dwell_seconds\n1,u,i,click,s,2024-01-01T00:00:00,3.5\n2,u,i,save,s,2024-01-01T00:00:01,\n")
     assert [r.dwell_seconds for r in tables.read_interactions(spark, str(tmp_path / "i.csv")).orderBy("interaction_id").collect()] == [3.5, None]
+
+
+def test_report_reads_events_in_few_scans_and_crosses_nothing(spark):
+    plan = QUERIES["eval_report"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "events.parquet" not in plan  # all from what was split once
+    assert Fixture(spark, SF).split._jdf.queryExecution().executedPlan().toString().count("events.parquet") == 1
+    for name in ("rec_oracle", "rec_popularity", "rec_random", "funnel_end_to_end", "profile_eval", "hard_filter", "soft_penalty"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name

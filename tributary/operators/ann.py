@@ -1,4 +1,4 @@
-"""Approximate search by signs of random projections, recall against the exact answer, copies of a catalog to search in."""
+"""Approximate search by signs of random projections and by cells, recall against the exact answer, copies of a catalog to search in."""
 
 from __future__ import annotations
 
@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions.hashing import uniform
-from tributary.functions.vectors import dot
+from tributary.functions.vectors import dot, normalized
+from tributary.operators.blocks import best_items
 from tributary.operators.recommend import top_k
+from tributary.sources.durable import Durable
 
 #: Neighbours of this cosine are to share a bucket of some table with this probability.
 NEAR, SURE = 0.35, 0.95
@@ -67,6 +69,34 @@ def lsh_search(vectors: DataFrame, queries: DataFrame, k: int, bits: int, dims:
     return top_k(scored, k, F.col("score").desc(), F.col("vec_id"), by="query_id").select("query_id", "rank", "vec_id", "score")
 
 
+def ivf_search(vectors: DataFrame, queries: DataFrame, k: int, cells: int | None = None, share: float = 0.7, seed: int = 1) -> DataFrame:
+    """Rows (query_id, rank, vec_id, score): the k of greatest cosine in the cells nearest to the query, itself left out.
+
+    vectors: vec_id and v; queries: query_id and q. By default there are as many cells as the root of the number of rows, by
+    k-means on unit vectors; a query visits `share` of them, those whose centre is nearest. Vectors without near neighbours
+    need a large share; where neighbours are near, a small one will do. Null and zero vectors are in no cell.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    held = Durable(vectors.sparkSession)
+    unit = lambda rows, name: rows.withColumn(name, normalized(name)).where((F.size(name) > 0) & ~F.exists(name, lambda c: c.isNull() | F.isnan(c)))
+    known = held.keep(unit(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "v"), "v"))
+    asked = unit(queries.select(F.col("query_id").cast("long").alias("query_id"), "q"), "q")
+    n = known.count()
+    n_cells = cells or max(1, math.ceil(math.sqrt(n)))
+    if not n:
+        return known.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
+    ready = known.withColumn("features", array_to_vector("v"))
+    model = KMeans(k=n_cells, seed=seed, maxIter=10).fit(ready)
+    centres = vectors.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "item_id int, x array<double>")
+    dealt = held.keep(model.transform(ready).select(F.col("prediction").alias("cell"), "vec_id", "v"))
+    visits = best_items(asked.select(F.col("query_id").alias("user_id"), "q"), centres, math.ceil(share * n_cells))
+    visits = visits.select(F.col("user_id").alias("query_id"), F.col("item_id").alias("cell")).join(asked, "query_id")
+    scored = visits.join(dealt, "cell").where("vec_id <> query_id").select("query_id", "vec_id", F.round(dot("v", "q"), 6).alias("score"))
+    return top_k(scored, k, F.col("score").desc(), F.col("vec_id"), by="query_id").select("query_id", "rank", "vec_id", "score")
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """One row (queries, wanted, recall): the share of the exact (query_id, vec_id) pairs that were found."""
     hits = exact.select("query_id", "vec_id").join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")

@@ -37,3 +37,17 @@ def extent(areas: DataFrame) -> DataFrame:
     """Rows (area, extent): the surface of each ring."""
     cross = lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]
     return areas.select("area", (F.abs(F.aggregate(_edges("ring"), F.lit(0.0), lambda s, e: s + cross(e))) / 2.0).alias("extent"))
+
+
+def near(centres: DataFrame, points: DataFrame, radius: float) -> DataFrame:
+    """Rows (a, b, distance): points b (item_id, x, y) within `radius` of centres a, by a join on cells as wide as that.
+
+    A centre looks into its own cell and the eight around it, so distant pairs never meet. Points without a place are near
+    nothing; equal places are at distance 0.
+    """
+    cell = lambda c, d=0: (F.floor(F.col(c) / radius) + d).cast("long")
+    around = F.array(*[F.struct(cell("x", i).alias("cx"), cell("y", j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    asked = centres.where("x IS NOT NULL AND y IS NOT NULL").select(F.col("item_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.explode(around).alias("c")).select("a", "ax", "ay", "c.cx", "c.cy")
+    held = points.where("x IS NOT NULL AND y IS NOT NULL").select(F.col("item_id").alias("b"), "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
+    apart = F.sqrt((F.col("ax") - F.col("x")) * (F.col("ax") - F.col("x")) + (F.col("ay") - F.col("y")) * (F.col("ay") - F.col("y")))
+    return asked.join(held, ["cx", "cy"]).where(apart <= radius).select("a", "b", F.round(apart, 9).alias("distance"))

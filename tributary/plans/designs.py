@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tributary.functions.hashing import hash_int, hash_key, uniform
 from tributary.functions.vectors import centered, cosine, dot
-from tributary.operators import generate, metrics, recommend, rerank, split
+from tributary.operators import generate, metrics, ranking, recommend, rerank, split
 from tributary.operators.blocks import best_items
 from tributary.plans.funnel import Funnel
 from tributary.plans.queries import _CAT, _FULL, _INTER, _MEANS, _POP, _SPLIT, _USERS, Fixture, _metrics_sql
@@ -144,13 +144,19 @@ def catalog_priors(spark, sf):
     return Fixture(spark, sf).catalog.select("item_id", n("country").alias("density"), F.round(1.0 / n("region"), 6).alias("rarity"))
 
 
-@query(f"WITH {_POP}, c AS (SELECT r.user_id, r.item_id, c.item_id AS negative, row_number() OVER (PARTITION BY r.user_id, r.item_id ORDER BY md5(concat_ws(':', r.user_id, r.item_id, c.item_id, 3)), c.item_id) AS rn FROM rel r CROSS JOIN cat c ANTI JOIN (SELECT user_id, item_id FROM rel UNION SELECT * FROM seen) s ON s.user_id = r.user_id AND s.item_id = c.item_id) SELECT user_id, item_id, negative FROM c WHERE rn <= 4")
+@query(f"""WITH {_POP}, kn AS (SELECT user_id, item_id FROM rel UNION SELECT * FROM seen), rg AS (SELECT item_id AS negative, row_number() OVER (ORDER BY md5(concat_ws(':', item_id, 3)), item_id) - 1 AS place, count(*) OVER () AS n FROM cat),
+st AS (SELECT user_id, item_id, ('0x' || substr(md5(concat_ws(':', user_id, item_id, 3)), 1, 8))::BIGINT AS start FROM rel),
+c AS (SELECT st.user_id, st.item_id, negative, row_number() OVER (PARTITION BY st.user_id, st.item_id ORDER BY (place - start % n + n) % n) AS rn FROM st CROSS JOIN rg ANTI JOIN kn ON kn.user_id = st.user_id AND kn.item_id = negative) SELECT user_id, item_id, negative FROM c WHERE rn <= 4""")
 def negative_samples(spark, sf):
-    f = Fixture(spark, sf)
-    known = f.rel.select("user_id", "item_id").union(f.seen).distinct().select("user_id", F.col("item_id").alias("negative"))
-    rows = f.rel.select("user_id", "item_id").crossJoin(f.catalog.select(F.col("item_id").alias("negative"))).join(known, ["user_id", "negative"], "left_anti")
-    w = Window.partitionBy("user_id", "item_id").orderBy(hash_key("user_id", "item_id", "negative", F.lit(3)), "negative")
-    return rows.withColumn("rn", F.row_number().over(w)).where("rn <= 4").select("user_id", "item_id", "negative")
+    """For each like, the first four items that the user neither likes nor saw on a shuffled ring, from a place by hash."""
+    f = Fixture(spark, sf).once()
+    known = f.rel.select("user_id", "item_id").union(f.seen).distinct()
+    ring = recommend.placed(f.catalog.select("item_id"), hash_key("item_id", F.lit(3)), F.col("item_id"))
+    # a like walks as a user of its own who knows what its user knows
+    likes = f.rel.select(F.struct("user_id", "item_id").alias("user_id"))
+    of_like = f.rel.select("user_id", F.col("item_id").alias("liked")).join(known, "user_id").select(F.struct("user_id", F.col("liked").alias("item_id")).alias("user_id"), "item_id")
+    found = recommend.along(likes, ring, of_like, 4, hash_int("user_id.user_id", "user_id.item_id", F.lit(3)))
+    return found.select("user_id.user_id", "user_id.item_id", F.col("item_id").alias("negative"))
 
 
 @query(f"WITH {_POP} SELECT user_id, item_id, concat_ws(' [SEP] ', 'user ' || user_id, city) AS pair FROM r_pop JOIN cat USING (item_id)")
@@ -222,7 +228,7 @@ def profile_decay(spark, sf):
 
 @query(_PROF + ", pv AS (SELECT user_id, list(mean ORDER BY dim) AS p FROM pr GROUP BY 1), sc AS (SELECT pv.user_id, c.item_id, round(list_dot_product(p, c.v), 6) AS score FROM pv SEMI JOIN ru USING (user_id) CROSS JOIN cat c), recs AS (SELECT 'profile' AS model, user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM sc ANTI JOIN seen USING (user_id, item_id) QUALIFY rank <= 20), " + _metrics_sql("recs") + _MEANS)
 def profile_eval(spark, sf):
-    f = Fixture(spark, sf)
+    f = Fixture(spark, sf).once()
     p = _profile(f).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("dim", "mean"))).alias("z")).select("user_id", F.col("z.mean").alias("p"))
     queries = p.join(f.judged, "user_id", "left_semi").select("user_id", F.col("p").alias("q"))
     recs = best_items(queries, f.catalog.select("item_id", F.col("embedding").alias("x")), 20, f.seen)
@@ -231,7 +237,7 @@ def profile_eval(spark, sf):
 
 @query(f"WITH {_FULL}, m AS (SELECT user_id, item_id, min(rank) AS best, count(*) AS sources FROM (SELECT user_id, item_id, rank FROM r_pop UNION ALL SELECT user_id, item_id, rank FROM r_orac) GROUP BY ALL) SELECT user_id, item_id, best, sources FROM m")
 def candidate_merge(spark, sf):
-    f = Fixture(spark, sf)
+    f = Fixture(spark, sf).once()
     cols = ["user_id", "item_id", "rank"]
     return f.popular().select(*cols).unionByName(f.oracle().select(*cols)).groupBy("user_id", "item_id").agg(F.min("rank").alias("best"), F.count("*").alias("sources"))
 
@@ -310,14 +316,16 @@ def funnel_end_to_end(spark, sf):
 
 @query()
 def als_recs(spark, sf):
-    """Implicit matrix factors, grades as confidence; also what stands in for two-tower retrieval."""
-    from pyspark.ml.recommendation import ALS
+    """Unseen items by implicit matrix factors, grades as confidence."""
+    f = Fixture(spark, sf).once()
+    return ranking.als(split.relevance(f.train), f.judged, f.seen, 10)
 
-    f = Fixture(spark, sf)
-    rows = split.relevance(f.train).select(F.col("user_id").cast("int").alias("user_id"), "item_id", F.col("grade").cast("float").alias("grade"))
-    model = ALS(userCol="user_id", itemCol="item_id", ratingCol="grade", implicitPrefs=True, rank=16, maxIter=5, seed=1).fit(rows)
-    out = model.recommendForUserSubset(f.judged.select(F.col("user_id").cast("int").alias("user_id")), 10)
-    return out.select("user_id", F.posexplode("recommendations").alias("p", "r")).select("user_id", (F.col("p") + 1).alias("rank"), F.col("r.item_id").alias("item_id"))
+
+@query()
+def als_binary(spark, sf):
+    """The same with every like counting alike."""
+    f = Fixture(spark, sf).once()
+    return ranking.als(split.relevance(f.train), f.judged, f.seen, 10, weights="binary")
 
 
 @query()
@@ -336,22 +344,6 @@ def coarse_logistic(spark, sf):
     return recommend.top_k(scored.select("user_id", "item_id", vector_to_array("probability")[1].alias("p")), 20, F.col("p").desc(), F.col("item_id"))
 
 
-@query()
-def ann_ivf(spark, sf):
-    """k-means cells; a probe visits the twelve nearest of sixteen cells."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    e = T.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")).withColumn("features", array_to_vector("v"))
-    model = KMeans(k=16, seed=1, maxIter=10).fit(e)
-    cells = F.broadcast(spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "cell int, c array<double>"))
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).crossJoin(cells)
-    near = recommend.top_k(q.withColumn("s", cosine("q", "c")), 12, F.col("s").desc(), F.col("cell"), by="query_id")
-    held = model.transform(e).select("vec_id", "v", F.col("prediction").alias("cell"))
-    found = near.select("query_id", "q", "cell").join(held, "cell").where("vec_id <> query_id").withColumn("score", F.round(cosine("q", "v"), 6))
-    return recommend.top_k(found, 10, F.col("score").desc(), F.col("vec_id"), by="query_id").select("query_id", "rank", "vec_id", "score")
-
-
 def _generated(f: Fixture, n: int = 5000) -> tuple[DataFrame, DataFrame]:
     some = generate.sessions(generate.users(f.spark, n))
     return some, generate.interactions(some, f.personas, f.catalog)

@@ -52,7 +52,7 @@ def bpr_gradient(spark, sf):
 @query()
 def bpr_recs(spark, sf):
     """The ten best unseen items by factors learned from pairs."""
-    f = Fixture(spark, sf)
+    f = Fixture(spark, sf).once()
     users, items = factors.bpr(_likes(f), f.catalog)
     return best_items(users.join(f.judged, "user_id", "left_semi"), items, 10, f.seen)
 
@@ -65,7 +65,7 @@ z AS (SELECT user_id, item_id, p * c AS l, p * (1 - p) * c AS w FROM p UNION ALL
 SELECT s.user_id, s.item_id, round(coalesce(sum(l), 0), 6) + 0.0 AS lam, round(coalesce(sum(w), 0), 6) + 0.0 AS weight FROM s LEFT JOIN z USING (user_id, item_id) GROUP BY ALL""")
 def listwise_gradient(spark, sf):
     """How every candidate's score should move, by the change of its list's NDCG, from the taste scores on."""
-    rows = ranking.list_gradients(_candidates(Fixture(spark, sf)).select("user_id", "item_id", "grade", "score"))
+    rows = ranking.list_gradients(_candidates(Fixture(spark, sf).once()).select("user_id", "item_id", "grade", "score"))
     return rows.select("user_id", "item_id", *[(F.round(c, 6) + 0.0).alias(c) for c in ("lam", "weight")])
 
 
@@ -77,7 +77,7 @@ def ltr_listwise(spark, sf):
 @query()
 def learned_report(spark, sf):
     """Learned factors beside popularity, on the sessions held out."""
-    f = Fixture(spark, sf)
+    f = Fixture(spark, sf).once()
     users, items = factors.bpr(_likes(f), f.catalog)
     factor_recs = best_items(users.join(f.judged, "user_id", "left_semi"), items, 20, f.seen)
     return metrics.evaluate({"bpr": factor_recs, "popularity": f.popular()}, f.rel, [5, 10, 20])

@@ -11,6 +11,7 @@ from tributary.functions.hashing import hash_int, hash_key, uniform
 from tributary.functions.vectors import blended, centered, cosine, dot, norm, uncentered
 from tributary.operators import metrics, recommend, rerank, split
 from tributary.sources import tables as T
+from tributary.sources.durable import Durable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,6 +69,7 @@ class Fixture:
     def __init__(self, spark: SparkSession, sf: str):
         self.spark, self.sf = spark, sf
         self.inter = T.fixture_interactions(spark, sf)
+        self._kept: dict[str, DataFrame] = {}
 
     @property
     def catalog(self) -> DataFrame:
@@ -83,7 +85,7 @@ class Fixture:
 
     @property
     def split(self) -> DataFrame:
-        return split.with_split(self.inter)
+        return self._kept["split"] if self._kept else split.with_split(self.inter)
 
     @property
     def train(self) -> DataFrame:
@@ -91,11 +93,18 @@ class Fixture:
 
     @property
     def rel(self) -> DataFrame:
-        return split.relevance(self.split.where("is_test"))
+        return self._kept["rel"] if self._kept else split.relevance(self.split.where("is_test"))
 
     @property
     def seen(self) -> DataFrame:
-        return split.seen(self.train)
+        return self._kept["seen"] if self._kept else split.seen(self.train)
+
+    def once(self) -> Fixture:
+        """The same with split, relevance and seen items written, for plans that ask for them often: events are read once."""
+        held = Durable(self.spark)
+        whole = held.keep(self.split)
+        self._kept = {"split": whole, "rel": held.keep(split.relevance(whole.where("is_test"))), "seen": held.keep(split.seen(whole.where("NOT is_test")))}
+        return self
 
     @property
     def judged(self) -> DataFrame:
@@ -387,13 +396,13 @@ _MEANS = " SELECT model, k, count(*) AS users, round(avg(hit_rate), 6) AS hit_ra
 
 @query(_REPORT + _metrics_sql("recs") + _MEANS)
 def eval_report(spark, sf):
-    f = Fixture(spark, sf)
+    f = Fixture(spark, sf).once()
     return metrics.evaluate({"random": f.random(), "popularity": f.popular(), "oracle_persona": f.oracle()}, f.rel, [5, 10, 20])
 
 
 @query(_REPORT.replace("ru AS (SELECT DISTINCT user_id FROM rel)", "ru AS (SELECT user_id FROM (SELECT DISTINCT user_id FROM rel) ORDER BY md5(concat_ws(':', user_id, 7)) LIMIT 50)").replace("seen AS (SELECT", "seen AS (SELECT") + "rel2 AS (SELECT * FROM rel SEMI JOIN ru USING (user_id)), " + _metrics_sql("recs").replace("FROM rel)", "FROM rel2)").replace("JOIN rel USING", "JOIN rel2 USING") + _MEANS)
 def eval_sampled(spark, sf):
-    f = Fixture(spark, sf)
+    f = Fixture(spark, sf).once()
     chosen = f.judged.orderBy(hash_key("user_id", F.lit(7))).limit(50)  # sampling is the feature
     rel = f.rel.join(chosen, "user_id", "left_semi")
     keep = lambda recs: recs.join(chosen, "user_id", "left_semi")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +60,32 @@ def ann_recall(spark, sf):
     return ann.recall(_lsh(spark, sf), exact)
 
 
+def _ivf(spark, sf) -> DataFrame:
+    v = _vectors(spark, sf)
+    return ann.ivf_search(v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), 10)
+
+
+@query()
+def ann_ivf(spark, sf):
+    """The ten nearest in the cells nearest to the query."""
+    return _ivf(spark, sf)
+
+
+def _enough(found: DataFrame, spark, sf) -> DataFrame:
+    """One row (queries, wanted, enough): whether nine in ten of the exact ten nearest were found."""
+    exact = _batch(spark, sf, 11).where("query_id <> vec_id")
+    exact = recommend.top_k(exact.drop("rank"), 10, F.col("score").desc(), F.col("vec_id"), by="query_id")
+    return ann.recall(found, exact).select("queries", "wanted", (F.col("recall") >= 0.9).alias("enough"))
+
+
+_ENOUGH = "SELECT count(*) AS queries, count(*) * least(10, (SELECT count(*) - 1 FROM embeddings)) AS wanted, true AS enough FROM embeddings WHERE vec_id % 20 = 0"
+
+
+@query(_ENOUGH)
+def ivf_recall(spark, sf):
+    return _enough(_ivf(spark, sf), spark, sf)
+
+
 def _graph_search(spark, sf) -> DataFrame:
     v = _vectors(spark, sf)
     return graph.search(graph.build(v), v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), 10)
@@ -69,12 +97,9 @@ def ann_hnsw(spark, sf):
     return _graph_search(spark, sf)
 
 
-@query("SELECT count(*) AS queries, count(*) * least(10, (SELECT count(*) - 1 FROM embeddings)) AS wanted, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
+@query(_ENOUGH)
 def hnsw_recall(spark, sf):
-    """Whether nine in ten of the exact ten nearest are found."""
-    exact = _batch(spark, sf, 11).where("query_id <> vec_id")
-    exact = recommend.top_k(exact.drop("rank"), 10, F.col("score").desc(), F.col("vec_id"), by="query_id")
-    return ann.recall(_graph_search(spark, sf), exact).select("queries", "wanted", (F.col("recall") >= 0.9).alias("enough"))
+    return _enough(_graph_search(spark, sf), spark, sf)
 
 
 @query("WITH m AS (SELECT vec_id, copy, i, embedding[i + 1]::DOUBLE AS x, embedding[i + 1]::DOUBLE + 0.1 * ((('0x' || substr(md5(concat_ws(':', vec_id, copy, i, 5)), 1, 8))::BIGINT + 0.5) / 4294967296.0 - 0.5) AS y FROM embeddings, range(1, 11) c(copy), range(64) d(i)) SELECT vec_id, copy::INT AS copy, round(sum(x * y), 5) AS similarity FROM m GROUP BY ALL")
@@ -159,18 +184,66 @@ dd AS (SELECT user_id, i::INT AS rank, items[i] AS item_id, teams[i] AS team FRO
 
 @query(_DRAFT + " SELECT * FROM dd")
 def team_draft(spark, sf):
-    f = Fixture(spark, sf)
+    f = Fixture(spark, sf).once()
     return recommend.team_draft(f.popular(10), f.oracle(10), 10)
 
 
 @query(_DRAFT + " SELECT team, count(*) AS shown, count(grade) AS clicked FROM dd LEFT JOIN rel USING (user_id, item_id) GROUP BY 1")
 def draft_clicks(spark, sf):
     """What users liked in the test period goes to the team that put it on the list."""
-    f = Fixture(spark, sf)
+    f = Fixture(spark, sf).once()
     rows = recommend.team_draft(f.popular(10), f.oracle(10), 10).join(f.rel, ["user_id", "item_id"], "left")
     return rows.groupBy("team").agg(F.count("*").alias("shown"), F.count("grade").alias("clicked"))
 
 
+_SOURCES = f"""WITH {_FULL}, lk AS (SELECT DISTINCT user_id, item_id FROM sp SEMI JOIN ru USING (user_id) WHERE NOT is_test AND event_type IN ('click', 'save')), xy AS (SELECT item_id, v[10] AS x, v[11] AS y FROM cat),
+gd AS (SELECT user_id, b.item_id, min(round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 9)) AS distance FROM lk JOIN xy a USING (item_id) JOIN xy b ON sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.02 ANTI JOIN seen s ON s.user_id = lk.user_id AND s.item_id = b.item_id GROUP BY ALL),
+r_geo AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY distance, item_id) AS INT) AS rank FROM gd) WHERE rank <= 20),
+tc AS (SELECT c.item_id, count(s.item_id) FILTER (WHERE s.ts >= TIMESTAMP '2024-01-22') AS late, count(s.item_id) FILTER (WHERE s.ts < TIMESTAMP '2024-01-22') AS early FROM cat c LEFT JOIN (SELECT item_id, ts FROM sp WHERE NOT is_test AND event_type IN ('click', 'save')) s USING (item_id) GROUP BY 1),
+tg AS (SELECT item_id, round((late + 1.0) / (early + 1.0), 9) AS growth FROM tc), r_trend AS (SELECT * FROM (SELECT u.user_id, t.item_id, growth, CAST(row_number() OVER (PARTITION BY u.user_id ORDER BY growth DESC, t.item_id) AS INT) AS rank FROM ru u CROSS JOIN tg t ANTI JOIN seen s ON s.user_id = u.user_id AND s.item_id = t.item_id) WHERE rank <= 20)"""
+
+
+def _liked(f: Fixture) -> DataFrame:
+    return f.train.where(F.col("event_type").isin("click", "save")).select("user_id", "item_id", "ts")
+
+
+def _near(f: Fixture) -> DataFrame:
+    v = F.col("embedding").cast("array<double>")
+    points = f.catalog.select("item_id", v[9].alias("x"), v[10].alias("y"))
+    liked = _liked(f).select("user_id", "item_id").distinct().join(f.judged, "user_id", "left_semi")
+    pairs = places.near(points, points, 0.02).select(F.col("a").alias("item_id"), F.col("b").alias("other"), "distance")
+    rows = liked.join(pairs, "item_id").groupBy("user_id", F.col("other").alias("item_id")).agg(F.min("distance").alias("distance"))
+    return recommend.top_k(recommend.unseen(rows, f.seen), 20, F.col("distance"), F.col("item_id"))
+
+
+def _trending(f: Fixture) -> DataFrame:
+    late = F.col("ts") >= F.lit("2024-01-22").cast("timestamp_ntz")
+    counts = _liked(f).groupBy("item_id").agg(F.count_if(late).alias("late"), F.count_if(~late).alias("early"))
+    n = lambda c: F.coalesce(c, F.lit(0)) + 1.0
+    growth = f.catalog.select("item_id").join(counts, "item_id", "left").select("item_id", F.round(n("late") / n("early"), 9).alias("growth"))
+    return recommend.along(f.judged, recommend.placed(growth, F.col("growth").desc(), F.col("item_id")), f.seen, 20)
+
+
+@query(_SOURCES + " SELECT user_id, rank, item_id, distance FROM r_geo")
+def geo_candidates(spark, sf):
+    """Unseen items near what a user liked, the nearest first."""
+    return _near(Fixture(spark, sf)).select("user_id", "rank", "item_id", "distance")
+
+
+@query(_SOURCES + " SELECT user_id, rank, item_id, growth FROM r_trend")
+def trending_candidates(spark, sf):
+    """Unseen items whose likes grew most in the last days of training."""
+    return _trending(Fixture(spark, sf)).select("user_id", "rank", "item_id", "growth")
+
+
+@query(_SOURCES + " SELECT user_id, item_id, min(rank) AS best, count(*) AS sources FROM (SELECT user_id, item_id, rank FROM r_pop UNION ALL SELECT user_id, item_id, rank FROM r_orac UNION ALL SELECT user_id, item_id, rank FROM r_geo UNION ALL SELECT user_id, item_id, rank FROM r_trend) GROUP BY ALL")
+def source_merge(spark, sf):
+    """Four sources of candidates in one list a user: the best rank of an item and how many sources have it."""
+    f = Fixture(spark, sf).once()
+    sources = [r.select("user_id", "item_id", "rank") for r in (f.popular(), f.oracle(), _near(f), _trending(f))]
+    return reduce(DataFrame.unionByName, sources).groupBy("user_id", "item_id").agg(F.min("rank").alias("best"), F.count("*").alias("sources"))
+
+
 FEATURES = ["score", "log_cnt"]
 
 
@@ -184,7 +257,7 @@ def _candidates(f: Fixture) -> DataFrame:
 
 def _ranked_halves(f: Fixture) -> tuple[DataFrame, DataFrame]:
     """Half of the users' candidates to learn from, the others to rank for."""
-    rows = _candidates(f)
+    rows = _candidates(f.once())
     learns = hash_int("user_id", F.lit("rank")) % 2 == 0
     return rows.where(learns), rows.where(~learns)
 
