@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tributary.functions.hashing import hash_key, normal, uniform
+from tributary.functions.hashing import hash_key, normal, quick_uniform, uniform
 from tributary.functions.vectors import blended, centered, dot, sigmoid
+from tributary.operators.recommend import placed
 from tributary.sources.tables import PERSONAS, TAGS
 
 #: The phrases and templates that session queries are made of.
@@ -26,9 +27,9 @@ TWO_TAGS = ["somewhere good for {a} and {b}", "{a}, ideally with {b} too", "a tr
 
 
 def popularity(catalog: DataFrame, seed: int, skew: float = 1.0) -> DataFrame:
-    """Power law over a random order of the catalog; adds weight. The catalog is small by nature."""
-    w = Window.partitionBy(F.lit(1)).orderBy(hash_key("item_id", F.lit(seed)), "item_id")
-    return catalog.withColumn("weight", F.pow(F.row_number().over(w).cast("double"), F.lit(-skew)))
+    """Power law over a random order of the catalog; adds weight."""
+    at = placed(catalog, hash_key("item_id", F.lit(seed)), F.col("item_id"))
+    return at.withColumn("weight", F.pow((F.col("place") + 1).cast("double"), F.lit(-skew))).drop("place")
 
 
 def users(spark: SparkSession, n: int, seed: int = 42, purity: float = 0.8) -> DataFrame:
@@ -97,7 +98,7 @@ def interactions(some: DataFrame, personas: DataFrame, catalog: DataFrame, seed:
     whole = Window.partitionBy("session_id")
     pairs = pairs.withColumn("ok", ok).withColumn("n_ok", F.count_if("ok").over(whole)).where(F.col("ok") | (F.col("n_ok") < F.col("n_shown")))
     key = ["session_id", "item_id", F.lit(seed)]
-    drawn = pairs.withColumn("draw_key", -F.ln(uniform(*key, F.lit("show"))) / F.col("weight"))
+    drawn = pairs.withColumn("draw_key", -F.ln(quick_uniform(*key, F.lit("show"))) / F.col("weight"))
     shown = drawn.withColumn("rn", F.row_number().over(whole.orderBy("draw_key", "item_id"))).where(F.col("rn") <= F.col("n_shown"))
     a = dot(centered("tags"), F.col("w")) + F.when(F.array_contains("budgets", F.col("budget_level")), 1.5).otherwise(0.0)
     shown = shown.withColumn("a", a)

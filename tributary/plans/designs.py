@@ -122,13 +122,20 @@ def positives_per_user(spark, sf):
     return Fixture(spark, sf).rel.groupBy("user_id").agg(F.count("*").alias("positives")).groupBy("positives").agg(F.count("*").alias("users"))
 
 
-@query(f"""WITH {_FULL}, l AS (SELECT user_id, item_id, max(ts) AS last FROM sp WHERE NOT is_test GROUP BY ALL) SELECT r.user_id, r.item_id, r.grade::INT AS grade, p.cnt, o.score, date_diff('day', last, TIMESTAMP '2024-02-01')::INT AS days FROM rel r JOIN pop p USING (item_id) JOIN osc o USING (user_id, item_id) LEFT JOIN l USING (user_id, item_id)""")
+@query(f"""WITH {_FULL}, l AS (SELECT user_id, item_id, max(ts) AS last FROM sp WHERE NOT is_test GROUP BY ALL) SELECT r.user_id, r.item_id, r.grade::INT AS grade, p.cnt, o.score, date_diff('day', last, TIMESTAMP '2024-02-01')::INT AS days,
+round(15 + 80 * c.v[2], 1) AS warmth, round(round(15 + 80 * c.v[2], 1) - round(list_avg(list_transform(c.v[1:12], lambda x: round(15 + 80 * x, 1))), 6), 6) AS season FROM rel r JOIN pop p USING (item_id) JOIN osc o USING (user_id, item_id) JOIN cat c USING (item_id) LEFT JOIN l USING (user_id, item_id)""")
 def ltr_features(spark, sf):
+    """What a ranker learns from: popularity, taste, recency, and how warm an item is in February, by itself and beside its year."""
     f = Fixture(spark, sf)
     last = f.train.groupBy("user_id", "item_id").agg(F.max("ts").alias("last"))
     tasted = f.rel.join(_tasted(f), "user_id").join(recommend.item_vectors(f.catalog), "item_id").withColumn("score", F.round(dot("q", "x"), 6))
     rows = tasted.join(split.popularity(f.train, f.catalog), "item_id").join(last, ["user_id", "item_id"], "left")
-    return rows.select("user_id", "item_id", "grade", "cnt", "score", F.datediff(F.lit("2024-02-01").cast("date"), F.to_date("last")).alias("days"))
+    months = F.transform(F.map_values("avg_temp_monthly"), lambda m: m["avg"])
+    warm = F.element_at(F.col("avg_temp_monthly"), "2")["avg"]
+    mean = F.round(F.aggregate(months, F.lit(0.0), lambda a, x: a + x) / F.size(months), 6)
+    climate = T.fixture_climate(spark, sf).select("item_id", warm.alias("warmth"), F.round(warm - mean, 6).alias("season"))
+    days = F.datediff(F.lit("2024-02-01").cast("date"), F.to_date("last")).alias("days")
+    return rows.join(climate, "item_id").select("user_id", "item_id", "grade", "cnt", "score", days, "warmth", "season")
 
 
 @query(f"WITH {_CAT}, x AS (SELECT item_id, round(v[1], 6) AS relevance, round(v[2], 6) AS diversity FROM cat) SELECT a.* FROM x a WHERE NOT EXISTS (SELECT 1 FROM x b WHERE b.relevance >= a.relevance AND b.diversity >= a.diversity AND (b.relevance > a.relevance OR b.diversity > a.diversity))")

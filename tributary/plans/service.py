@@ -100,6 +100,17 @@ def eval_asked(spark, sf):
     return metrics.evaluate({"asked": model.recommend(f.judged, 20)}, f.rel, [5, 10, 20])
 
 
+@query(_ASKED + " SELECT DISTINCT sha256('stand-in' || chr(0) || prompt) AS key, 30 AS n, ((x % 1000) % 130 - 5)::INT AS first FROM pm JOIN hx USING (user_id) WHERE x % 7 <> 0")
+def reply_cache(spark, sf):
+    """The replies worth keeping, through the file of the cache: failed ones aren't in it."""
+    f = Fixture(spark, sf)
+    prompts = BASIC["history_prompt"](spark, sf).join(f.judged, "user_id", "left_semi")
+    _, cache = scorer.replies(prompts, spark.createDataFrame([], scorer.CACHE), "stand-in", stand_in)
+    path = f"{Durable(spark).root}/cache"
+    T.write_cache(cache.select("key", scorer.parsed("reply").alias("picks")), path)
+    return T.read_cache(spark, path).select("key", F.size("picks").alias("n"), F.col("picks")[0].alias("first"))
+
+
 def stand_in_pairs(prompts: list[str]) -> list[str]:
     return ["none" if _number(p) % 11 == 0 else str(_number(p) % 1000 / 1000) for p in prompts]
 
