@@ -234,9 +234,9 @@ def pack(items: DataFrame, capacity: int, id_col: str = "doc_id") -> DataFrame:
         at = placements.value
         for batch in batches:
             sequences, offsets = [], []
-            for length, salt, number in zip(*(batch.column(c).to_pylist() for c in ("length", salt, nth))):
+            for length, at_salt, number in zip(*(batch.column(c).to_pylist() for c in ("length", salt, nth))):
                 bases, firsts, starts, places = at[length]
-                rank = bases[salt] + number - 1
+                rank = bases[at_salt] + number - 1
                 k = bisect.bisect_right(firsts, rank) - 1
                 sequences.append(starts[k] + rank - firsts[k])
                 offsets.append(places[k])
