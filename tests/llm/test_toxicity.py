@@ -24,7 +24,7 @@ def test_telling_samples_equal_plain_version():
     toxic, ordinary = rows(1, BAD), rows(2)
 
     def count(piece, some):
-        return sum(any(piece in b" " + x + b" " for x in w.split()) for w in some)
+        return sum(piece in b" " + x + b" " for w in some for x in set(w.split()))
 
     want = []
     for w in toxic:

@@ -83,19 +83,27 @@ def pieces(word: bytes) -> set[bytes]:
 
 
 def telling_samples(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """Toxic windows without the words that have no telling piece; windows that keep no word are left out."""
-    words: dict[bytes, set[bytes]] = {}
+    """Toxic windows without the words that have no telling piece; windows that keep no word are left out.
 
-    def counted(windows_of: list[bytes]) -> Counter:
-        out: Counter = Counter()
+    A piece counts once for each different word of a window that holds it.
+    """
+
+    def counted(windows_of: list[bytes], wanted: set[bytes] | None = None) -> Counter:
+        words: Counter = Counter()
         for w in windows_of:
-            out.update(set().union(*(words.setdefault(x, pieces(x)) for x in w.split())))
+            words.update(set(w.split()))
+        out: Counter = Counter()
+        for word, n in words.items():
+            for p in pieces(word):
+                if wanted is None or p in wanted:
+                    out[p] += n
         return out
 
-    often, usual = counted(toxic), counted(ordinary)
     least = max(LEAST_COUNT, LEAST_SHARE * len(toxic))
-    telling = {p for p, n in often.items() if n >= least and n * len(ordinary) > TIMES * (usual[p] + 0.5) * len(toxic)}
-    kept = ([x for x in w.split() if not telling.isdisjoint(words[x])] for w in toxic)
+    often = {p: n for p, n in counted(toxic).items() if n >= least}
+    usual = counted(ordinary, set(often))
+    telling = {p for p, n in often.items() if n * len(ordinary) > TIMES * (usual[p] + 0.5) * len(toxic)}
+    kept = ([x for x in w.split() if not telling.isdisjoint(pieces(x))] for w in toxic)
     return [b" " + b" ".join(k) + b" " for k in kept if k]
 
 
