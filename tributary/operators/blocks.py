@@ -1,7 +1,7 @@
 """The k greatest inner products of every user with the items, in blocks and without a cross join.
 
 Users and items become blocks: an id array and a matrix. Item blocks are formed in order of the vectors' length, longest first, and
-met in waves, each twice as many blocks as the one before. Within a wave every block of users meets every block of items by an
+met in waves: FIRST_WAVE blocks, then each time twice as many. Within a wave every block of users meets every block of items by an
 equi-join on the item block, as one small matrix product. A user's k-th best score so far is a floor: a block whose bound
 (by length, and by the box its vectors lie in) is below it is skipped for that user, and users whose floor is above the bound of
 all later waves leave. Seen pairs reach the cell of the two blocks that hold them, so no list of a user is gathered whole.
@@ -21,6 +21,8 @@ from tributary.functions.vectors import norm
 from tributary.sources.durable import Durable
 
 ITEM_BLOCK, USER_BLOCK = 1024, 512
+#: Blocks of the first wave: a wave is a job or two, so small catalogs take one.
+FIRST_WAVE = 8
 #: Scores are rounded to so many decimals, and bounds are compared with that much to spare.
 DECIMALS = 6
 
@@ -123,11 +125,11 @@ def best_items(users: DataFrame, items: DataFrame, k: int, seen: DataFrame | Non
     spread = catalog.repartitionByRange(parts, F.col("length").desc(), "item_id") if parts > 1 else catalog.repartition(1)
     blocks = blocked(spread.sortWithinPartitions(F.col("length").desc(), "item_id"), "item_id", "x", ["bias", "length"], item_block, "item_no")
     blocks = blocks.withColumnRenamed("ids", "item_ids").withColumn("top", F.array_max("length")).drop("length")
-    n_waves = math.ceil(math.log2(math.ceil(n_items / item_block) + 1))
+    n_waves = math.ceil(math.log2(n_items / item_block / FIRST_WAVE + 1))
     blocks = held.keep(blocks)
     shards = min(64, math.ceil(n_items / item_block))  # how many tasks share a wave
     # the longest vectors first; waves end at these lengths
-    shares = [max(0.0, 1 - (2 ** (w + 1) - 1) * item_block / n_items) for w in range(n_waves - 1)]
+    shares = [max(0.0, 1 - (2 ** (w + 1) - 1) * FIRST_WAVE * item_block / n_items) for w in range(n_waves - 1)]
     ends = [*(blocks.agg(F.percentile_approx("top", shares, 100_000)).first()[0] if shares else []), -1.0]
     best, above, met, done = None, None, 0, 0
     n_users = people.count() if told is not None or n_waves > 1 else None
