@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.functions.hashing import hash_int, hash_key, uniform
-from tributary.functions.vectors import centered, cosine, dot
+from tributary.functions.vectors import centered, dot
 from tributary.operators import generate, metrics, ranking, recommend, rerank, split
 from tributary.operators.blocks import best_items
 from tributary.plans.funnel import Funnel

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.operators import factors, metrics, ranking, recommend
+from tributary.operators import factors, metrics, ranking
 from tributary.operators.blocks import best_items
 from tributary.plans.queries import _FULL, _POP, Fixture
 from tributary.plans.search import FEATURES, _candidates, _ranked_halves

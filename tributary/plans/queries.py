@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.functions.hashing import hash_int, hash_key, uniform
-from tributary.functions.vectors import blended, centered, cosine, dot, norm, uncentered
-from tributary.operators import metrics, recommend, rerank, split
+from tributary.functions.hashing import hash_key
+from tributary.functions.vectors import blended, centered, dot, norm, uncentered
+from tributary.operators import metrics, recommend, split
 from tributary.sources import tables as T
 from tributary.sources.durable import Durable
 
