@@ -9,8 +9,9 @@ P(class | class before) * P(word | class).
 
 Texts are tokenised once to count words and once to arrays of numbers, which all passes and the scoring read. Counts and
 classes of all words, however many, stay Spark tables. The COUNTED most frequent ones go to the tasks (their number is
-fixed); the others get a class from their counted neighbours after the last pass and are joined as (text, word) rows. Pairs
-of adjacent classes are counted where both words are counted ones. A word that no training text holds has the class that is
+fixed); the others get a class from their counted neighbours after the last pass and are joined as (text, word) rows. A model
+of the whole text then moves the counted words once more, by all their neighbours, and counts all pairs of adjacent classes;
+without `whole`, pairs are counted where both words are counted ones. A word that no training text holds has the class that is
 likeliest there: the one of most probability after the class before, its own share included.
 """
 
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import discard, in_parts, pick, tidy, written
+from tributary.llm.common import in_parts, pick, tidy, written
 
 HEAD, CLASSES = 1000, 64
 COUNTED = 100_000
@@ -48,6 +49,18 @@ def key_of(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) - 2**63
 
 
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """words_of many texts at once: of each token its text and its word, as places, and the distinct words."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    coded_words = lists.flatten().dictionary_encode()
+    words = coded_words.dictionary.cast(pa.binary()).to_pylist()
+    row, word = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy(zero_copy_only=False)), coded_words.indices.to_numpy().astype(np.int64)
+    if b"" in words:  # white space at an end
+        some = word != words.index(b"")
+        row, word = row[some], word[some]
+    return row, word, words
+
+
 END_KEY = key_of(b" ")  # no word has a space
 
 
@@ -71,8 +84,11 @@ def count_words(texts: DataFrame) -> DataFrame:
             return out
 
         for batch in batches:
-            for text in batch.column(0):
-                held.update(words_of(text.as_py()))
+            for part in in_parts(batch):
+                _, word, words = tokens(part.column(0))
+                for w, n in zip(words, np.bincount(word, minlength=len(words)).tolist()):
+                    if n:
+                        held[w] += n
                 if len(held) > 2 * MEMO_WORDS:
                     yield flush()
         if held:
@@ -216,21 +232,24 @@ def coded(rows: DataFrame, words) -> DataFrame:
         memo: dict[bytes, int] = {}
         for batch in batches:
             for part in in_parts(batch):
-                codes, keys = [], []
-                for text in part.column(1).to_pylist():
-                    ws = words_of(text)
-                    if len(memo) > MEMO_WORDS:
-                        memo.clear()
-                    for w in set(ws):
-                        if w not in memo:
-                            memo[w] = places.get(key_of(w), -1)
-                    own = np.fromiter(map(memo.__getitem__, ws), np.int64, len(ws))
-                    others: dict[bytes, int] = {}
-                    for i in np.flatnonzero(own < 0).tolist():
-                        own[i] = -1 - others.setdefault(ws[i], len(others))
-                    codes.append(own.astype("<i4").tobytes())
-                    keys.append([key_of(w) for w in others])
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in (0, 2, 3)), pa.array(codes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "learn", "ask", "codes", "keys"])
+                row, word, names = tokens(part.column(1))
+                if len(memo) > MEMO_WORDS:
+                    memo.clear()
+                for w in names:
+                    if w not in memo:
+                        memo[w] = places.get(key_of(w), -1)
+                own = np.fromiter(map(memo.__getitem__, names), np.int64, len(names))[word]
+                # the other words of a text, each once
+                rare = np.flatnonzero(own < 0)
+                pairs, which = np.unique(row[rare] * max(1, len(names)) + word[rare], return_inverse=True)
+                of_row, of_word = pairs // max(1, len(names)), pairs % max(1, len(names))
+                starts = np.searchsorted(of_row, np.arange(part.num_rows + 1))
+                own[rare] = -1 - (which - starts[row[rare]])
+                hashed = {w: key_of(names[w]) for w in set(of_word.tolist())}
+                keys = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array([hashed[w] for w in of_word.tolist()], pa.int64()))
+                ends = 4 * np.searchsorted(row, np.arange(part.num_rows + 1))
+                codes = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends.astype("<i4").tobytes()), pa.py_buffer(own.astype("<i4").tobytes())])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in (0, 2, 3)), codes, keys], names=["id", "learn", "ask", "codes", "keys"])
         tidy()
 
     return written(rows.mapInArrow(run, f"id {kind}, learn boolean, ask boolean, codes binary, keys array<long>").withColumn("row", F.monotonically_increasing_id()))
@@ -267,6 +286,19 @@ def _runs(batch: pa.RecordBatch, end: int) -> tuple[np.ndarray, list[int]]:
     return np.concatenate(out), keys
 
 
+def _classed(places: np.ndarray, batch: pa.RecordBatch, of: np.ndarray) -> np.ndarray:
+    """The class of each place of a run, -1 for none; those of other words are the batch's classes, where it has them (filled)."""
+    cls = np.where(places >= 0, of[np.maximum(places, 0)], -1)
+    if "classes" in batch.schema.names:
+        rare = places < 0
+        cls[rare] = batch.column("classes").flatten().to_numpy(zero_copy_only=False)[-1 - places[rare]]
+    return cls
+
+
+def _coded_columns(texts: DataFrame) -> DataFrame:
+    return texts.select("codes", "keys", *(["classes"] if "classes" in texts.columns else []))
+
+
 def head_pairs(texts: DataFrame, head: int, end: int) -> np.ndarray:
     """(head + 1 x head + 1): how often one stands before the other; the end is last. Pairs with other words don't count."""
     size = head + 1
@@ -293,7 +325,8 @@ def head_pairs(texts: DataFrame, head: int, end: int) -> np.ndarray:
 def contexts(texts: DataFrame, classes, counted: bool) -> DataFrame:
     """Rows (key, found): how often each word has which neighbours, of the counted words (key: their place) or of the others.
 
-    found: a list of little-endian int32 pairs (slot, times). Neighbours without a class don't count.
+    found: a list of little-endian int32 pairs (slot, times). Neighbours without a class don't count: before other words have
+    theirs (filled), these are all the others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +351,7 @@ def contexts(texts: DataFrame, classes, counted: bool) -> DataFrame:
         for batch in batches:
             for part in in_parts(batch):
                 places, keys = _runs(part, end)
-                cls = np.where(places >= 0, of[np.maximum(places, 0)], -1)
+                cls = _classed(places, part, of)
                 a, b = places[:-1], places[1:]
                 if counted:
                     after, before, own = (a >= 0) & (cls[1:] >= 0), (b >= 0) & (cls[:-1] >= 0), (a >= 0) & (a == b)
@@ -341,7 +374,7 @@ def contexts(texts: DataFrame, classes, counted: bool) -> DataFrame:
         yield from flush()
         tidy()
 
-    found = texts.select("codes", "keys").mapInArrow(run, "key long, found binary")
+    found = _coded_columns(texts).mapInArrow(run, "key long, found binary")
     return found.groupBy("key").agg(F.collect_list("found").alias("found"))
 
 
@@ -370,18 +403,20 @@ def _dense(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
         yield dense()
 
 
-def class_pairs(found: DataFrame, classes) -> np.ndarray:
-    """(classes x classes): how often one stands before the other, from contexts of counted words."""
+def class_pairs(texts: DataFrame, classes) -> np.ndarray:
+    """(classes x classes): how often one stands before the other in texts; words without a class don't count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((CLASSES, CLASSES))
-        for places, counts in _dense(batches):
-            own = classes.value[places]
-            np.add.at(total, own[own >= 0], counts[own >= 0, :CLASSES])
+        total = np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in batches:
+            for part in in_parts(batch):
+                cls = _classed(_runs(part, len(classes.value) - 1)[0], part, classes.value)
+                met = (cls[:-1] >= 0) & (cls[1:] >= 0)
+                total += np.bincount(cls[:-1][met] * CLASSES + cls[1:][met], minlength=CLASSES * CLASSES)
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total.ravel()[some].astype(np.int64))], names=["pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["pair", "n"])
 
-    rows = found.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    rows = _coded_columns(texts).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(CLASSES * CLASSES)
     out[rows.column("pair").to_numpy()] = rows.column("n").to_numpy()
     return out.reshape(CLASSES, CLASSES)
@@ -422,28 +457,44 @@ def cluster(texts: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray]:
     best, value = None, -np.inf
     for turn in range(PASSES + 1):
         shared = spark.sparkContext.broadcast(of)
-        found = written(contexts(texts, shared, counted=True))
-        m = class_pairs(found, shared)
+        m = class_pairs(texts, shared)
         whole = bool((of >= 0).all())
         if whole and information(m) <= value:
-            discard(found)
             break
         if whole:
             best, value = (of, m), information(m)
-        moved = best_classes(found, m, shared).toArrow() if turn < PASSES else None  # at most COUNTED and the end
-        discard(found)
-        if moved is None:
+        if turn == PASSES:
             break
-        after = of.copy()
-        after[moved.column("key").to_numpy()] = moved.column("class").to_numpy()
-        after[after < 0] = 0  # words without counted neighbours
+        after = moved_once(texts, of, m)
         if (after == of).all():
             break
         of = after
     return best
 
 
-def score(docs: DataFrame, training: DataFrame | Column, id_col: str = "doc_id", text_col: str = "text", smoothing: float = 0.1) -> DataFrame:
+def moved_once(texts: DataFrame, of: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The classes of the counted words and the end after all have moved at once."""
+    shared = texts.sparkSession.sparkContext.broadcast(of)
+    moved = best_classes(contexts(texts, shared, counted=True), m, shared).toArrow()  # at most COUNTED and the end
+    after = of.copy()
+    after[moved.column("key").to_numpy()] = moved.column("class").to_numpy()
+    after[after < 0] = 0  # words without counted neighbours
+    return after
+
+
+def with_others(train: DataFrame, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """of and the class_pairs of all words, counted and other ones, after another pass in which every neighbour counts.
+
+    train: filled. The pass is undone if the information doesn't rise.
+    """
+    share = train.sparkSession.sparkContext.broadcast
+    m = class_pairs(train, share(of))
+    after = moved_once(train, of, m)
+    of_after = class_pairs(train, share(after))
+    return (after, of_after) if information(of_after) > information(m) else (of, m)
+
+
+def score(docs: DataFrame, training: DataFrame | Column, id_col: str = "doc_id", text_col: str = "text", smoothing: float = 0.1, whole: bool = False) -> DataFrame:
     """Rows (id, n_tokens, n_known, train_tokens, base_score, score), one for each row of docs.
 
     training: the rows to learn from, or a condition on docs that tells which of these they are. Tokens: words, A-Z in lower
@@ -451,6 +502,9 @@ def score(docs: DataFrame, training: DataFrame | Column, id_col: str = "doc_id",
     probability, score that of the class model, both learned from all training rows. Repeated rows and null ids pass through,
     other columns aren't read, a text is scored whole however long, and an empty table gives an empty one. With no training
     rows both scores count every token as unknown.
+
+    Words beyond COUNTED are placed by their counted neighbours. whole: then these words too count as neighbours, in another
+    pass and in the pairs of classes that the scores are made of; otherwise only pairs of counted words do.
     """
     spark = docs.sparkSession
     flags = lambda rows, learn, ask: rows.select("id", F.col("text").cast("string").alias("text"), learn.alias("learn"), ask.alias("ask"))
@@ -481,6 +535,11 @@ def score(docs: DataFrame, training: DataFrame | Column, id_col: str = "doc_id",
         rest = table.join(F.broadcast(known_keys), "key", "left_anti")
         others = written(rest.join(placed, "key", "left").select("key", F.coalesce("class", F.lit(0)).alias("class"), "n"))
 
+    asked = every
+    if others is not None and whole:
+        asked = written(filled(every, others))
+        of, m = with_others(asked.where("learn"), of)
+
     class_n, class_v = np.bincount(of, words.counts, CLASSES), np.bincount(of, words.counts > 0, CLASSES)
     for r in others.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect() if others else []:
         class_n[r["class"]] += r.n
@@ -516,7 +575,7 @@ def score(docs: DataFrame, training: DataFrame | Column, id_col: str = "doc_id",
         tidy()
 
     kind = rows.schema["id"].dataType.simpleString()
-    asked = filled(every.where("ask").select("row", "id", "codes", "keys"), others)
+    asked = asked.where("ask") if "classes" in asked.columns else filled(asked.where("ask").select("row", "id", "codes", "keys"), others)
     scored = asked.select("id", "codes", "classes", "times").mapInArrow(run, f"id {kind}, n_tokens long, n_known long, base double, value double")
     per_token = float(np.log10(total + distinct + 1))
     return scored.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * per_token).alias("base_score"), F.col("value").alias("score"))
