@@ -49,18 +49,6 @@ def key_of(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) - 2**63
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """words_of many texts at once: of each token its text and its word, as places, and the distinct words."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
-    coded_words = lists.flatten().dictionary_encode()
-    words = coded_words.dictionary.cast(pa.binary()).to_pylist()
-    row, word = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy(zero_copy_only=False)), coded_words.indices.to_numpy().astype(np.int64)
-    if b"" in words:  # white space at an end
-        some = word != words.index(b"")
-        row, word = row[some], word[some]
-    return row, word, words
-
-
 END_KEY = key_of(b" ")  # no word has a space
 
 
@@ -84,11 +72,8 @@ def count_words(texts: DataFrame) -> DataFrame:
             return out
 
         for batch in batches:
-            for part in in_parts(batch):
-                _, word, words = tokens(part.column(0))
-                for w, n in zip(words, np.bincount(word, minlength=len(words)).tolist()):
-                    if n:
-                        held[w] += n
+            for text in batch.column(0):
+                held.update(words_of(text.as_py()))
                 if len(held) > 2 * MEMO_WORDS:
                     yield flush()
         if held:
@@ -232,24 +217,21 @@ def coded(rows: DataFrame, words) -> DataFrame:
         memo: dict[bytes, int] = {}
         for batch in batches:
             for part in in_parts(batch):
-                row, word, names = tokens(part.column(1))
-                if len(memo) > MEMO_WORDS:
-                    memo.clear()
-                for w in names:
-                    if w not in memo:
-                        memo[w] = places.get(key_of(w), -1)
-                own = np.fromiter(map(memo.__getitem__, names), np.int64, len(names))[word]
-                # the other words of a text, each once
-                rare = np.flatnonzero(own < 0)
-                pairs, which = np.unique(row[rare] * max(1, len(names)) + word[rare], return_inverse=True)
-                of_row, of_word = pairs // max(1, len(names)), pairs % max(1, len(names))
-                starts = np.searchsorted(of_row, np.arange(part.num_rows + 1))
-                own[rare] = -1 - (which - starts[row[rare]])
-                hashed = {w: key_of(names[w]) for w in set(of_word.tolist())}
-                keys = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array([hashed[w] for w in of_word.tolist()], pa.int64()))
-                ends = 4 * np.searchsorted(row, np.arange(part.num_rows + 1))
-                codes = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends.astype("<i4").tobytes()), pa.py_buffer(own.astype("<i4").tobytes())])
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in (0, 2, 3)), codes, keys], names=["id", "learn", "ask", "codes", "keys"])
+                codes, keys = [], []
+                for text in part.column(1).to_pylist():
+                    ws = words_of(text)
+                    if len(memo) > MEMO_WORDS:
+                        memo.clear()
+                    for w in set(ws):
+                        if w not in memo:
+                            memo[w] = places.get(key_of(w), -1)
+                    own = np.fromiter(map(memo.__getitem__, ws), np.int64, len(ws))
+                    others: dict[bytes, int] = {}
+                    for i in np.flatnonzero(own < 0).tolist():
+                        own[i] = -1 - others.setdefault(ws[i], len(others))
+                    codes.append(own.astype("<i4").tobytes())
+                    keys.append([key_of(w) for w in others])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in (0, 2, 3)), pa.array(codes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "learn", "ask", "codes", "keys"])
         tidy()
 
     return written(rows.mapInArrow(run, f"id {kind}, learn boolean, ask boolean, codes binary, keys array<long>").withColumn("row", F.monotonically_increasing_id()))
