@@ -81,3 +81,35 @@ def test_query_on_the_small_table(spark):
     assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows} == want and len(rows) == len(want)
     n = check_layout(rows, 2048)
     assert n <= 1.02 * sum(r.length for r in rows) / 2048 + 1
+
+
+def test_chunks_of_all_kinds_have_the_library_s_ids():
+    rng = random.Random(2)
+    odd = ["don't", "'save", "x's'll", "<|endoftext|>", "12a3", "ÀÉ'T", "a.b,c", "$$$", "''s", "Straße", "ÿ'RE", "×÷", "ª", "İx", "x" * 64, "y" * 65, ""]
+    odd += ["".join(rng.choice("abzAZ'.,$0129éÉßÿ×÷<|_-Σ") for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    memo = packing.ChunkIds(PATH)
+    memo.learn(set(odd))
+    t = Tokenizer.from_file(PATH)
+    assert all(memo[c] == b"".join(i.to_bytes(4, "little") for i in t.encode(c, add_special_tokens=False).ids) for c in odd)
+
+
+def test_new_chunks_are_encoded_many_at_a_time_and_late_ones_outlive_a_full_memo(monkeypatch):
+    memo = packing.ChunkIds(PATH)
+    calls = []
+    ids = memo.ids
+    memo.ids = lambda text: calls.append(text) or ids(text)
+    monkeypatch.setattr(packing, "MEMO_BYTES", 400 * packing.ENTRY_BYTES)
+    memo.learn({f"late{i}" for i in range(150)})
+    memo.learn({f"more{i}'s" for i in range(150)})
+    memo.learn({f"other{i}" for i in range(100)})  # the first half is full: what it holds becomes the second
+    known = {f"late{i}" for i in range(150)}
+    assert known <= set(memo.before) and not calls
+    monkeypatch.setattr(memo, "learn_words", None)  # nothing is encoded again
+    memo.learn(known)
+    assert known <= set(memo)
+
+
+def test_a_task_leaves_little_of_its_memo_behind():
+    list(packing.texts_ids(PATH, [" ".join(f"w{i}" for i in range(90_000))]))
+    packing.rest(PATH)
+    assert packing._LOADED[PATH].bytes <= packing.KEPT_BYTES

@@ -11,6 +11,7 @@ updated. When no piece fits any gap, new sequences are opened for the longest pi
 from __future__ import annotations
 
 import bisect
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,78 +22,103 @@ from pyspark.sql import functions as F
 
 from tributary.llm.common import in_parts, pick, tidy, written
 
-MEMO_BYTES = 208 << 20
+MEMO_BYTES = 64 << 20
+KEPT_BYTES = 16 << 20
+ENTRY_BYTES = 200  # of an entry: its key, LONG_CHUNK characters at most and some 8 on average, its ids and what Python adds
 LONG_CHUNK = 64
-WORDS_AT_ONCE = 4096
+CHUNKS_AT_ONCE = 4096
 SALTS = 256
-_PLAIN = regex.compile(r"[\x21-\x7EÀ-ÖØ-öø-ÿ]+")
+_PLAIN = re.compile(r"[\x21-\x7EÀ-ÖØ-öø-ÿ]+")
 #: Fixed: the word pattern of the lower-casing vocabulary file.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Of each Latin-1 character: its kind in that pattern (0 the space between chunks, 1 letter, 2 digit, 3 other), and its small letter.
+_KIND = np.array([0 if c == " " else 1 if c.isalpha() else 2 if c in "0123456789" else 3 for c in map(chr, range(256))], np.uint8)
+_SMALL = np.array([ord(c.lower()) for c in map(chr, range(256))], np.uint8)
+
+
+def spaced_words(chunks: list[str]) -> tuple[str, np.ndarray]:
+    """The words of plain chunks without apostrophes in small letters, a space between them, and how many stand in each chunk."""
+    text = np.frombuffer(" ".join(chunks).encode("latin-1"), np.uint8)
+    kind = _KIND[text]
+    before = np.append(np.uint8(0), kind[:-1])
+    starts = (kind > 0) & ((kind != before) | (kind == 2))
+    spaced = np.insert(_SMALL[text], np.flatnonzero(starts & (before > 0)), ord(" "))
+    return spaced.tobytes().decode("latin-1"), np.bincount(np.cumsum(kind == 0)[starts], minlength=len(chunks))
 
 
 class ChunkIds(dict):
-    """Chunk between spaces -> packed ids, by the tokenizers library. Starts anew when entries reach MEMO_BYTES.
+    """Chunk between spaces -> packed ids, by the tokenizers library. Two halves of MEMO_BYTES: what was met lately, and what
+    was before that, which goes when the first half is full.
 
     The vocabulary drops white space and never merges across it, so a text's ids are those of its chunks in order.
-    A chunk of ASCII and Latin-1 letters is put together from its words, which repeat more often than chunks; new words
-    are encoded many at a time, as a call costs more than a word.
+    Chunks of ASCII and Latin-1 letters are encoded many at a time, as a call costs more than a chunk: they are cut into
+    words and put in small letters here, and the vocabulary's model alone takes them.
     """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words: dict[str, bytes] = {}
-        self.bytes = 0
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.before: dict[str, bytes] = {}
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
 
+    @property
+    def bytes(self) -> int:
+        return ENTRY_BYTES * (len(self) + len(self.before))
+
     def ids(self, text: str) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def forget(self) -> None:
         self.clear()
-        self.words.clear()
-        self.bytes = 0
-
-    def learn_words(self, words: list[str]) -> None:
-        """Ids of new words, cut where one ends; a word at a time where the ends don't tell them apart."""
-        for at in range(0, len(words), WORDS_AT_ONCE):
-            some = words[at : at + WORDS_AT_ONCE]
-            got = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(self.ends[got]) + 1
-            if len(cuts) == len(some):
-                packed = got.tobytes()
-                bounds = [0, *(4 * cuts).tolist()]
-                self.words.update(zip(some, (packed[i:j] for i, j in zip(bounds, bounds[1:]))))
-            else:
-                self.words.update((w, self.ids(w)) for w in some)
-            # an entry counts with its key, its ids and what Python adds to both
-            self.bytes += 200 * len(some) + 6 * sum(map(len, some))
+        self.before = {}
+
+    def learn_words(self, chunks: list[str], text: str, words: np.ndarray) -> None:
+        """Ids of chunks with so many words each, which text holds in order, cut where a word ends; a chunk at a time where
+        the ends don't tell words apart."""
+        got = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        cuts = 4 * (np.flatnonzero(self.ends[got]) + 1)
+        if len(cuts) == words.sum() and words.all():
+            packed, bounds = got.tobytes(), cuts[np.cumsum(words) - 1].tolist()
+            self.update(zip(chunks, (packed[i:j] for i, j in zip([0, *bounds], bounds))))
+        else:
+            self.update((c, self.ids(c)) for c in chunks)
 
     def learn(self, chunks: set[str]) -> None:
         """Holds all of these chunks but the long ones afterwards; the callers' batches bound how many these are."""
-        if self.bytes >= MEMO_BYTES:
-            self.forget()
-        plain = {}
-        before = len(self)
-        for chunk in chunks:
-            if chunk in self or len(chunk) > LONG_CHUNK:
+        if 2 * ENTRY_BYTES * len(self) >= MEMO_BYTES:
+            self.before = dict(self)
+            self.clear()
+        missing = chunks.difference(self)
+        new = missing.difference(self.before)
+        self.update((c, self.before[c]) for c in missing - new)
+        plain: list[str] = []
+        quoted: list[str] = []
+        for chunk in new:
+            if len(chunk) > LONG_CHUNK:
                 continue
-            if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
-                plain[chunk] = _WORDS.findall(chunk.lower())
-            else:
+            if not _PLAIN.fullmatch(chunk) or "<|" in chunk:
                 self[chunk] = self.ids(chunk)
-        self.learn_words(list({w for words in plain.values() for w in words if w not in self.words}))
-        for chunk, words in plain.items():
-            self[chunk] = b"".join(map(self.words.__getitem__, words))
-        self.bytes += (200 + 6 * 8) * (len(self) - before)  # chunks are LONG_CHUNK characters at most, some 8 on average
+            elif "'" in chunk:
+                quoted.append(chunk)
+            else:
+                plain.append(chunk)
+        for at in range(0, len(plain), CHUNKS_AT_ONCE):
+            some = plain[at : at + CHUNKS_AT_ONCE]
+            self.learn_words(some, *spaced_words(some))
+        for at in range(0, len(quoted), CHUNKS_AT_ONCE):
+            some = quoted[at : at + CHUNKS_AT_ONCE]
+            words = [_WORDS.findall(c.lower()) for c in some]
+            self.learn_words(some, " ".join(w for own in words for w in own), np.array([len(own) for own in words]))
 
     def __missing__(self, chunk: str) -> bytes:
         return self.ids(chunk)
@@ -112,6 +138,12 @@ def texts_ids(path: str, texts: list[str]) -> Iterator[bytes]:
         yield b"".join(map(memo.__getitem__, chunks))
 
 
+def rest(path: str) -> None:
+    """At a task's end: a memo beyond KEPT_BYTES goes, as workers live on beside those of other operators."""
+    if path in _LOADED and _LOADED[path].bytes > KEPT_BYTES:
+        _LOADED[path].forget()
+
+
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, piece int, start long, length long, ids binary): each document's ids and end_id, cut at capacity.
 
@@ -135,6 +167,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, id_col: s
                     [part.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()), pa.array([len(c) // 4 for c in cut], pa.int64()), pa.array(cut, pa.binary())],
                     names=[id_col, "piece", "start", "length", "ids"],
                 )
+        rest(path)
         tidy()
 
     rows = pick(docs, id_col, text_col).withColumn(text_col, F.col(text_col).cast("string"))
