@@ -1,4 +1,5 @@
 import random
+import sys
 import zlib
 
 import public_tokenizers
@@ -113,3 +114,13 @@ def test_a_task_leaves_little_of_its_memo_behind():
     list(packing.texts_ids(PATH, [" ".join(f"w{i}" for i in range(90_000))]))
     packing.rest(PATH)
     assert packing._LOADED[PATH].bytes <= packing.KEPT_BYTES
+
+
+def test_what_a_memo_really_takes_is_bounded():
+    rng = random.Random(3)
+    memo, most = packing.ChunkIds(PATH), 0
+    size = lambda d: sys.getsizeof(d) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in d.items())
+    for _ in range(25):
+        memo.learn({"".join(rng.choices("abdeghilmnorstuéü", k=9)) for _ in range(25_000)})
+        most = max(most, size(memo) + size(memo.before))
+    assert most <= 1.5 * (64 << 20)  # two workers of an executor have one each
