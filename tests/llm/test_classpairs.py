@@ -39,3 +39,29 @@ def test_pairs_with_other_words_count(spark, monkeypatch):
         ws = ["", *t.split(), ""]
         want = sum(step[class_of[u], class_of[x]] + np.log10((counts[x] + 1) / (n[class_of[x]] + v[class_of[x]] + 1)) for u, x in zip(ws, ws[1:]))
         assert abs(got[i] - want) < 1e-9
+
+
+def test_texts_are_coded_in_few_bytes_and_read_back(spark, monkeypatch):
+    monkeypatch.setattr(classlm, "WIDE", 3)
+    rows = ["a b c d e odd f odd rare a", "", None, "rare", "e d a"]
+    keys = np.array([classlm.key_of(w.encode()) for w in "abcdef"] + [classlm.END_KEY])
+    words = spark.sparkContext.broadcast(classlm.Words(keys, np.ones(7, np.int64)))
+    asked = spark.createDataFrame([(i, t, True, True) for i, t in enumerate(rows)], "id int, text string, learn boolean, ask boolean").coalesce(1)
+    batch = classlm.coded(asked, words).orderBy("id").toArrow().combine_chunks().to_batches()[0]
+    own = batch.column("keys").flatten().to_numpy()
+    place = {int(k): i for i, k in enumerate(keys)}
+    told = [place[int(k)] if int(k) in place else int(k) for t in rows for w in [*(t or "").split(), " "] for k in [classlm.key_of(w.encode())]]
+    assert [p if p >= 0 else int(own[-1 - p]) for p in classlm._runs(batch, 6).tolist()] == [6, *told]
+    assert sum(map(len, batch.column("codes").to_pylist())) == 2 * 14
+    assert "keys" not in classlm.filled(classlm.coded(asked, words), None).columns  # they aren't shuffled again
+
+
+def test_counts_beyond_an_entry_are_split(spark, monkeypatch):
+    monkeypatch.setattr(classlm, "MOST", 3)
+    keys = np.array([classlm.key_of(b"a"), classlm.END_KEY])
+    share = spark.sparkContext.broadcast
+    asked = spark.createDataFrame([(0, "a " * 8, True, True)], "id int, text string, learn boolean, ask boolean")
+    found = classlm.contexts(classlm.coded(asked, share(classlm.Words(keys, np.ones(2, np.int64)))), share(np.array([1, 2])), counted=True)
+    counts = {int(k): c for ks, cs in classlm._dense(iter(found.toArrow().combine_chunks().to_batches())) for k, c in zip(ks, cs)}
+    after, before = np.bincount([1] * 7 + [2], minlength=classlm.CLASSES), np.bincount([1] * 7 + [2], minlength=classlm.CLASSES)
+    assert (counts[0] == [*after, *before, 7]).all()

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import in_parts, pick, tidy, written
+from tributary.llm.common import discard, in_parts, pick, tidy, written
 
 HEAD, CLASSES = 1000, 64
 COUNTED = 100_000
@@ -39,6 +39,8 @@ GAIN_WORDS = 4096
 AT_ONCE = 256
 MEMO_WORDS = 1 << 17
 ENTRIES = 1 << 22
+WIDE = (1 << 16) - 1  # stands for a code of more than two bytes
+MOST = (1 << 24) - 1  # times of one entry; SLOTS fit in the byte below
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -67,15 +69,17 @@ def count_words(texts: DataFrame) -> DataFrame:
         held: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([key_of(w) for w in held], pa.int64()), pa.array(list(held.values()), pa.int64())], names=["key", "n"])
+            keys = np.fromiter(map(xxhash.xxh3_64_intdigest, held), np.uint64, len(held)) ^ np.uint64(2**63)  # key_of
+            out = pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(list(held.values()), pa.int64())], names=["key", "n"])
             held.clear()
             return out
 
         for batch in batches:
-            for text in batch.column(0):
-                held.update(words_of(text.as_py()))
-                if len(held) > 2 * MEMO_WORDS:
-                    yield flush()
+            for part in in_parts(batch):
+                for text in part.column(0).to_pylist():
+                    held.update(words_of(text))
+                    if len(held) > 2 * MEMO_WORDS:
+                        yield flush()
         if held:
             yield flush()
         tidy()
@@ -205,48 +209,64 @@ def _joining(m: np.ndarray, after: np.ndarray, before: np.ndarray, selfs: np.nda
     return out
 
 
+class Places(dict):
+    """Word -> its place among the counted words, or its key; that a key is as small as a place is less likely than two equal keys."""
+
+    def __init__(self, keys: np.ndarray):
+        super().__init__()
+        self.place = {k: i for i, k in enumerate(keys.tolist())}
+
+    def __missing__(self, word: bytes) -> int:
+        key = key_of(word)
+        out = self[word] = self.place.get(key, key)
+        return out
+
+
 def coded(rows: DataFrame, words) -> DataFrame:
-    """rows (id, text, learn, ask) as (row, id, learn, ask, codes, keys), written.
+    """rows (id, text, learn, ask) as (row, id, learn, ask, codes, wide, keys), written.
 
-    codes: int32, the places of counted words, or -1 - j for the text's j-th other word, whose key is keys[j].
+    codes: little-endian uint16, the places of counted words below WIDE; WIDE stands for the next of wide: int32, the place
+    of a counted word, or -1 - j for the text's j-th other word, whose key is keys[j].
     """
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = {k: i for i, k in enumerate(words.value.keys[:-1].tolist())}
-        memo: dict[bytes, int] = {}
+        counted = len(words.value.keys) - 1
+        memo = Places(words.value.keys[:-1])
         for batch in batches:
             for part in in_parts(batch):
-                codes, keys = [], []
+                codes, wide, keys = [], [], [np.empty(0, np.int64)]
                 for text in part.column(1).to_pylist():
-                    ws = words_of(text)
-                    if len(memo) > MEMO_WORDS:
+                    if len(memo) > 2 * MEMO_WORDS:
                         memo.clear()
-                    for w in set(ws):
-                        if w not in memo:
-                            memo[w] = places.get(key_of(w), -1)
+                    ws = words_of(text)
                     own = np.fromiter(map(memo.__getitem__, ws), np.int64, len(ws))
-                    others: dict[bytes, int] = {}
-                    for i in np.flatnonzero(own < 0).tolist():
-                        own[i] = -1 - others.setdefault(ws[i], len(others))
-                    codes.append(own.astype("<i4").tobytes())
-                    keys.append([key_of(w) for w in others])
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in (0, 2, 3)), pa.array(codes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "learn", "ask", "codes", "keys"])
+                    rare = (own < 0) | (own >= counted)
+                    others, at = np.unique(own[rare], return_inverse=True)
+                    own[rare] = -1 - at
+                    long = rare | (own >= WIDE)
+                    wide.append(own[long].astype("<i4").tobytes())
+                    own[long] = WIDE
+                    codes.append(own.astype("<u2").tobytes())
+                    keys.append(others)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([len(k) for k in keys]), pa.int32()), pa.array(np.concatenate(keys)))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in (0, 2, 3)), pa.array(codes, pa.binary()), pa.array(wide, pa.binary()), lists], names=["id", "learn", "ask", "codes", "wide", "keys"])
         tidy()
 
-    return written(rows.mapInArrow(run, f"id {kind}, learn boolean, ask boolean, codes binary, keys array<long>").withColumn("row", F.monotonically_increasing_id()))
+    return written(rows.mapInArrow(run, f"id {kind}, learn boolean, ask boolean, codes binary, wide binary, keys array<long>").withColumn("row", F.monotonically_increasing_id()))
 
 
 def filled(texts: DataFrame, others: DataFrame | None) -> DataFrame:
-    """texts with `classes` and `times` of their keys, from others (key, class, n); -1 and 0 for words that aren't there."""
+    """texts with `classes` and `times` in place of their keys, from others (key, class, n); -1 and 0 for words that aren't there."""
+    kept = [c for c in texts.columns if c != "keys"]
     if others is None:
         none = F.transform("keys", lambda _: F.lit(-1))
-        return texts.select("*", none.alias("classes"), F.transform("keys", lambda _: F.lit(0).cast("long")).alias("times"))
+        return texts.select(*kept, none.alias("classes"), F.transform("keys", lambda _: F.lit(0).cast("long")).alias("times"))
     at = texts.select("row", F.posexplode("keys").alias("at", "key")).join(others.select("key", "class", "n"), "key", "left")
     met = at.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("class", F.lit(-1)).alias("class"), F.coalesce("n", F.lit(0).cast("long")).alias("n")))).alias("met"))
     empty = F.col("met").isNull()
     return texts.join(met, "row", "left").select(
-        *texts.columns, F.when(empty, F.array().cast("array<int>")).otherwise(F.col("met.class").cast("array<int>")).alias("classes"), F.when(empty, F.array().cast("array<long>")).otherwise(F.col("met.n")).alias("times")
+        *kept, F.when(empty, F.array().cast("array<int>")).otherwise(F.col("met.class").cast("array<int>")).alias("classes"), F.when(empty, F.array().cast("array<long>")).otherwise(F.col("met.n")).alias("times")
     )
 
 
@@ -258,14 +278,25 @@ def _summed(ids: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return ids[first], np.add.reduceat(times, first) if len(ids) else times
 
 
-def _runs(batch: pa.RecordBatch, end: int) -> tuple[np.ndarray, list[int]]:
-    """The texts of a batch as one run of places, an end before each and behind the last; other words are -1 - k, k their key's place."""
-    out, keys = [np.array([end])], []
-    for codes, own in zip(batch.column("codes").to_pylist(), batch.column("keys").to_pylist()):
-        places = np.frombuffer(codes, "<i4").astype(np.int64)
-        out += [np.where(places < 0, places - len(keys), places), np.array([end])]
-        keys += own
-    return np.concatenate(out), keys
+def _numbers(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a binary column, one row behind the other, and how many each row has."""
+    out = np.frombuffer(b"".join(column.to_pylist()), kind).astype(np.int64)
+    return out, pc.binary_length(column).to_numpy() // np.dtype(kind).itemsize
+
+
+def _runs(batch: pa.RecordBatch, end: int) -> np.ndarray:
+    """The texts of a batch as one run of places, an end before each and behind the last.
+
+    Other words are -1 - k, k their place among the batch's keys or classes; without these columns any negative number.
+    """
+    places, lengths = _numbers(batch.column("codes"), "<u2")
+    wide, n_wide = _numbers(batch.column("wide"), "<i4")
+    lists = [n for n in ("keys", "classes") if n in batch.schema.names]
+    if lists:
+        own = batch.column(lists[0]).value_lengths().to_numpy()
+        wide -= np.where(wide < 0, np.repeat(np.cumsum(own) - own, n_wide), 0)
+    places[places == WIDE] = wide
+    return np.insert(places, np.append(0, np.cumsum(lengths)), end)
 
 
 def _classed(places: np.ndarray, batch: pa.RecordBatch, of: np.ndarray) -> np.ndarray:
@@ -277,8 +308,8 @@ def _classed(places: np.ndarray, batch: pa.RecordBatch, of: np.ndarray) -> np.nd
     return cls
 
 
-def _coded_columns(texts: DataFrame) -> DataFrame:
-    return texts.select("codes", "keys", *(["classes"] if "classes" in texts.columns else []))
+def _coded_columns(texts: DataFrame, *more: str) -> DataFrame:
+    return texts.select("codes", "wide", *more, *(["classes"] if "classes" in texts.columns else []))
 
 
 def head_pairs(texts: DataFrame, head: int, end: int) -> np.ndarray:
@@ -289,7 +320,7 @@ def head_pairs(texts: DataFrame, head: int, end: int) -> np.ndarray:
         total = np.zeros(size * size, np.int64)
         for batch in batches:
             for part in in_parts(batch):
-                places, _ = _runs(part, end)
+                places = _runs(part, end)
                 types = np.where(places == end, head, np.where((places >= 0) & (places < head), places, -1))
                 a, b = types[:-1], types[1:]
                 met = (a >= 0) & (b >= 0)
@@ -298,7 +329,7 @@ def head_pairs(texts: DataFrame, head: int, end: int) -> np.ndarray:
         for at in range(0, len(some), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(some[at : at + 100_000]), pa.array(total[some[at : at + 100_000]])], names=["pair", "n"])
 
-    rows = texts.select("codes", "keys").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    rows = texts.select("codes", "wide").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size * size)
     out[rows.column("pair").to_numpy()] = rows.column("n").to_numpy()
     return out.reshape(size, size)
@@ -307,7 +338,7 @@ def head_pairs(texts: DataFrame, head: int, end: int) -> np.ndarray:
 def contexts(texts: DataFrame, classes, counted: bool) -> DataFrame:
     """Rows (key, found): how often each word has which neighbours, of the counted words (key: their place) or of the others.
 
-    found: a list of little-endian int32 pairs (slot, times). Neighbours without a class don't count: before other words have
+    found: lists of little-endian uint32, slot + 256 * times. Neighbours without a class don't count: before other words have
     theirs (filled), these are all the others.
     """
 
@@ -320,10 +351,15 @@ def contexts(texts: DataFrame, classes, counted: bool) -> DataFrame:
             """Of the entries held: a row for each word, its key first."""
             ids, times = _summed(*map(np.concatenate, zip(*held))) if held else (np.empty(0, np.int64), np.empty(0, np.int64))
             held.clear()
+            if len(times) and times.max() > MOST:
+                more = (times - 1) // MOST
+                ids, rest = np.repeat(ids, more + 1), times - more * MOST
+                times = np.full(len(ids), MOST)
+                times[np.cumsum(more + 1) - 1] = rest
             word, slot = ids // SLOTS, ids % SLOTS
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(ids) else np.empty(0, np.int64)
-            packed = np.stack([slot, times], axis=1).astype("<i4").tobytes()
-            bounds = [*(8 * first).tolist(), len(packed)]
+            packed = (slot + 256 * times).astype("<u4").tobytes()
+            bounds = [*(4 * first).tolist(), len(packed)]
             for at in range(0, len(first), 10_000):
                 some = first[at : at + 10_000]
                 cut = [packed[i:j] for i, j in zip(bounds[at : at + len(some)], bounds[at + 1 :])]
@@ -332,7 +368,7 @@ def contexts(texts: DataFrame, classes, counted: bool) -> DataFrame:
         size = 0
         for batch in batches:
             for part in in_parts(batch):
-                places, keys = _runs(part, end)
+                places = _runs(part, end)
                 cls = _classed(places, part, of)
                 a, b = places[:-1], places[1:]
                 if counted:
@@ -350,13 +386,13 @@ def contexts(texts: DataFrame, classes, counted: bool) -> DataFrame:
                     after, before = (a < 0) & (cls[1:] >= 0), (b < 0) & (cls[:-1] >= 0)
                     ids = np.concatenate([(-1 - a[after]) * SLOTS + cls[1:][after], (-1 - b[before]) * SLOTS + CLASSES + cls[:-1][before]])
                     held.append(_summed(ids, np.ones(len(ids), np.int64)))
-                    names = np.array(keys, np.int64)
+                    names = part.column("keys").flatten().to_numpy()
                     for out in flush():  # a word that stands in several texts has several rows
                         yield pa.RecordBatch.from_arrays([pa.array(names[out.column(0).to_numpy()]), out.column(1)], names=["key", "found"])
         yield from flush()
         tidy()
 
-    found = _coded_columns(texts).mapInArrow(run, "key long, found binary")
+    found = _coded_columns(texts, *([] if counted else ["keys"])).mapInArrow(run, "key long, found binary")
     return found.groupBy("key").agg(F.collect_list("found").alias("found"))
 
 
@@ -371,9 +407,9 @@ def _dense(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
         cut = lists.flatten()
         row = np.repeat(np.arange(whole.num_rows), lists.value_lengths().to_numpy())
-        row = np.repeat(row, pc.binary_length(cut).to_numpy() // 8)
-        pairs = np.frombuffer(b"".join(cut.to_pylist()), "<i4").reshape(-1, 2)
-        counts = np.bincount(row * SLOTS + pairs[:, 0], pairs[:, 1], whole.num_rows * SLOTS).reshape(-1, SLOTS)
+        row = np.repeat(row, pc.binary_length(cut).to_numpy() // 4)
+        entries = np.frombuffer(b"".join(cut.to_pylist()), "<u4")
+        counts = np.bincount(row * SLOTS + (entries & 255), entries >> 8, whole.num_rows * SLOTS).reshape(-1, SLOTS)
         return whole.column("key").to_numpy(), counts
 
     for batch in batches:
@@ -392,7 +428,7 @@ def class_pairs(texts: DataFrame, classes) -> np.ndarray:
         total = np.zeros(CLASSES * CLASSES, np.int64)
         for batch in batches:
             for part in in_parts(batch):
-                cls = _classed(_runs(part, len(classes.value) - 1)[0], part, classes.value)
+                cls = _classed(_runs(part, len(classes.value) - 1), part, classes.value)
                 met = (cls[:-1] >= 0) & (cls[1:] >= 0)
                 total += np.bincount(cls[:-1][met] * CLASSES + cls[1:][met], minlength=CLASSES * CLASSES)
         some = np.flatnonzero(total)
@@ -513,13 +549,14 @@ def score(docs: DataFrame, training: DataFrame | Column, id_col: str = "doc_id",
     if stats.v > COUNTED:
         shared = spark.sparkContext.broadcast(of)
         placed = best_classes(contexts(train, shared, counted=False), m)
-        known_keys = spark.createDataFrame([(int(k),) for k in words.keys], "key long")
+        known_keys = spark.createDataFrame(pa.table({"key": words.keys}))
         rest = table.join(F.broadcast(known_keys), "key", "left_anti")
         others = written(rest.join(placed, "key", "left").select("key", F.coalesce("class", F.lit(0)).alias("class"), "n"))
 
     asked = every
     if others is not None and whole:
         asked = written(filled(every, others))
+        discard(every)
         of, m = with_others(asked.where("learn"), of)
 
     class_n, class_v = np.bincount(of, words.counts, CLASSES), np.bincount(of, words.counts > 0, CLASSES)
@@ -533,31 +570,29 @@ def score(docs: DataFrame, training: DataFrame | Column, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, steps, class_logs, logs = model.value
-        end = classes[-1]
         unseen_after = (steps - class_logs).argmax(axis=1)
         for batch in batches:
             for part in in_parts(batch):
-                out: list[list] = [[], [], [], []]
-                for codes, met, times in zip(*(part.column(c).to_pylist() for c in ("codes", "classes", "times"))):
-                    places = np.frombuffer(codes, "<i4").astype(np.int64)
-                    met, times = np.array(met, np.int64), np.array(times, np.int64)
-                    rare = places < 0
-                    cs, ls = np.empty(len(places) + 1, np.int64), np.empty(len(places) + 1)
-                    cs[-1], ls[-1] = end, logs[-1]
-                    cs[:-1][~rare], ls[:-1][~rare] = classes[places[~rare]], logs[places[~rare]]
-                    cs[:-1][rare], ls[:-1][rare] = met[-1 - places[rare]], np.log10(times[-1 - places[rare]] + 1.0)
-                    for i in np.flatnonzero(cs < 0):
-                        cs[i] = unseen_after[cs[i - 1] if i else end]
-                    value = steps[np.append(end, cs[:-1]), cs].sum() + (ls - class_logs[cs]).sum()
-                    unknown = int((times[-1 - places[rare]] == 0).sum())
-                    for column, x in zip(out, (len(cs), len(places) - unknown + (n_ends > 0), ls.sum(), value)):
-                        column.append(x)
+                places = _runs(part, len(classes) - 1)
+                cs, ls = _classed(places, part, classes), logs[np.maximum(places, 0)]
+                rare = np.flatnonzero(places < 0)
+                times = part.column("times").flatten().to_numpy()[-1 - places[rare]]
+                ls[rare] = np.log10(times + 1.0)
+                for i in np.flatnonzero(cs < 0).tolist():
+                    cs[i] = unseen_after[cs[i - 1]]
+                unknown = np.zeros(len(places), np.int64)
+                unknown[rare] = times == 0
+                values = steps[cs[:-1], cs[1:]] + ls[1:] - class_logs[cs[1:]]
+                n = pc.binary_length(part.column("codes")).to_numpy().astype(np.int64) // 2 + 1
+                first = np.cumsum(n) - n  # of a text, in the run without the end before all
+                base, value, missed = (np.add.reduceat(x, first) for x in (ls[1:], values, unknown[1:]))
+                out = (n, n - 1 - missed + (n_ends > 0), base, value)
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(out, kinds))], names=["id", "n_tokens", "n_known", "base", "value"])
         tidy()
 
     kind = rows.schema["id"].dataType.simpleString()
-    asked = asked.where("ask") if "classes" in asked.columns else filled(asked.where("ask").select("row", "id", "codes", "keys"), others)
-    scored = asked.select("id", "codes", "classes", "times").mapInArrow(run, f"id {kind}, n_tokens long, n_known long, base double, value double")
+    asked = asked.where("ask") if "classes" in asked.columns else filled(every.where("ask").select("row", "id", "codes", "wide", "keys"), others)
+    scored = asked.select("id", "codes", "wide", "classes", "times").mapInArrow(run, f"id {kind}, n_tokens long, n_known long, base double, value double")
     per_token = float(np.log10(total + distinct + 1))
     return scored.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * per_token).alias("base_score"), F.col("value").alias("score"))
