@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tributary.functions.hashing import hash_key
 from tributary.functions.vectors import blended, centered, dot, norm, uncentered
 from tributary.operators import metrics, recommend, split
+from tributary.operators.blocks import best_items
 from tributary.sources import tables as T
 from tributary.sources.durable import Durable
 
@@ -302,10 +303,18 @@ _BATCH = "WITH b AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_produ
 
 
 def _batch(spark, sf, k: int) -> DataFrame:
-    e = T.table(spark, sf, "embeddings")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = e.crossJoin(q).select("query_id", "vec_id", F.round(dot("embedding", "q"), 6).alias("score"))
-    return recommend.top_k(scored, k, F.col("score").desc(), F.col("vec_id"), by="query_id")
+    """Each query's k best by inner product, in blocks; pairs without a score, one vector being null, come last by id."""
+    e = T.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("x"))
+    whole = e.where("x IS NOT NULL").withColumnRenamed("vec_id", "item_id")
+    found = best_items(whole.where("item_id % 20 = 0").select(F.col("item_id").alias("user_id"), F.col("x").alias("q")), whole, k)
+    found = found.select(F.col("user_id").alias("query_id"), F.col("item_id").alias("vec_id"), "score")
+    none = e.where("x IS NULL").select("vec_id")
+    if not none.isEmpty():
+        first = lambda rows: rows.select("vec_id").orderBy("vec_id").limit(k)
+        asked = lambda rows: rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"))
+        blank = asked(e.where("x IS NOT NULL")).crossJoin(first(none)).union(asked(none).crossJoin(first(e)))
+        found = found.unionByName(blank.withColumn("score", F.lit(None).cast("double")))
+    return recommend.top_k(found, k, F.col("score").desc(), F.col("vec_id"), by="query_id")
 
 
 @query(_BATCH + " SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5")
