@@ -77,7 +77,7 @@ def bpr(likes: DataFrame, items: DataFrame, dims: int = 16, rounds: int = 12, sa
     round's factors are written, so that the next one starts from them. Items that nobody likes keep what draws made of them;
     without likes there are no users.
     """
-    held = Durable(likes.sparkSession)
+    held = Durable(likes.sparkSession, tidy=True)
     catalog = held.keep(items.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id")).distinct())
     some = likes.where("user_id IS NOT NULL AND item_id IS NOT NULL").select(F.col("user_id").cast("long").alias("user_id"), F.col("item_id").cast("long").alias("item_id")).distinct()
     some = held.keep(some.join(catalog, "item_id", "left_semi").select("user_id", "item_id"))
